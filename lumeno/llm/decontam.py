@@ -34,7 +34,7 @@ def hashed_words(text: Column) -> Column:
 def seeds(df: DataFrame, h: str, at: str) -> DataFrame:
     """A row for each mask at each position, with its key."""
     n = F.size(h)
-    rows = df.where(n >= SPAN).withColumn(at, F.explode(F.sequence(F.lit(0), n - SPAN)))
+    rows = df.withColumn(at, F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN))))
     keys = [F.xxhash64(F.lit(k), *[F.get(h, F.col(at) + o) for o in mask]) for k, mask in enumerate(MASKS)]
     return rows.withColumn("_key", F.explode(F.array(*keys)))
 
@@ -53,7 +53,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 24, least: float =
         width = F.least(F.lit(window), F.size("_b"))
         begin = F.greatest(F.lit(0), F.least(F.col("_j") - F.floor((width - SPAN) / 2).cast("int"), F.size("_b") - width))
         hits = hits.withColumns({"_w": width, "_a": begin}).withColumn("_s", F.col("_a") + F.col("_i") - F.col("_j"))
-        equal = F.filter(F.sequence(F.lit(0), F.col("_w") - 1), lambda x: F.when(F.col("_s") + x >= 0, F.get("_h", F.col("_s") + x)) == F.get("_b", F.col("_a") + x))
-        made.append(hits.select("doc_id", "item_id", (F.size(equal) / F.col("_w")).alias("_share")).where(F.col("_share") >= least))
+        # Spelled out word by word: a lambda here would keep the join out of generated code, and each text's seeds would be buffered before it.
+        equal = sum((F.when((F.col("_w") > x) & (F.col("_s") + x >= 0) & (F.get("_h", F.col("_s") + x) == F.get("_b", F.col("_a") + x)), 1).otherwise(0) for x in range(window)), F.lit(0))
+        made.append(hits.select("doc_id", "item_id", (equal / F.col("_w")).alias("_share")).where(F.col("_share") >= least))
     found = reduce(DataFrame.unionAll, made)
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("_share").alias("overlap"), F.lit(True).alias("contaminated"))
