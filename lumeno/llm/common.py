@@ -70,3 +70,54 @@ def held_out(doc_id: int | None) -> bool:
 
 def held_out_col(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+#: Into how many parts the rows of one key are dealt where a key may be hot.
+SALTS = 16
+
+
+def lookup(rows: DataFrame, key: str, values: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of values, which has one row for each key.
+
+    A plain join would bring all rows of a hot key to one task. Here its rows are dealt to SALTS parts by `salt`, and the
+    key's values go to the parts that exist; these are found with partial distinct first.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    spread = dealt.select(key, "_salt").distinct().join(values, key)
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+
+
+def _smaller_or_equal(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+    """docs whose id is (left_semi) or isn't (left_anti) in ids, null ids included; at most `most` ids are broadcast, more are joined by shuffle."""
+    named = ids.select(F.col(ids.columns[0]).alias("_only")).distinct()
+    named = F.broadcast(named) if _smaller_or_equal(named, most) else named
+    return docs.join(named, F.col(id_col).eqNullSafe(F.col("_only")), how)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for every node of the edges (a, b); root is the least node it is connected with.
+
+    Large-star and small-star steps in turn (Kiveris et al. 2014); after each the edges are written, so neither the plan
+    nor what a lost executor takes along grows. No task gathers the edges of one node.
+    """
+    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = written(edges, "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(lookup(both.where("v > u"), "u", least, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = lookup(large, "u", least, F.col("v"))
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = written(small, "edges")
+        # At the end every node has one edge, to its root, and no root has one.
+        roots = small.select(F.col("v").alias("u")).distinct()
+        if small.count() == small.select("u").distinct().count() and small.join(roots, "u", "left_semi").isEmpty():
+            return small.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("u", F.col("u").alias("v")))
+        edges = small

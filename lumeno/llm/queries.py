@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumeno.llm import crf, decontam, packing, rules, secrets, toxicity, warc
+from lumeno.llm import crf, decontam, ordermin, packing, rules, secrets, toxicity, warc
 from lumeno.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_cnn, op2_warc_round_trip, op5_best_fit_packing, op6_secret_scan, op8_benchmark_decontamination, op9_quality_crf, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_cnn, op2_warc_round_trip, op5_best_fit_packing, op6_secret_scan, op7_order_minhash, op8_benchmark_decontamination, op9_quality_crf, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS b FROM pages),
