@@ -143,7 +143,9 @@ def train(rows: list[tuple[bytes, int, str]], steps: int = 70, rate: float = 0.1
     if not 0 < y.sum() < len(y):
         m.w[-1] = 60 if not len(y) or y.all() else -60
         return m
-    cols, n, first = lines([r[0] for r in rows])
+    some = [lines([r[0] for r in rows[k : k + 100]]) for k in range(0, len(rows), 100)]  # a text's bytes need many times their size
+    cols, n = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in some]))])
     of = np.repeat(np.arange(len(rows)), np.diff(first))
     gold, weight = y[of].astype(float), ((n + 1.0) / np.add.reduceat(n + 1.0, first[:-1])[of])
     balance = np.where(gold > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
