@@ -8,8 +8,8 @@ The reader keeps one chunk and one record in memory. It inflates member after me
 Content-Length, and verifies block and payload digests; what is malformed or doesn't match raises ValueError.
 
 Defined results: null html is the empty payload; a null url gives a record without target; rows with equal ids are written
-each, and among equal payloads the first written of the largest id is the response; null ids rank below all others; an
-empty table gives an empty result; other columns are ignored.
+each, and among equal payloads all rows of the largest id are responses; null ids rank below all others; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +24,12 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumeno.llm.common import scratch, written
+from lumeno.llm.common import lookup, scratch, written
 
 LEAST = 1000
-#: Into how many parts equal payloads are dealt before they meet.
-SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -93,21 +91,21 @@ def records(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield h, block
 
 
-def decide(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, _response: the id of the response that a page revisits, null for responses.
+def decide(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = 1_000_000) -> DataFrame:
+    """page_id, url, html, _response: the id of the response that a page revisits, and _again, whether it does.
 
     The largest id of each digest is found by parts (a digest's pages are dealt to SALTS of them), then over the parts, and
-    goes back to each part; a payload that a third of all pages share is never in one task.
+    goes back to each part; a payload that a third of all pages share is never in one task. At most `most` revisits are
+    broadcast; more are joined by shuffle.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    size = F.octet_length("html")
-    keyed = written(base.select("*", F.when(size >= least, F.sha1(F.col("html").cast("binary"))).alias("_d"), F.expr("uuid()").alias("_u")), "pages")
-    small = keyed.select("page_id", "_u", "_d", F.pmod(F.xxhash64("_u"), F.lit(SALTS)).alias("_salt")).where(F.col("_d").isNotNull())
-    rank = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("p"), F.col("_u").alias("u"), F.col("page_id").alias("id"))
-    parts = small.groupBy("_d", "_salt").agg(F.max(rank).alias("m"), F.count("*").alias("n"))
-    tops = parts.groupBy("_d").agg(F.max("m").alias("m"), F.sum("n").alias("n"), F.collect_set("_salt").alias("s")).where(F.col("n") > 1)
-    again = small.join(tops.select("_d", "m", F.explode("s").alias("_salt")), ["_d", "_salt"]).where(F.col("_u") != F.col("m.u")).select("_u", F.col("m.id").alias("_response"), F.lit(True).alias("_again"))
-    return keyed.join(again, "_u", "left").select("page_id", "url", "html", "_response", F.coalesce("_again", F.lit(False)).alias("_again"))
+    base = base.withColumn("_d", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
+    small = base.select("page_id", "_d").where(F.col("_d").isNotNull())
+    tops = small.groupBy("_d").agg(F.max("page_id").alias("_response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = written(lookup(small, "_d", tops, F.col("page_id")).where(F.col("_response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_response"))).select(F.col("page_id").alias("_p"), F.col("_d").alias("_e"), "_response").distinct(), "revisits")
+    again = F.broadcast(again) if again.limit(most + 1).count() <= most else again
+    joined = base.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_d") == F.col("_e")), "left")
+    return joined.select("page_id", "url", "html", "_response", F.col("_e").isNotNull().alias("_again"))
 
 
 def urn(page_id: int | None) -> str:
