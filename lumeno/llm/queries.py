@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumeno.llm import crf, decontam, ordermin, packing, rules, secrets, substring, toxicity, warc
+from lumeno.llm import crf, decontam, masked_lm, ordermin, packing, rules, secrets, substring, toxicity, warc
 from lumeno.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_cnn, op2_warc_round_trip, op4_repeated_passages, op5_best_fit_packing, op6_secret_scan, op7_order_minhash, op8_benchmark_decontamination, op9_quality_crf, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_cnn, op2_warc_round_trip, op3_masked_lm, op4_repeated_passages, op5_best_fit_packing, op6_secret_scan, op7_order_minhash, op8_benchmark_decontamination, op9_quality_crf, op10_quality_rules)}
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS b FROM pages),
