@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumeno.llm.common import only_ids, written
+
 #: Words that each mask looks at; six of SPAN.
 SPAN = 9
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 8))
@@ -53,8 +55,20 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 24, least: float =
         width = F.least(F.lit(window), F.size("_b"))
         begin = F.greatest(F.lit(0), F.least(F.col("_j") - F.floor((width - SPAN) / 2).cast("int"), F.size("_b") - width))
         hits = hits.withColumns({"_w": width, "_a": begin}).withColumn("_s", F.col("_a") + F.col("_i") - F.col("_j"))
-        # Spelled out word by word: a lambda here would keep the join out of generated code, and each text's seeds would be buffered before it.
-        equal = sum((F.when((F.col("_w") > x) & (F.col("_s") + x >= 0) & (F.get("_h", F.col("_s") + x) == F.get("_b", F.col("_a") + x)), 1).otherwise(0) for x in range(window)), F.lit(0))
-        made.append(hits.select("doc_id", "item_id", (equal / F.col("_w")).alias("_share")).where(F.col("_share") >= least))
+        # Both windows are cut out in the join's generated code, which stays small enough to be compiled, so a text's hits don't
+        # carry the text along. The row number keeps the comparison (a lambda, never generated) from moving into the join.
+        off = F.greatest(F.lit(0), -F.col("_s"))
+        cut = hits.select(
+            "doc_id", "item_id", "_w", F.monotonically_increasing_id().alias("_row"),
+            F.slice("_h", F.col("_s") + off + 1, F.col("_w") - off).alias("_x"),
+            F.slice("_b", F.col("_a") + off + 1, F.col("_w") - off).alias("_y"),
+        )
+        share = F.size(F.filter(F.zip_with("_x", "_y", lambda x, y: x == y), lambda z: z)) / F.col("_w")
+        made.append(cut.where((F.col("_row") >= 0) & (share >= least)).select("doc_id", "item_id", share.alias("_share")))
     found = reduce(DataFrame.unionAll, made)
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("_share").alias("overlap"), F.lit(True).alias("contaminated"))
+
+
+def without_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all columns, less those that overlap an item; rows with equal ids share their fate."""
+    return only_ids(docs, written(overlaps(docs, items, id_col=id_col, text_col=text_col).select("doc_id").distinct(), "leaks"), id_col, "left_anti")
