@@ -183,3 +183,10 @@ def judge(docs: DataFrame, labels: DataFrame, rules: list | None = None, id_col:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     made = statistics(docs, id_col, text_col, carry).withColumns({"base_failed": failed, "rule": verdict(rules)})
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule", *["_row"] * carry)
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all columns, less those that the base rule or a learned rule rejects."""
+    made = judge(docs, labels, id_col=id_col, text_col=text_col, carry=True)
+    # The row number keeps the filter above the statistics; moved below, it would repeat their expressions many times over.
+    return made.withColumn("_at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")

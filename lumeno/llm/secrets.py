@@ -137,3 +137,27 @@ def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans", "redacted"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string, redacted string")
+
+
+def clean(docs: DataFrame, vocabulary: str, text_col: str = "text", chars_col: str = "n_chars", most: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
+    """docs with all columns, every span in a text replaced by <secret>; chars_col, if there is one, follows the text where it changed."""
+    at, n_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, new = batch.column(at).to_pylist(), {}
+            for first, some in blocks(texts):
+                for k in suspects(some).tolist():
+                    text = texts[first + k]
+                    base = base_spans(text)
+                    spans = base + random_spans(text, base, encoding(vocabulary), most)
+                    if spans:
+                        new[first + k] = redact(text, spans)
+            cols = list(batch.columns)
+            if new:
+                cols[at] = pa.array([new.get(k, t) for k, t in enumerate(texts)], batch.schema.types[at])
+                if n_at >= 0:
+                    cols[n_at] = pa.array([len(new[k]) if k in new else n for k, n in enumerate(cols[n_at].to_pylist())], batch.schema.types[n_at])
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
