@@ -1,6 +1,464 @@
-"""All queries over the page and element operators, and their SQL."""
+"""All queries over the page and element operators, and their SQL.
+
+Rectangles come from lineitem: a page is an order, an element a line. Their pages hold at most a few dozen elements.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumeno.functions import color as C
+from lumeno.functions import geometry as G
+from lumeno.functions import text as T
+from lumeno.operators import boxes, clusters, dom, jobs
+from lumeno.sources import html, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+RECTS = """SELECT l_orderkey AS page_id,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS el_id,
+    l_quantity * 20 AS l, l_discount * 5000 AS t, l_quantity * 20 + 50 + l_tax * 2000 AS r, l_discount * 5000 + 20 + (l_partkey % 7) * 10 AS b FROM {lineitem}"""
+R = f"r AS ({RECTS.format(lineitem='lineitem')})"
+#: Pairs of a page's rectangles with signed gaps and shares of the first on both axes.
+PAIRS = f"""{R}, p AS (SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id,
+    CASE WHEN x.l < y.l THEN y.l - x.r ELSE x.l - y.r END AS gx, CASE WHEN x.t < y.t THEN y.t - x.b ELSE x.t - y.b END AS gy,
+    greatest(least(x.r, y.r) - greatest(x.l, y.l), 0) / (x.r - x.l) AS ox, greatest(least(x.b, y.b) - greatest(x.t, y.t), 0) / (x.b - x.t) AS oy,
+    greatest(least(x.r, y.r) - greatest(x.l, y.l), 0) / (y.r - y.l) AS qx, greatest(least(x.b, y.b) - greatest(x.t, y.t), 0) / (y.b - y.t) AS qy
+    FROM r x JOIN r y ON x.page_id = y.page_id AND x.el_id <> y.el_id)"""
+FADE = "CASE WHEN {0} < 0 THEN 1 WHEN {0} > 44 THEN 0 ELSE exp(-pow(floor({0} + 0.5), 2) / 392) END"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rects(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(RECTS.format(lineitem="{lineitem}"), lineitem=read(spark, sf, "lineitem"))
+
+
+def elements(spark: SparkSession, sf: str) -> DataFrame:
+    return html.parse(read(spark, sf, "pages"))
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+# URLs and texts
+
+
+@query("SELECT page_id, regexp_extract(url || '/', '(http[s]*://[\\w.-]*/|$)', 1) AS homepage FROM pages")
+def url_homepage(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.homepage(F.col("url")).alias("homepage"))
+
+
+@query("SELECT page_id, split_part(trim(url || chr(9) || page_id), chr(9), 1) AS url FROM pages WHERE contains(url, 'http')")
+def url_list_scan(spark, sf):
+    lines = read(spark, sf, "pages").select("page_id", F.concat("url", F.lit("\t"), F.col("page_id").cast("string")).alias("value"))
+    return tables.urls_of(lines).select("page_id", "url")
+
+
+HOST = "split_part(split_part(url, '://', 2), '/', 1)"
+BASE = "CASE WHEN len(h) > 2 AND length(h[len(h) - 1]) <= 3 THEN array_to_string(h[-3:], '.') ELSE array_to_string(h[-2:], '.') END"
+
+
+@query(f"SELECT page_id, {HOST} AS host, CASE WHEN regexp_matches(url, '^(\\w+)://([^/]+)/(.*)$') THEN regexp_extract(url, '^(\\w+)://([^/]+)/', 2) ELSE url END AS strict_host, {BASE} AS base_host FROM (SELECT *, string_split({HOST}, '.') AS h FROM pages)")
+def url_hosts(spark, sf):
+    u = F.col("url")
+    return read(spark, sf, "pages").select("page_id", T.url_host(u).alias("host"), T.host_from_url(u).alias("strict_host"), T.base_host(T.url_host(u)).alias("base_host"))
+
+
+@query("SELECT page_id, list_filter(string_split(p, '/'), lambda x: x <> '') AS parts, CASE WHEN n = '' THEN '[empty]' ELSE n END AS icon FROM (SELECT *, list_extract(string_split(p, '/'), -1) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^\\w+://[^/]*', '') AS p FROM pages))")
+def url_path_parts(spark, sf):
+    path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^\w+://[^/]*", "")
+    return read(spark, sf, "pages").select("page_id", T.path_parts(path).alias("parts"), T.icon_name(F.col("url")).alias("icon"))
+
+
+INV = "[\\f\\n\\r\\t\\v\\x{200b}\\x{00a0}\\x{1680}\\x{180e}\\x{2000}\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
+
+
+@query(f"SELECT doc_id, length(regexp_replace(text, '{INV} ]', '', 'g')) AS n_clean, md5(regexp_replace(text, '{INV}]', '', 'g')) AS visible FROM documents")
+def text_clean(spark, sf):
+    t = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", F.length(T.clean_string(t)).cast("long").alias("n_clean"), F.md5(T.cut_invisible(t).cast("binary")).alias("visible"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 1 ELSE round(length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text), 6) END AS share FROM documents")
+def text_digit_share(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.round(T.digit_share(F.col("text")), 6).alias("share"))
+
+
+# Jobs
+
+
+def job_rows(spark, sf):
+    p = read(spark, sf, "pages")
+    return jobs.create_jobs(p.select(T.homepage(F.col("url")).alias("url"), F.col("page_id").alias("ord")))
+
+
+JOB = "j AS (SELECT regexp_extract(url || '/', '(http[s]*://[\\w.-]*/|$)', 1) AS url, min(page_id) AS ord FROM pages GROUP BY 1)"
+
+
+@query(f"WITH {JOB} SELECT url, CAST(NULL AS VARCHAR) AS actual_url, false AS previsiting_done, false AS all_done, ord FROM j")
+def jobs_create(spark, sf):
+    return job_rows(spark, sf)
+
+
+@query("SELECT o_custkey AS actual_url, min(o_orderkey) AS ord FROM orders GROUP BY 1")
+def jobs_dedup_actual_url(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("actual_url"), F.col("o_orderkey").alias("ord"))
+    return jobs.first_of(o, "actual_url")
+
+
+@query(f"WITH {JOB} SELECT url, CASE WHEN ord % 3 = 0 THEN url || 'x' END AS actual_url, ord % 3 = 0 AS all_done, ord FROM j")
+def jobs_update(spark, sf):
+    j = job_rows(spark, sf)
+    change = j.where("ord % 3 = 0").select("url", F.concat("url", F.lit("x")).alias("actual_url"), F.lit(True).alias("all_done"))
+    return jobs.update(j, change)[0].select("url", "actual_url", "all_done", "ord")
+
+
+@query("SELECT 'http://none/' || CAST(page_id AS VARCHAR) AS url, true AS all_done FROM pages WHERE page_id % 5 = 0")
+def jobs_update_missing_keys(spark, sf):
+    change = read(spark, sf, "pages").where("page_id % 5 = 0").select(F.concat(F.lit("http://none/"), F.col("page_id").cast("string")).alias("url"), F.lit(True).alias("all_done"))
+    return jobs.update(job_rows(spark, sf), change)[1]
+
+
+@query(f"WITH {JOB} SELECT url, ord FROM j WHERE ord % 3 <> 0")
+def jobs_remove(spark, sf):
+    j = job_rows(spark, sf)
+    return jobs.remove(j, j.where("ord % 3 = 0")).select("url", "ord")
+
+
+@query(f"WITH {JOB} SELECT url, ord FROM j WHERE ord % 2 = 1")
+def jobs_pending(spark, sf):
+    j = job_rows(spark, sf).withColumn("previsiting_done", F.col("ord") % 2 == 0)
+    return jobs.pending_previsits(j).select("url", "ord")
+
+
+@query(f"WITH {JOB} SELECT url, ord FROM j WHERE ord >= 10 ORDER BY ord, url LIMIT 1")
+def jobs_next(spark, sf):
+    return jobs.next_job(job_rows(spark, sf).withColumn("all_done", F.col("ord") < 10)).select("url", "ord")
+
+
+@query(f"WITH {JOB} SELECT count(*) FILTER (ord % 4 <> 0) AS n_open, count(*) FILTER (ord % 4 = 0) AS n_done, bool_and(ord % 4 = 0) AS finished FROM j")
+def jobs_progress(spark, sf):
+    return jobs.progress(job_rows(spark, sf).withColumn("all_done", F.col("ord") % 4 == 0))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 600 < 400")
+def jobs_drop_failed(spark, sf):
+    return jobs.drop_failed(read(spark, sf, "events").withColumn("status", F.col("event_id") % 600)).select("event_id")
+
+
+@query("SELECT p_partkey, p_size * 300 > pow(2, 13.5) AS too_high, p_size * 40 > 1440 AS too_wide, p_size * 300 < 905 AS too_low, p_size % 5 > 3 AS has_frameset FROM part")
+def page_warnings(spark, sf):
+    s = F.col("p_size")
+    return read(spark, sf, "part").select("p_partkey", *[v.alias(k) for k, v in jobs.warnings(s * 300, s * 40, F.lit(1440), F.lit(900), F.greatest(F.lit(0), s % 5 - 3)).items()])
+
+
+@query(f"WITH {JOB}, h AS (SELECT DISTINCT split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages WHERE page_id % 7 = 0) SELECT url, split_part(split_part(url, '://', 2), '/', 1) NOT IN (SELECT host FROM h) AS all_done FROM j")
+def jobs_reset(spark, sf):
+    hosts = read(spark, sf, "pages").where("page_id % 7 = 0").select(T.url_host(F.col("url")).alias("host"))
+    return jobs.reset(job_rows(spark, sf).withColumn("all_done", F.lit(True)), hosts).select("url", "all_done")
+
+
+@query(f"WITH {JOB} SELECT url, ord, ord % 2 = 0 AS all_done FROM j")
+def jobs_text_round_trip(spark, sf):
+    j = job_rows(spark, sf).withColumn("all_done", F.col("ord") % 2 == 0)
+    return tables.parse_jobs(tables.jobs_text(j)).join(j.select("url", F.col("ord").alias("at")), "url").select("url", F.col("at").alias("ord"), "all_done")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 2")
+def sample_first_n(spark, sf):
+    return jobs.sample_first(read(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 2)
+
+
+# Colors
+
+RGB = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 256 AS DOUBLE) AS r1, CAST(l_suppkey * 37 % 256 AS DOUBLE) AS g1, CAST(l_orderkey % 256 AS DOUBLE) AS b1, CAST(l_quantity * 5 AS DOUBLE) AS r2, CAST(l_linenumber * 31 AS DOUBLE) AS g2, CAST(l_partkey * 7 % 256 AS DOUBLE) AS b2 FROM {lineitem}"
+
+
+def _lab_sql(k: int) -> str:
+    lin = [f"(CASE WHEN {c}{k} / 255 > 0.04045 THEN pow(({c}{k} / 255 + 0.055) / 1.055, 2.4) ELSE {c}{k} / 255 / 12.92 END)" for c in "rgb"]
+    return ", ".join(f"100 * ({' + '.join(f'{lin[j]} * {w}' for j, w in enumerate(row))}) / {white} AS {n}{k}" for n, row, white in zip("xyz", C.TO_XYZ, C.WHITE))
+
+
+def _f(v: str) -> str:
+    return f"(CASE WHEN {v} > 0.008856 THEN pow({v}, 1.0 / 3) ELSE 7.787 * {v} + 16.0 / 116 END)"
+
+
+KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def colors(spark, sf):
+    c = spark.sql(RGB.format(lineitem="{lineitem}"), lineitem=read(spark, sf, "lineitem"))
+    return c.withColumns({"one": F.array("r1", "g1", "b1"), "two": F.array("r2", "g2", "b2")})
+
+
+@query(f"WITH c AS ({RGB.format(lineitem='lineitem')}), v AS (SELECT *, {_lab_sql(1)} FROM c) SELECT {KEY}, round(116 * {_f('y1')} - 16, 4) AS lab_l, round(500 * ({_f('x1')} - {_f('y1')}), 4) AS lab_a, round(200 * ({_f('y1')} - {_f('z1')}), 4) AS lab_b FROM v")
+def color_lab(spark, sf):
+    lab = C.lab(F.col("one"))
+    return colors(spark, sf).select(*KEY.split(", "), *[F.round(lab[k], 4).alias(f"lab_{n}") for k, n in enumerate("lab")])
+
+
+@query(f"WITH c AS ({RGB.format(lineitem='lineitem')}), v AS (SELECT *, {_lab_sql(1)}, {_lab_sql(2)} FROM c), w AS (SELECT *, 116 * {_f('y1')} - 16 AS l1, 116 * {_f('y2')} - 16 AS l2 FROM v) SELECT {KEY}, round((greatest(l1, l2) / 100 + 0.05) / (least(l1, l2) / 100 + 0.05), 3) AS lum, round(sqrt((pow(r1 - r2, 2) + pow(g1 - g2, 2) + pow(b1 - b2, 2)) / 3), 1) AS rgb, abs(r1 - r2) + abs(g1 - g2) + abs(b1 - b2) > 15.3 AS differs FROM w")
+def color_contrasts(spark, sf):
+    a, b = F.col("one"), F.col("two")
+    return colors(spark, sf).select(*KEY.split(", "), C.luminance_contrast(a, b).alias("lum"), C.rgb_contrast(a, b).alias("rgb"), C.differ(a, b).alias("differs"))
+
+
+@query(f"WITH c AS ({RGB.format(lineitem='lineitem')}) SELECT {KEY}, round(r1 * (l_linenumber / 10.0) + r2 * (1 - l_linenumber / 10.0), 6) AS r, floor(l_linenumber / 10.0 * 255 + 0.5) AS alpha FROM c")
+def color_over(spark, sf):
+    a = F.col("l_linenumber") / 10
+    return colors(spark, sf).select(*KEY.split(", "), F.round(C.over(F.array("r1", "g1", "b1", a), F.col("two"))[0], 6).alias("r"), C.alpha_byte(a).alias("alpha"))
+
+
+# Rectangles
+
+
+@query(f"WITH {PAIRS} SELECT page_id, a_id, b_id, round(sqrt(pow(greatest(gx, 0), 2) + pow(greatest(gy, 0), 2)), 6) AS value FROM p")
+def spatial_distance_l2(spark, sf):
+    return rounded(boxes.spatial_distance(rects(spark, sf)), "value").drop("metric")
+
+
+@query(f"WITH {PAIRS} SELECT page_id, a_id, b_id, round(greatest(gx, 0) + greatest(gy, 0), 6) AS l1, round(greatest(gx, gy, 0), 6) AS mx, CASE WHEN gx < 5 AND gy < 5 THEN 0 ELSE 1 END AS bin FROM p")
+def spatial_distance_other(spark, sf):
+    p = boxes.pairs(rects(spark, sf))
+    x, y = boxes._axes(G.gap)
+    return rounded(p.select("page_id", "a_id", "b_id", G.merge(x, y, "l1").alias("l1"), G.merge(x, y, "max").alias("mx"), G.merge(x, y, "bin").cast("int").alias("bin")), "l1", "mx")
+
+
+@query(f"WITH {PAIRS} SELECT page_id, a_id, b_id, round(ox, 6) AS x, round(oy, 6) AS y FROM p")
+def spatial_overlap(spark, sf):
+    return rounded(boxes.spatial_overlap(rects(spark, sf)), "x", "y")
+
+
+@query(f"WITH {PAIRS} SELECT page_id, a_id, b_id, round(greatest(ox * {FADE.format('gy')} + oy * {FADE.format('gx')}, qx * {FADE.format('gy')} + qy * {FADE.format('gx')}), 6) AS value FROM p")
+def spatial_connectedness(spark, sf):
+    return rounded(boxes.connectedness(rects(spark, sf)), "value").drop("metric")
+
+
+@query(f"WITH {R} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id FROM r x JOIN r y ON x.page_id = y.page_id AND x.el_id % 2 = 0 AND y.el_id % 2 = 1 WHERE least(x.r, y.r) - greatest(x.l, y.l) > 10 AND least(x.b, y.b) - greatest(x.t, y.t) > 10")
+def rectangle_range_join(spark, sf):
+    r = rects(spark, sf)
+    return boxes.overlapping(r.where("el_id % 2 = 0"), r.where("el_id % 2 = 1"), 10).select("page_id", "a_id", "b_id")
+
+
+@query(f"WITH {R} SELECT page_id, round(min(l), 6) AS l, round(min(t), 6) AS t, round(max(r), 6) AS r, round(max(b), 6) AS b FROM r GROUP BY page_id")
+def bounding_union(spark, sf):
+    return rounded(boxes.bounding_union(rects(spark, sf), "page_id"), "l", "t", "r", "b")
+
+
+@query(f"WITH {R} SELECT x.page_id, count(*) FILTER (abs(x.l - y.l) <= 5) AS n_equal, count(*) AS n_pairs FROM r x JOIN r y ON x.page_id = y.page_id AND x.el_id < y.el_id GROUP BY 1")
+def equal_coordinates(spark, sf):
+    return boxes.equal_coordinates(rects(spark, sf), "l")
+
+
+ENC = f"{R}, i AS (SELECT e.page_id, e.el_id AS env_id, p.el_id FROM r e JOIN r p ON e.page_id = p.page_id WHERE e.el_id % 3 = 0 AND e.b - e.t >= (p.b - p.t) / 2 AND e.r - e.l >= (p.r - p.l) / 2 AND least(e.r, p.r) - greatest(e.l, p.l) > least(p.r - p.l, p.b - p.t) / 2 AND least(e.b, p.b) - greatest(e.t, p.t) > least(p.r - p.l, p.b - p.t) / 2)"
+
+
+@query(f"WITH {ENC} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, CAST(count(*) AS DOUBLE) AS value FROM i x JOIN i y ON x.page_id = y.page_id AND x.env_id = y.env_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3")
+def enclosure_counts(spark, sf):
+    r = rects(spark, sf)
+    return boxes.shared_envelopes(boxes.enclosed(r, r.where("el_id % 3 = 0"))).drop("metric")
+
+
+@query(f"WITH {R} SELECT page_id, el_id, least(r - l, b - t) <= 40 AND greatest(r - l, b - t) >= 1.5 * least(r - l, b - t) AS ui, greatest(r - l, b - t) <= 48 AND greatest(r - l, b - t) <= 1.5 * least(r - l, b - t) AS icon, CASE WHEN (r - l) * (b - t) <= 4500 THEN 'primitive' ELSE 'standalone' END AS iframe, 1440 * 900 * 0.8 > (r - l) * (b - t) AS widget FROM r")
+def box_kinds(spark, sf):
+    w, h = F.col("r") - F.col("l"), F.col("b") - F.col("t")
+    return rects(spark, sf).select("page_id", "el_id", G.is_ui(w, h).alias("ui"), G.is_icon(w, h).alias("icon"), G.iframe_kind(w, h).alias("iframe"), G.is_widget(w * h, F.lit(1440 * 900)).alias("widget"))
+
+
+@query(f"WITH {R} SELECT page_id, el_id, round(l, 6) AS l, round(greatest(t, 50), 6) AS t, round(greatest(least(r, 700), l), 6) AS r, round(greatest(least(b, 300), greatest(t, 50)), 6) AS b FROM (SELECT page_id, el_id, greatest(l, 100) AS l, t, r, b FROM r)")
+def box_clip(spark, sf):
+    made = G.clip({k: F.col(k) for k in "ltrb"}, {"l": F.lit(100.0), "t": F.lit(50.0), "r": F.lit(700.0), "b": F.lit(300.0)})
+    return rects(spark, sf).select("page_id", "el_id", *[F.round(v, 6).alias(k) for k, v in made.items()])
+
+
+@query(f"""WITH {R}, s AS (SELECT page_id, el_id, (l - 20) / 2 AS l, t - 2 AS t, r * 1.5 AS r, b + 500 AS b FROM r)
+    SELECT page_id, el_id, CASE WHEN (r - l > 1296 AND b - t > 405) OR (r - l > 648 AND b - t > 810) THEN NULL
+    WHEN r - l > 1296 AND t < 5 AND t > -5 THEN 'top' WHEN r - l > 1296 AND b < 905 AND b > 895 THEN 'bottom'
+    WHEN b - t > 810 AND l < 5 AND l > -5 THEN 'left' WHEN b - t > 810 AND r < 1445 AND r > 1435 THEN 'right' END AS bar FROM s""")
+def box_sticky_bar(spark, sf):
+    box = {"l": (F.col("l") - 20) / 2, "t": F.col("t") - 2, "r": F.col("r") * 1.5, "b": F.col("b") + 500}
+    return rects(spark, sf).select("page_id", "el_id", G.sticky_bar(box).alias("bar"))
+
+
+def _samples_sql() -> str:
+    parts = []
+    for lo, hi, o1, o2, flip in (("l", "r", "t", "b", False), ("t", "b", "l", "r", True)):
+        along, across = f"floor({lo} - s / n / 2 + i * s / n + 0.5)", "floor(o + 0.5)"
+        x, y = (across, along) if flip else (along, across)
+        parts.append(f"SELECT page_id, el_id, {x} AS x, {y} AS y FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT *, unnest([{o1} - 2, {o1} - 5, {o2} + 2, {o2} + 5]) AS o FROM (SELECT *, {hi} - {lo} AS s, CAST(CASE WHEN {hi} - {lo} < 20 THEN greatest(1, floor(({hi} - {lo}) / 5)) ELSE 4 END AS INT) AS n FROM r)))")
+    return f"WITH {R}, q AS ({' UNION ALL '.join(parts)}) SELECT page_id, el_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM q WHERE x >= 0 AND x < 1440 AND y >= 0 AND y < 900"
+
+
+@query(_samples_sql())
+def outside_samples(spark, sf):
+    return boxes.outside_samples(rects(spark, sf), 1440, 900)
+
+
+@query()
+def flex_space(spark, sf):
+    r = rects(spark, sf)
+    c = boxes.bounding_union(r, "page_id").select("page_id", F.lit(0).cast("long").alias("box_id"), *[F.col(k).alias(f"c_{k}") for k in "ltrb"])
+    return boxes.flex_space(r.join(c, "page_id"))
+
+
+# Matrices and clusters
+
+
+def matrices(spark, sf):
+    """Spatial, connectedness and enclosure matrices of rectangles, and element distance as an HTML stand-in."""
+    r = rects(spark, sf)
+    tree = boxes.pairs(r).select("page_id", F.lit("dist_html_sum").alias("metric"), "a_id", "b_id", F.abs(F.col("a_id") - F.col("b_id")).cast("double").alias("value"))
+    mods = boxes.shared_envelopes(boxes.enclosed(r, r.where("el_id % 3 = 0")))
+    return tree.unionByName(boxes.spatial_distance(r)).unionByName(boxes.connectedness(r)).unionByName(mods)
+
+
+CONN = f"greatest(ox * {FADE.format('gy')} + oy * {FADE.format('gx')}, qx * {FADE.format('gy')} + qy * {FADE.format('gx')})"
+NORM = f"""{PAIRS}, m AS (SELECT page_id, a_id, b_id, CAST(abs(a_id - b_id) AS DOUBLE) AS h, sqrt(pow(greatest(gx, 0), 2) + pow(greatest(gy, 0), 2)) AS s, {CONN} AS c FROM p),
+    n AS (SELECT page_id, a_id, b_id, CASE WHEN max(h) OVER w = 0 THEN 0 ELSE h / max(h) OVER w END AS h, CASE WHEN max(s) OVER w = 0 THEN 0 ELSE s / max(s) OVER w END AS s, 1 - CASE WHEN max(c) OVER w = 0 THEN 0 ELSE c / max(c) OVER w END AS c FROM m WINDOW w AS (PARTITION BY page_id))"""
+
+
+@query(f"WITH {NORM} SELECT page_id, 'dist_html_sum' AS metric, a_id, b_id, round(h, 6) AS value FROM n UNION ALL SELECT page_id, 'dist_spat_l2', a_id, b_id, round(s, 6) FROM n UNION ALL SELECT page_id, 'sim_spatConnect_gauss', a_id, b_id, round(c, 6) FROM n")
+def matrix_normalise(spark, sf):
+    return rounded(clusters.normalised(matrices(spark, sf).where(~F.startswith("metric", F.lit("mod_")))), "value")
+
+
+@query(f"WITH {NORM} SELECT page_id, a_id, b_id, round((h + 0.5 * s) / 1.5, 6) AS html_spat, round((h + 0.5 * c) / 1.5, 6) AS html_conn FROM n")
+def matrix_combine(spark, sf):
+    n = clusters.normalised(matrices(spark, sf).where(~F.startswith("metric", F.lit("mod_"))))
+    a, b = (clusters.combined(n, ["dist_html_", p], [1, 0.5]) for p in ("dist_spat_", "sim_"))
+    return rounded(a.select("page_id", "a_id", "b_id", F.col("value").alias("html_spat")).join(b.select("page_id", "a_id", "b_id", F.col("value").alias("html_conn")), ["page_id", "a_id", "b_id"]), "html_spat", "html_conn")
+
+
+@query(f"WITH {NORM}, i AS ({ENC.split('i AS (', 1)[1]}, e AS (SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, count(*) + 1 AS k FROM i x JOIN i y ON x.page_id = y.page_id AND x.env_id = y.env_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3) SELECT page_id, a_id, b_id, round(h / coalesce(k, 1), 6) AS value FROM n LEFT JOIN e USING (page_id, a_id, b_id)")
+def matrix_modify(spark, sf):
+    n = clusters.normalised(matrices(spark, sf))
+    mod = F.startswith("metric", F.lit("mod_"))
+    return rounded(clusters.modified(n.where(F.col("metric") == "dist_html_sum"), n.where(mod)), "value").drop("metric")
+
+
+@query()
+def matrix_clusters(spark, sf):
+    """The five methods that the export keeps, clustered."""
+    kept = clusters.methods(matrices(spark, sf)).where(F.endswith("metric", F.lit("mod_bgAndBrd")))
+    return clusters.cluster(kept)
+
+
+# Trees
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_items FROM pages")
+def dom_counts(spark, sf):
+    e = elements(spark, sf).groupBy("page_id").agg(F.count_if((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).alias("n_links"), F.count_if(F.col("tag") == "li").alias("n_items"))
+    return read(spark, sf, "pages").select("page_id").join(e, "page_id", "left").na.fill(0)
+
+
+ROOT = "regexp_extract(url, '^\\w+://[^/?#]+')"
+
+
+@query(f"SELECT page_id, CASE WHEN u LIKE '/%' THEN {ROOT} || u ELSE u END AS href, CAST(count(*) AS BIGINT) AS n, false AS external FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS u FROM pages) GROUP BY 1, 2")
+def links(spark, sf):
+    made = dom.links(elements(spark, sf), read(spark, sf, "pages"))
+    return made.groupBy("page_id", "href").agg(F.count("*").alias("n"), F.bool_or("external").alias("external"))
+
+
+@query("WITH h AS (SELECT page_id, (CASE WHEN contains(html, '<body>') THEN 1 ELSE 0 END) AS k FROM pages) SELECT page_id, CAST(k AS BIGINT) AS n FROM h")
+def dom_bodies(spark, sf):
+    e = elements(spark, sf).where("tag = 'body'").groupBy("page_id").agg(F.count("*").alias("n"))
+    return read(spark, sf, "pages").select("page_id").join(e, "page_id", "left").na.fill(0)
+
+
+@query()
+def dom_elements(spark, sf):
+    return elements(spark, sf)
+
+
+@query()
+def dom_closure(spark, sf):
+    return dom.closure(elements(spark, sf))
+
+
+@query()
+def dom_outermost(spark, sf):
+    return dom.outermost(elements(spark, sf).where(F.col("tag").isin(*dom.BLOCKS))).select("page_id", "el_id", "tag")
+
+
+@query()
+def dom_innermost(spark, sf):
+    return dom.innermost(elements(spark, sf).where(F.col("tag").isin(*dom.BLOCKS))).select("page_id", "el_id", "tag")
+
+
+@query()
+def dom_members(spark, sf):
+    e = elements(spark, sf)
+    return dom.members(e.where(F.col("tag").isin("nav", "article", "footer")).withColumn("group_id", F.col("el_id")), dom.with_text(e))
+
+
+@query()
+def dom_nearest_block(spark, sf):
+    e = elements(spark, sf)
+    return dom.nearest_ancestor(e, e.where(F.col("tag").isin(*dom.BLOCKS)))
+
+
+@query()
+def dom_html_distance(spark, sf):
+    return dom.html_distance(dom.outermost(elements(spark, sf).where(F.col("tag").isin("li", "article", "footer", "h1"))).unionByName(elements(spark, sf).where(F.col("tag").isin("body", "html", "nav", "ul"))))
+
+
+@query()
+def dom_inner_text(spark, sf):
+    return dom.inner_text(elements(spark, sf).where(~F.col("tag").isin("script", "style")))
+
+
+@query()
+def dom_paragraphs(spark, sf):
+    return dom.paragraphs(elements(spark, sf))
+
+
+@query()
+def dom_icons(spark, sf):
+    return dom.icons(elements(spark, sf))
+
+
+@query()
+def dom_controls(spark, sf):
+    return dom.native_controls(elements(spark, sf)).select("page_id", "el_id", "tag")
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<style>')) AS BIGINT) AS n FROM pages")
+def css_selectors(spark, sf):
+    s = html.style_selectors(read(spark, sf, "pages")).groupBy("page_id").agg(F.count("*").alias("n"))
+    return read(spark, sf, "pages").select("page_id").join(s, "page_id", "left").na.fill(0)
+
+
+@query()
+def dom_clusters_with_roots(spark, sf):
+    """HTML distances of text elements, clustered, with the root of each cluster."""
+    e = elements(spark, sf)
+    t = dom.with_text(e).select("page_id", "el_id")
+    pair = dom.html_distance(e)
+    both = pair.join(t.withColumnRenamed("el_id", "a_id"), ["page_id", "a_id"], "left_semi").join(t.withColumnRenamed("el_id", "b_id"), ["page_id", "b_id"], "left_semi")
+    labels = clusters.cluster(clusters.normalised(both))
+    return clusters.groups(labels, clusters.roots(clusters.ladders(labels, e)))
+
+
+@query("SELECT n_regionkey AS ord, n_name AS line FROM nation WHERE false UNION ALL SELECT 1099511627776 - n_nationkey, n_name || chr(9) || n_regionkey FROM nation UNION ALL SELECT -1, 'n_name' || chr(9) || 'n_regionkey'")
+def tsv_export(spark, sf):
+    return tables.tsv_lines(read(spark, sf, "nation").select(F.col("n_nationkey").cast("long"), "n_name", "n_regionkey"), "n_nationkey")
