@@ -266,6 +266,13 @@ def cut_out(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text", "spans.begin", "spans.end").mapInArrow(run, "rid long, n_removed long, kept_sha256 string, kept string")
 
 
+def _numbers() -> Column:
+    """Row numbers below 2^39, so that a number and a place make one long: 17 bits for the partition, 22 for the row in it."""
+    n = F.monotonically_increasing_id()
+    part, row = F.shiftright(n, 33), n.bitwiseAND(F.lit((1 << 33) - 1))
+    return F.when((part < 1 << 17) & (row < 1 << 22), F.shiftleft(part, 22) + row).otherwise(F.raise_error(F.lit("too many partitions, or rows in one")).cast("long"))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row; with_text also kept, the text that is left (null: the input, unchanged)."""
     made = written(survey(docs, width, id_col, text_col), "survey")
@@ -281,7 +288,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     texts = source.join(repeated, "digest")
     if not copies.where("copies > 1").isEmpty():  # one of each group of equal texts: the first of each task, then the first of those
         texts = texts.groupBy("digest").agg(F.first("text").alias("text"), F.first("places").alias("places"))
-    texts = written(texts.select("digest", "text", "places", F.monotonically_increasing_id().alias("rid")), "texts")
+    texts = written(texts.select("digest", "text", "places", _numbers().alias("rid")), "texts")
     held = written(windows(texts, width), "windows")
     spots = held.select("rid", F.explode(F.arrays_zip(F.col("starts").alias("s"), F.col("hashes").alias("h"))).alias("a")).select(F.col("a.h").alias("h"), (F.col("rid") * _PLACE + F.col("a.s")).alias("at"))
     first = spots.groupBy("h").agg(F.min("at").alias("ref"), F.max("at").alias("last")).where("ref <> last").select("h", "ref")
