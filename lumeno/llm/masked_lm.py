@@ -30,7 +30,7 @@ CLASSES, MEMBERS = 32, 64
 SIZE = CLASSES * MEMBERS
 TAILS = 64
 KNOWN = SIZE - TAILS
-DIM, HIDDEN, EVERY, BATCH = 24, 32, 8, 2048
+DIM, HIDDEN, EVERY, BATCH = 24, 32, 8, 512
 PLACES = (-2, -1, 1, 2)
 SHAPES = {"emb": (SIZE + 1, DIM), "mixer": (len(PLACES) * DIM, HIDDEN), "bias": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_bias": (CLASSES,), "member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
