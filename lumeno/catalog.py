@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lumeno.functions import color as C
 from lumeno.functions import geometry as G
 from lumeno.functions import text as T
-from lumeno.operators import boxes, clusters, dom, jobs
-from lumeno.sources import html, tables
+from lumeno.operators import boxes, clusters, dom, groups, jobs, snapshot
+from lumeno.sources import html, snapshots, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -462,3 +462,40 @@ def dom_clusters_with_roots(spark, sf):
 @query("SELECT n_regionkey AS ord, n_name AS line FROM nation WHERE false UNION ALL SELECT 1099511627776 - n_nationkey, n_name || chr(9) || n_regionkey FROM nation UNION ALL SELECT -1, 'n_name' || chr(9) || 'n_regionkey'")
 def tsv_export(spark, sf):
     return tables.tsv_lines(read(spark, sf, "nation").select(F.col("n_nationkey").cast("long"), "n_name", "n_regionkey"), "n_nationkey")
+
+
+# Snapshots and semantic groups (on the stand-in layout)
+
+
+def snapshot_query(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        pages = read(spark, sf, "pages")
+        return f(snapshots.from_pages(pages), pages)
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
+KEYS = ("page_id", "el_id", "tag")
+for _name, _f in {
+    "snapshot_clipped": lambda e, p: snapshot.clipped(e).select(*KEYS, "cl", "ct", "cr", "cb"),
+    "snapshot_visible": lambda e, p: snapshot.visible(e).select(*KEYS),
+    "snapshot_visible_text": lambda e, p: snapshot.visible_text(e).select(*KEYS),
+    "snapshot_graphics": lambda e, p: snapshot.graphics(e).select(*KEYS, "kind"),
+    "snapshot_positioned": lambda e, p: snapshot.positioned(e).select(*KEYS),
+    "snapshot_computed_controls": lambda e, p: snapshot.computed_controls(e).select(*KEYS),
+    "snapshot_primitives": lambda e, p: snapshot.primitives(e),
+    "snapshot_full_window": lambda e, p: snapshot.full_window(e),
+    "group_root": lambda e, p: groups.root_element(e).select(*KEYS),
+    "group_headers": lambda e, p: groups.headers(e).select(*KEYS),
+    "group_footers": lambda e, p: groups.footers(e).select(*KEYS),
+    "group_forms": lambda e, p: groups.forms(e).select(*KEYS),
+    "group_main_body": lambda e, p: groups.main_body(e).select(*KEYS),
+    "group_menus": lambda e, p: groups.menus(e, p),
+    "group_titles": lambda e, p: groups.titles(e),
+    "group_logos": lambda e, p: groups.logos(e, p),
+    "group_social_buttons": lambda e, p: groups.social_buttons(e, p),
+    "group_function_areas": lambda e, p: groups.function_areas(e),
+    "group_properties": lambda e, p: groups.properties(e.where("tag in ('nav', 'article', 'footer')").withColumn("group_id", F.col("el_id")), dom.members(e.where("tag in ('nav', 'article', 'footer')").withColumn("group_id", F.col("el_id")), dom.with_text(e)), e),
+}.items():
+    snapshot_query(_name, _f)
