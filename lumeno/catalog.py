@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumeno.functions import color as C
 from lumeno.functions import geometry as G
+from lumeno.functions import scramble
 from lumeno.functions import text as T
 from lumeno.operators import boxes, clusters, dom, groups, jobs, snapshot
 from lumeno.sources import html, snapshots, tables
@@ -499,3 +500,35 @@ for _name, _f in {
     "group_properties": lambda e, p: groups.properties(e.where("tag in ('nav', 'article', 'footer')").withColumn("group_id", F.col("el_id")), dom.members(e.where("tag in ('nav', 'article', 'footer')").withColumn("group_id", F.col("el_id")), dom.with_text(e)), e),
 }.items():
     snapshot_query(_name, _f)
+
+
+for _name, _f in {
+    "group_overlays": lambda e, p: groups.overlays(e).select(*KEYS),
+    "group_fixed_areas": lambda e, p: groups.fixed_areas(e),
+    "group_rotating_banners": lambda e, p: groups.rotating_banners(e),
+    "group_main_text": lambda e, p: groups.main_text(e, p),
+}.items():
+    snapshot_query(_name, _f)
+
+
+@query(f"WITH {R}, s AS (SELECT page_id, l_tag, sum(n) AS n FROM (SELECT page_id, floor(t / 100) AS l_tag, el_id AS n FROM r) GROUP BY 1, 2) SELECT page_id, CAST(arg_max(l_tag, struct_pack(n := n, f := l_tag)) AS DOUBLE) AS font_size FROM s GROUP BY 1")
+def common_font_size(spark, sf):
+    t = rects(spark, sf).select("page_id", F.lit(0).alias("group_id"), F.floor(F.col("t") / 100).cast("double").alias("font_size"), F.col("el_id").alias("n_chars"))
+    return groups.common_font_size(t).select("page_id", "font_size")
+
+
+@query(f"WITH {R} SELECT page_id, round(sum(2 * greatest(0, (b - t - 30) / 2) * (r - l) + (b - t) * (2 * (el_id - 1) + 0.5 * (el_id * 6 - 1))), 4) AS space FROM r GROUP BY 1")
+def text_white_space(spark, sf):
+    x = rects(spark, sf).select("page_id", F.lit(0).alias("group_id"), (F.col("b") - F.col("t")).alias("line_height"), F.lit(30.0).alias("font_size"), (F.col("r") - F.col("l")).alias("width"), F.col("el_id").alias("n_words"), (F.col("el_id") * 6).alias("n_chars"), F.lit(2.0).alias("word_spacing"), F.lit(0.5).alias("letter_spacing"))
+    return groups.text_white_space(x).select("page_id", F.round("space", 4).alias("space"))
+
+
+@query()
+def text_lines(spark, sf):
+    return groups.text_lines(rects(spark, sf).withColumn("group_id", F.lit(0)))
+
+
+@query("SELECT p_partkey, length(p_name) AS n, repeat('█', CAST(length(p_name) AS INT)) AS black FROM part")
+def text_scramble(spark, sf):
+    made = read(spark, sf, "part").select("p_partkey", "p_name", scramble.scramble(F.col("p_name")).alias("s"))
+    return made.select("p_partkey", F.length("s").cast("long").alias("n"), scramble.black(F.col("p_name")).alias("black"))

@@ -140,3 +140,78 @@ def properties(groups: DataFrame, members: DataFrame, rects: DataFrame) -> DataF
     """A row for each group: its root's tag and box, and the box of its primitives (inGrPrimBBox)."""
     inner = members.join(rects.select("page_id", "el_id", *"ltrb"), ["page_id", "el_id"]).groupBy("page_id", "group_id").agg(*[f(k).alias(f"in_{k}") for k, f in (("l", F.min), ("t", F.min), ("r", F.max), ("b", F.max))], F.count("*").alias("n_members"))
     return groups.select("page_id", "group_id", "tag", *"ltrb").join(inner, ["page_id", "group_id"], "left").withColumn("zero_sized", snapshot.width() * snapshot.height() == 0)
+
+
+def fixed_areas(elements: DataFrame) -> DataFrame:
+    """page_id, el_id, location of fixed or sticky bars (G1)."""
+    from lumeno.functions import geometry as G
+
+    return elements.where(F.col("position").isin("fixed", "sticky")).withColumn("location", G.sticky_bar({k: F.col(k) for k in "ltrb"})).where("location IS NOT NULL").select("page_id", "el_id", "tag", "location", *"ltrb")
+
+
+def overlays(elements: DataFrame, page_height: float = 900, most: float = 0.25) -> DataFrame:
+    """Elements that lie over others (G1): fixed ones that are no bars, and positioned ones above the fold that cover a
+    primitive by more than half its short side without containing it; none if over a quarter of the primitives stand in them."""
+    from lumeno.operators import boxes
+
+    pos = snapshot.positioned(elements).join(fixed_areas(elements).select("page_id", "el_id"), ["page_id", "el_id"], "left_anti")
+    prim = elements.join(snapshot.primitives(elements).select("page_id", "el_id").distinct(), ["page_id", "el_id"])
+    over = boxes.enclosed(prim, pos.where((F.col("position") != "fixed") & (F.col("t") < page_height)))
+    held = dom.closure(elements).select("page_id", F.col("anc_id").alias("env_id"), F.col("desc_id").alias("el_id"))
+    covers = over.join(held, ["page_id", "env_id", "el_id"], "left_anti").join(held.withColumnRenamed("env_id", "_x").withColumnRenamed("el_id", "env_id").withColumnRenamed("_x", "el_id"), ["page_id", "env_id", "el_id"], "left_anti")
+    found = dom.outermost(pos.where("position = 'fixed'").unionByName(pos.join(covers.select("page_id", F.col("env_id").alias("el_id")).distinct(), ["page_id", "el_id"], "left_semi")))
+    total = prim.groupBy("page_id").agg(F.count("*").alias("_n"))
+    within = dom.inside(prim, found).groupBy("page_id").agg(F.count("*").alias("_k"))
+    many = total.join(within, "page_id").where(F.col("_k") > most * F.col("_n")).select("page_id")
+    return found.join(many, "page_id", "left_anti")
+
+
+def rotating_banners(elements: DataFrame, threshold: float = 5) -> DataFrame:
+    """page_id, el_id (container), shown_id, hidden_id: a visible main graphic with hidden ones of its tag and size in the lowest element that holds them."""
+    g = snapshot.graphics(elements).where("kind in ('main', 'bg.main')").withColumns({"w": snapshot.width(), "h": snapshot.height()})
+    side = lambda p, v: g.where(F.col("visible") == v).select("page_id", "tag", F.col("el_id").alias(f"{p}_id"), F.col("w").alias(f"{p}_w"), F.col("h").alias(f"{p}_h"))
+    pair = side("shown", True).join(side("hidden", False), ["page_id", "tag"]).where((F.abs(F.col("shown_w") - F.col("hidden_w")) <= threshold) & (F.abs(F.col("shown_h") - F.col("hidden_h")) <= threshold))
+    met = dom.common_ancestor(pair.select("page_id", F.col("shown_id").alias("a_id"), F.col("hidden_id").alias("b_id")), elements)
+    shown = dom.members(elements.withColumn("group_id", F.col("el_id")), g.where("visible")).groupBy("page_id", "group_id").agg(F.count("*").alias("n")).where("n = 1")
+    return met.join(shown, (met["page_id"] == shown["page_id"]) & (met["lca_id"] == shown["group_id"]), "left_semi").select("page_id", F.col("lca_id").alias("el_id"), F.col("a_id").alias("shown_id"), F.col("b_id").alias("hidden_id"))
+
+
+def main_text(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, el_id, n_chars of text chunks outside forms and menus (G10): the highest elements with at least 75 % such text,
+    a full stop, texts of 28 characters on average, and more than 56 in all."""
+    t = dom.with_text(elements)
+    t = dom.outside(dom.outside(t, forms(elements)), elements.join(menus(elements, pages).select("page_id", "el_id"), ["page_id", "el_id"], "left_semi"))
+    own = t.select("page_id", F.col("el_id").alias("desc_id"), dom.text_of(F.col("own_text")).alias("x"))
+    per = dom.closure(elements).join(own, ["page_id", "desc_id"]).groupBy("page_id", F.col("anc_id").alias("el_id")).agg(F.sum(F.length("x")).alias("n_chars"), F.avg(F.length("x")).alias("mean"), F.bool_or(F.contains("x", F.lit("."))).alias("dot"))
+    good = per.join(_texts(elements), ["page_id", "el_id"]).where((F.col("n_chars") >= 0.75 * F.col("n")) & (F.col("mean") >= SHORT) & F.col("dot") & (F.col("n_chars") > LONG))
+    return dom.outermost(elements.where(~F.col("tag").isin("html", "body")).join(good.select("page_id", "el_id", "n_chars"), ["page_id", "el_id"])).select("page_id", "el_id", "n_chars")
+
+
+def common_font_size(texts: DataFrame) -> DataFrame:
+    """For each group the font size that most characters have (A4): rows of page_id, group_id, font_size, n_chars."""
+    per = texts.groupBy("page_id", "group_id", "font_size").agg(F.sum("n_chars").alias("n"))
+    return per.groupBy("page_id", "group_id").agg(F.max_by("font_size", F.struct("n", "font_size")).alias("font_size"))
+
+
+def text_white_space(lines: DataFrame) -> DataFrame:
+    """White space around text (A7): rows of page_id, group_id, line_height, font_size, width, n_words, n_chars, word_spacing, letter_spacing."""
+    gap = F.greatest(F.lit(0.0), (F.col("line_height") - F.col("font_size")) / 2)
+    space = 2 * gap * F.col("width") + F.col("line_height") * (F.col("word_spacing") * (F.col("n_words") - 1) + F.col("letter_spacing") * (F.col("n_chars") - 1))
+    return lines.groupBy("page_id", "group_id").agg(F.sum(space).alias("space"))
+
+
+def text_lines(rects: DataFrame, tolerance: float = 5) -> DataFrame:
+    """page_id, group_id, n_lines, width (of all lines together): rectangles whose top is within the tolerance of a line's first one make a line (P5)."""
+    ordered = F.sort_array(F.collect_list(F.struct("t", "l", "r")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, x: Column) -> Column:
+        new = a["top"].isNull() | (x["t"] - a["top"] > tolerance)
+        return F.struct(
+            (a["n"] + F.when(new, 1).otherwise(0)).alias("n"), F.when(new, x["t"]).otherwise(a["top"]).alias("top"),
+            F.when(new, x["l"]).otherwise(F.least(a["lo"], x["l"])).alias("lo"), F.when(new, x["r"]).otherwise(F.greatest(a["hi"], x["r"])).alias("hi"),
+            (a["sum"] + F.when(new, a["hi"] - a["lo"]).otherwise(0.0)).alias("sum"),
+        )
+
+    made = rects.groupBy("page_id", "group_id").agg(ordered.alias("x")).select("page_id", "group_id", F.aggregate("x", start, step, lambda a: F.struct(a["n"].alias("n_lines"), (a["sum"] + a["hi"] - a["lo"]).alias("width"))).alias("v"))
+    return made.select("page_id", "group_id", "v.n_lines", "v.width")

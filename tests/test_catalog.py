@@ -10,7 +10,7 @@ from lumeno import catalog
 
 DIR = "/root/testdata/sf0.001"
 #: The test pages have no controls, images or forms.
-MAY_BE_EMPTY = {"dom_controls", "snapshot_graphics", "snapshot_positioned", "snapshot_full_window", "snapshot_computed_controls", "group_headers", "group_footers", "group_forms", "group_logos", "group_social_buttons", "group_function_areas", "group_menus", "group_titles"}
+MAY_BE_EMPTY = {"dom_controls", "snapshot_graphics", "snapshot_positioned", "snapshot_full_window", "snapshot_computed_controls", "group_headers", "group_footers", "group_forms", "group_logos", "group_social_buttons", "group_function_areas", "group_menus", "group_titles", "group_overlays", "group_fixed_areas", "group_rotating_banners", "group_main_text"}
 
 
 def plain(v):

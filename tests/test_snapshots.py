@@ -71,3 +71,30 @@ def test_pixels(spark):
     assert r.mean == [127.5, 0.0, 127.5] and r.sd == 85.0
     d = snapshot.image_difference(spark.createDataFrame([(1, raw, raw), (2, raw, bytearray(8))], "page_id long, one binary, two binary")).orderBy("page_id").collect()
     assert (d[0].same, d[0].difference) == (True, 0) and (d[1].same, d[1].difference) == (False, 4 * 255)
+
+
+def test_overlays_bars_and_banners(spark):
+    e, _ = page(spark, "<p data-box='0,500,300,540'>under</p>" + "".join(f"<p data-box='0,{600 + 50 * k},300,{640 + 50 * k}'>t{k}</p>" for k in range(8)) + "<div data-position='absolute' data-box='0,490,400,560'><p data-box='10,500,20,510'>pop</p></div><nav data-position='fixed' data-box='0,0,1440,60'>bar</nav>")
+    assert [(r.tag, r.l, r.t) for r in groups.overlays(e).collect()] == [("div", 0.0, 490.0)]
+    assert [(r.tag, r.location) for r in groups.fixed_areas(e).collect()] == [("nav", "top")]
+    e, _ = page(spark, "<div><img data-box='0,0,800,300'><img data-hidden='1' data-box='0,0,800,300'><img data-hidden='1' data-box='0,0,100,300'></div>")
+    assert groups.rotating_banners(e).count() == 1
+
+
+def test_main_text(spark):
+    e, p = page(spark, "<article><p>A sentence that is long enough to count here.</p><p>And a second one that is long enough to count.</p></article><form><p>A sentence that stands in a form and does not count.</p><input></form>")
+    assert [r.el_id for r in groups.main_text(e, p).collect()] == [r.el_id for r in e.where("tag = 'article'").collect()]
+
+
+def test_scramble_keeps_shape():
+    from lumeno.functions.scramble import scrambled
+
+    t = "Hello, World 42! Ünï ß"
+    s = scrambled(t)
+    assert sorted(s.lower()) == sorted(t.lower()) and [c.isupper() for c in s] == [c.isupper() for c in t] and [c for c in s if not c.isalnum()] == [c for c in t if not c.isalnum()]
+
+
+def test_text_lines(spark):
+    rows = [(1, 0, 10.0, 0.0, 50.0), (1, 0, 12.0, 60.0, 90.0), (1, 0, 16.0, 0.0, 40.0), (1, 0, 30.0, 0.0, 70.0)]
+    r = groups.text_lines(spark.createDataFrame(rows, "page_id long, group_id int, t double, l double, r double")).first()
+    assert (r.n_lines, r.width) == (3, 90.0 + 40.0 + 70.0)
