@@ -2,9 +2,12 @@
 
 A text's five-word runs are labelled with their occurrence. Each of `BANDS` hash functions picks the `PICKS` least of them,
 and their hashes in text order make a band's key: texts share it if these runs agree and stand in the same order. Texts
-that share a key are candidates: each is compared with the bucket's first text only. What isn't linked to it stays in the
-bucket for the next round, in which texts also have to share a second band's key, then a third one's; rounds go on until
-no bucket has two unlinked texts. No pairs within a bucket are listed, and none are capped.
+that share a key are candidates. First each is compared with its bucket's first text only, which connects most copies. Then
+every pair of a bucket whose texts are not in one class yet is a candidate, linked texts included. Pairs whose lengths or
+word profiles rule a link out are never listed; that bound is exact: an edit moves at most one word out of one of the
+profile's bins and one into another. All others are aligned unless links found meanwhile have put them into one class, so
+the classes are those that all pairs with a common key give. Nothing is capped or sampled. Large buckets are cut into
+blocks of `SIDE` texts, and pairs of blocks are dealt to tasks; work grows with the square of a bucket's unlinked texts.
 
 A link is an alignment of both texts' words within a band whose edits (words inserted, deleted or replaced) are at most
 1 - least of the longer text: a similarity of at least `least`. Texts whose five-word runs have a Jaccard similarity of 0.8
@@ -28,8 +31,8 @@ from lumeno.llm.common import components, lookup, only_ids, written
 from lumeno.llm.wordhash import P1, P2, Words, blocks, mix, powers, runs
 
 K, BANDS, PICKS, LEAST = 5, 24, 5, 0.8
-#: For so many rounds what is left of a bucket has to agree in one more band; it cuts up buckets of texts that share a passage.
-REFINED = 2
+#: Bins of a text's word profile, texts in a block of a large bucket, rows in one group of blocks, and pairs from which on a 32nd of them is aligned first.
+BINS, SIDE, ROWS, MANY = 128, 512, 20_000, 50_000
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 63, BANDS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -88,8 +91,15 @@ def band_keys(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return made
 
 
+def profiles(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text how many words fall into each bin, 255 at most."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * BINS + (h[first[0] : first[-1]] % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, n_words, and the keys of all bands."""
+    """doc_id, digest, n_words, the keys of all bands, and the word profile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +109,10 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 keys = band_keys(*labelled_runs(h, words.first))
                 flat = pa.array(keys.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(_digest(h, words.first)), pa.array(words.counts.astype(np.int64)), lists], names=["doc_id", "digest", "n_words", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(_digest(h, words.first)), pa.array(words.counts.astype(np.int64)), lists, pa.array([p.tobytes() for p in profiles(h, words.first)], pa.binary())], names=["doc_id", "digest", "n_words", "keys", "profile"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, digest string, n_words long, keys array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, digest string, n_words long, keys array<long>, profile binary")
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -151,6 +161,10 @@ def linked(a: np.ndarray, b: np.ndarray, runs_a: np.ndarray, runs_b: np.ndarray,
     """Whether two texts, as hashes of their words and of their labelled runs, are near duplicates, and their similarity (0 if they aren't)."""
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    common = np.minimum(np.bincount(at[: len(a)], minlength=len(values)), np.bincount(at[len(a) :], minlength=len(values))).sum()
+    if longer - common > most:  # the distance is no less than the words that have no counterpart
+        return False, 0.0
     alone = max(len(runs_a), len(runs_b)) - len(np.intersect1d(runs_a, runs_b, assume_unique=True))
     x, y = a.tolist(), b.tolist()
     for band in sorted({min(most, alone // 2 + 8), most}):  # most links need a narrow band only
@@ -186,38 +200,76 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string, linked boolean, similarity double")
 
 
+def possible(rows: pa.Table, least: float) -> pa.Table:
+    """a, b: pairs of different roots in each block or pair of blocks (bucket, lo, hi), but for those that lengths or profiles rule out."""
+    rows = rows.sort_by([("bucket", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
+    digest = rows.column("digest").to_pylist()
+    bucket, lo, hi, own, n = (rows.column(k).to_numpy() for k in ("bucket", "lo", "hi", "own", "n_words"))
+    root = np.unique(np.array(rows.column("root").to_pylist()), return_inverse=True)[1]
+    p = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint8).reshape(-1, BINS)
+    total, cross = p.sum(axis=1, dtype=np.int64), lo != hi
+    cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+    found = set()
+    for start, end in zip([0, *cut.tolist()], [*cut.tolist(), len(digest)]):
+        for i in range(start, end - 1):
+            j = np.arange(i + 1, end)
+            most = ((1 - least) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
+            ok = (root[j] != root[i]) & (np.abs(n[j] - n[i]) <= most)
+            if cross[i]:
+                ok &= own[j] != own[i]
+            j, most = j[ok], most[ok]
+            if len(j):
+                common = np.minimum(p[j], p[i]).sum(axis=1, dtype=np.int64)
+                for k in j[np.maximum(total[j], total[i]) - common <= most].tolist():
+                    found.add((min(digest[i], digest[k]), max(digest[i], digest[k])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.string()), "b": pa.array([x for _, x in found], pa.string())})
+
+
+def _with_roots(rows: DataFrame, links: DataFrame, *cols: str) -> DataFrame:
+    """rows with the root of each digest in cols, as col_root."""
+    roots = written(components(links), "roots")
+    for c in cols:
+        rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    return rows
+
+
+def apart(active: DataFrame, links: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs with a common bucket that aren't in one class yet and may be links."""
+    placed = written(_with_roots(active.select("bucket", "digest"), links, "digest").withColumnRenamed("digest_root", "root"), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", F.ceil(F.col("n") / SIDE).cast("int").alias("parts"), "n")
+    mixed = written(mixed, "mixed")
+    rows = mixed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    left = lookup(placed, "bucket", mixed.drop("n"), F.col("digest")).join(distinct.select("digest", "n_words", "profile"), "digest")
+    left = left.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select("bucket", "digest", "root", "n_words", "profile", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(rows // ROWS + 8)))
+    return dealt.groupBy("part").applyInArrow(lambda t: possible(t, least), "a string, b string").distinct()
+
+
 def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its class), class_size, n_links (to other texts, of those verified), n_words for each row."""
     made = written(sketch(docs, id_col, text_col), "sketches")
-    distinct = made.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    places = distinct.where(F.element_at("keys", 1) != 0).select("digest", "least_id", "keys", F.posexplode("keys").alias("band", "key"))
-    bucket = F.xxhash64("band", "key")
-    active = places.select("digest", "least_id", "keys", "band", bucket.alias("bucket"))
-    heads = active.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    active = written(lookup(active, "bucket", heads, F.col("digest")), "buckets")
+    distinct = made.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("profile").alias("profile"))
+    distinct = written(distinct, "distinct")
+    places = distinct.where(F.element_at("keys", 1) != 0).select("digest", F.explode(F.array_distinct("keys")).alias("bucket"))
+    heads = places.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    active = written(lookup(places, "bucket", heads, F.col("digest")), "buckets")
     links = None
     if not active.isEmpty():
-        ids = only_ids(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), active.select("least_id"), "doc_id")
-        texts = ids.join(active.select(F.col("least_id").alias("doc_id"), "digest").distinct(), "doc_id")
+        ids = distinct.join(active.select("digest").distinct(), "digest", "left_semi").select("least_id", "digest")
+        texts = only_ids(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ids.select("least_id"), "doc_id")
+        texts = texts.join(ids.withColumnRenamed("least_id", "doc_id"), "doc_id")
         texts = written(texts.select("digest", "text").dropDuplicates(["digest"]) if made.count() != made.select("doc_id").distinct().count() else texts.select("digest", "text"), "texts")
-        done, depth = [], 0
-        while True:
-            pairs = active.where("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct()
+        checked = written(verify(active.where("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct(), texts, least), "pairs")
+        links = checked.where("linked").select("a", "b", "similarity")
+        todo = written(apart(active, links, distinct, least).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "todo")
+        n, part = todo.count(), F.pmod(F.xxhash64("a", "b"), F.lit(32)) == 0
+        for some in ([part, ~part] if n > MANY else [F.lit(True)]) if n else []:  # the first links make most other pairs needless
+            pairs = todo.where(some)
+            if links.count() and n > MANY:
+                pairs = _with_roots(pairs, links, "a", "b").where("a_root <> b_root").select("a", "b")
             checked = written(verify(pairs, texts, least), "pairs")
-            done.append(checked.where("linked").select("a", "b", "similarity"))
-            apart = checked.where("NOT linked").select(F.col("a").alias("head"), F.col("b").alias("digest"))
-            left = active.join(apart, ["head", "digest"], "left_semi").drop("head")
-            if depth < REFINED:  # one more band has to agree
-                left = left.select("digest", "least_id", "keys", F.col("bucket").alias("one"), "band", F.posexplode("keys").alias("other", "key")).where("other > band")
-                left = left.select("digest", "least_id", "keys", F.col("other").alias("band"), F.xxhash64("one", "other", "key").alias("bucket"))
-                depth += 1
-            heads = left.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-            active = written(lookup(left, "bucket", heads, F.col("digest")), "buckets")
-            if active.isEmpty():
-                break
-        links = done[0]
-        for more in done[1:]:
-            links = links.unionByName(more)
+            links = links.unionByName(checked.where("linked").select("a", "b", "similarity"))
         links = written(links.dropDuplicates(["a", "b"]), "links")
     return _labelled(made, distinct.select("digest", "least_id", "copies"), links)
 

@@ -107,6 +107,39 @@ def test_near_duplicates(spark):
     assert ordermin.classes(odd(spark).limit(0)).count() == 0
 
 
+def test_classes_are_those_of_all_pairs_with_a_common_key(spark):
+    r = random.Random(7)
+    voc, texts = vocabulary(r), []
+    passage = [r.choice(voc) for _ in range(60)]
+    for c in range(12):  # copies are apart from each other (0.76), but not from the original
+        base = passage + [r.choice(voc) for _ in range(90)]
+        for k in range(5):
+            t = list(base)
+            for at in range(42 + 18 * k, 60 + 18 * k) if k else []:
+                t[at] = f"z{c}.{k}.{at}"
+            texts.append(t)
+    both = ordermin.Words([" ".join(t).encode() for t in texts])
+    keys = [set(x) - {0} for x in ordermin.band_keys(*ordermin.labelled_runs(both.hashes(), both.first)).tolist()]
+    want = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if want[a] != want[b] and keys[a] & keys[b] and edit_distance(texts[a], texts[b]) <= 30:
+                want = [min(want[a], want[b]) if x in (want[a], want[b]) else x for x in want]
+    assert len(set(want)) < 20
+    got = ordermin.classes(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    assert [g.class_id for g in sorted(got)] == want
+
+
+def test_profiles_rule_out_no_link():
+    r = random.Random(8)
+    for _ in range(300):
+        a = [r.randint(0, 60) for _ in range(r.randint(1, 40))]
+        b = [x if r.random() < 0.85 else r.randint(0, 60) for x in a if r.random() < 0.95] or [0]
+        both = ordermin.Words([" ".join(map(str, x)).encode() for x in (a, b)])
+        p = ordermin.profiles(both.hashes(), both.first).astype(int)
+        assert max(p.sum(axis=1)) - np.minimum(*p).sum() <= edit_distance(a, b)
+
+
 def test_deduplicate_keeps_columns_and_one_row(spark):
     kept = ordermin.deduplicate(odd(spark))
     assert kept.columns == odd(spark).columns
