@@ -1,6 +1,6 @@
 """Near duplicates by Order MinHash (Marcais et al. 2019), verified by banded alignment.
 
-A text's five-word runs are labelled with their occurrence. Each of `BANDS` hash functions picks the `PICKS` least of them,
+A text's three-word runs are labelled with their occurrence. Each of `BANDS` hash functions picks the `PICKS` least of them,
 and their hashes in text order make a band's key: texts share it if these runs agree and stand in the same order. Texts
 that share a key are candidates. First each is compared with its bucket's first text only, which connects most copies. Then
 every pair of a bucket whose texts are not in one class yet is a candidate, linked texts included. Pairs whose lengths or
@@ -10,10 +10,13 @@ the classes are those that all pairs with a common key give. Nothing is capped o
 blocks of `SIDE` texts, and pairs of blocks are dealt to tasks; work grows with the square of a bucket's unlinked texts.
 
 A link is an alignment of both texts' words within a band whose edits (words inserted, deleted or replaced) are at most
-1 - least of the longer text: a similarity of at least `least`. Texts whose five-word runs have a Jaccard similarity of 0.8
-share a band's key with a probability of 0.9999, at 0.65 it is 0.95. Classes are the connected components of the links. Texts with equal words are one from the start and are compared as one.
+1 - least of the longer text: a similarity of at least `least`. Scattered edits of a fifth of the words leave 0.8^3 of the
+three-word runs, a Jaccard similarity of 0.34; such texts share a band's key with a probability of 0.98. Texts of up to
+`SHORT` words also have each of their three-word runs as a key, and those of up to nine words each two-word run: by the
+pigeonhole principle all links between them share one at the default threshold. Classes are the connected components of
+the links. Texts with equal words are one from the start and are compared as one.
 
-Defined results: null and empty texts have no words and are copies of each other; texts of fewer than five words link only
+Defined results: null and empty texts have no words and are copies of each other; texts of fewer than four words link only
 to copies; null ids are kept, and count as larger than all others; repeated rows are copies; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from lumeno.llm.common import components, lookup, only_ids, written
 from lumeno.llm.wordhash import P1, P2, Words, blocks, mix, powers, runs
 
-K, BANDS, PICKS, LEAST = 5, 24, 5, 0.8
+K, BANDS, PICKS, LEAST, SHORT = 3, 32, 2, 0.8, 24
 #: Bins of a text's word profile, texts in a block of a large bucket, rows in one group of blocks, and pairs from which on a 32nd of them is aligned first.
 BINS, SIDE, ROWS, MANY = 128, 512, 20_000, 50_000
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 63, BANDS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -49,7 +52,7 @@ def _digest(h: np.ndarray, first: np.ndarray) -> list[str]:
 
 
 def labelled_runs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' labelled five-word runs, and where each text's begin, with the end."""
+    """Hashes of all texts' labelled three-word runs, and where each text's begin, with the end."""
     all_runs, n = runs(h, K), np.maximum(np.diff(first) - K + 1, 0)
     begin = np.concatenate([[0], np.cumsum(n)])
     at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], n)
@@ -91,6 +94,18 @@ def band_keys(g: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return made
 
 
+def short_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of short texts' runs, and the text of each."""
+    n, keys, texts = np.diff(first), [], []
+    for width, most in ((2, 9), (3, SHORT)):
+        made = np.where(n <= most, np.maximum(n - width + 1, 0), 0)
+        text = np.repeat(np.arange(len(n)), made)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(made) - made, made) + first[text]
+        keys.append(mix(runs(h, width)[at] + np.uint64(width)))
+        texts.append(text)
+    return np.concatenate(keys), np.concatenate(texts)
+
+
 def profiles(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each text how many words fall into each bin, 255 at most."""
     n = len(first) - 1
@@ -99,7 +114,7 @@ def profiles(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, n_words, the keys of all bands, and the word profile."""
+    """doc_id, digest, n_words, the keys of its bands and short runs, and the word profile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +122,13 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 words = Words(texts)
                 h = words.hashes()
                 keys = band_keys(*labelled_runs(h, words.first))
-                flat = pa.array(keys.ravel().view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), flat)
+                more, text = short_keys(h, words.first)
+                own = np.concatenate([np.repeat(np.arange(len(texts)), BANDS), text])
+                flat = np.concatenate([keys.ravel(), more])
+                own, flat = own[flat != 0], flat[flat != 0]
+                flat = flat[np.argsort(own, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(texts)))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(_digest(h, words.first)), pa.array(words.counts.astype(np.int64)), lists, pa.array([p.tobytes() for p in profiles(h, words.first)], pa.binary())], names=["doc_id", "digest", "n_words", "keys", "profile"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -251,7 +271,7 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
     made = written(sketch(docs, id_col, text_col), "sketches")
     distinct = made.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("profile").alias("profile"))
     distinct = written(distinct, "distinct")
-    places = distinct.where(F.element_at("keys", 1) != 0).select("digest", F.explode(F.array_distinct("keys")).alias("bucket"))
+    places = distinct.select("digest", F.explode(F.array_distinct("keys")).alias("bucket"))
     heads = places.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     active = written(lookup(places, "bucket", heads, F.col("digest")), "buckets")
     links = None

@@ -130,6 +130,26 @@ def test_classes_are_those_of_all_pairs_with_a_common_key(spark):
     assert [g.class_id for g in sorted(got)] == want
 
 
+def test_links_at_the_threshold_are_found(spark):
+    r = random.Random(9)
+    voc, texts = vocabulary(r, 3000), []
+    for c in range(200):
+        n = r.randint(5, 30) if c < 80 else r.randint(31, 250)
+        t = [r.choice(voc) for _ in range(n)]
+        copy = list(t)
+        for k, at in enumerate(sorted(r.sample(range(n), int(n * r.uniform(0.15, 0.2)) if n > 9 else 1), reverse=True)):
+            copy[at : at + 1] = [[], [f"z{k}"], [copy[at], f"z{k}"]][r.randrange(3)]
+        texts += [t, copy]
+    texts += [voc[:8], [*voc[:4], "more", *voc[4:8]]]
+    want = [k for k in range(0, len(texts), 2) if edit_distance(*texts[k : k + 2]) <= 0.2 * max(map(len, texts[k : k + 2])) + 1e-9]
+    assert len(want) > 150
+    got = [g.class_id for g in sorted(ordermin.classes(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)).collect())]
+    found = [k for k in want if got[k + 1] == k]
+    assert len(found) >= 0.97 * len(want)
+    assert all(k in found for k in want if max(map(len, texts[k : k + 2])) <= ordermin.SHORT)
+    assert all(got[k + 1] == k + 1 for k in range(0, len(texts), 2) if k not in want)
+
+
 def test_profiles_rule_out_no_link():
     r = random.Random(8)
     for _ in range(300):
