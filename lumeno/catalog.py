@@ -420,7 +420,7 @@ def dom_nearest_block(spark, sf):
 
 @query()
 def dom_html_distance(spark, sf):
-    return dom.html_distance(dom.outermost(elements(spark, sf).where(F.col("tag").isin("li", "article", "footer", "h1"))).unionByName(elements(spark, sf).where(F.col("tag").isin("body", "html", "nav", "ul"))))
+    return dom.html_distance(elements(spark, sf))
 
 
 @query()

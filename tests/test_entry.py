@@ -57,6 +57,20 @@ def test_containment_operators(spark):
     assert dist[ids["div", 0], ids["section", 1]] == 1 and dist[ids["section", 1], ids["p", 1]] == 2
 
 
+def test_html_distance_query_has_all_elements_of_a_page(spark, tmp_path):
+    from lumeno import catalog
+
+    page = [(1, "http://a.b/", "<html><body><div><section><p>a<b>c</b></p></section><h1>d</h1></div><a>e</a></body></html>")]
+    spark.createDataFrame(page, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    e = {r.el_id: r for r in html.parse(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()}
+
+    def up(k):
+        return [k, *(up(e[k].parent_id) if e[k].parent_id is not None else [])]
+
+    want = {(a, b): min(up(a).index(c) + up(b).index(c) for c in up(a) if c in up(b)) for a in e for b in e if a != b}
+    assert {(r.a_id, r.b_id): r.value for r in catalog.QUERIES["dom_html_distance"](spark, str(tmp_path)).collect()} == want
+
+
 def plain_ward(d):
     groups, out = [[k] for k in range(len(d))], []
     while len(groups) > 1:
