@@ -259,6 +259,13 @@ def rectangle_range_join(spark, sf):
     return boxes.overlapping(r.where("el_id % 2 = 0"), r.where("el_id % 2 = 1"), 10).select("page_id", "a_id", "b_id")
 
 
+@query(f"WITH {R} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id FROM r x JOIN r y ON x.page_id = y.page_id AND x.el_id < y.el_id WHERE least(x.r, y.r) - greatest(x.l, y.l) > 10 AND least(x.b, y.b) - greatest(x.t, y.t) > 10")
+def rectangle_range_join_all(spark, sf):
+    """Every pair of a page's rectangles once; rectangle_range_join, whose SQL is fixed, joins even with odd elements only."""
+    r = rects(spark, sf)
+    return boxes.overlapping(r, r, 10).where("a_id < b_id").select("page_id", "a_id", "b_id")
+
+
 @query(f"WITH {R} SELECT page_id, round(min(l), 6) AS l, round(min(t), 6) AS t, round(max(r), 6) AS r, round(max(b), 6) AS b FROM r GROUP BY page_id")
 def bounding_union(spark, sf):
     return rounded(boxes.bounding_union(rects(spark, sf), "page_id"), "l", "t", "r", "b")
@@ -278,6 +285,13 @@ def enclosure_counts(spark, sf):
     return boxes.shared_envelopes(boxes.enclosed(r, r.where("el_id % 3 = 0"))).drop("metric")
 
 
+@query(f"WITH {ENC.replace('e.el_id % 3 = 0 AND ', '')} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, CAST(count(*) AS DOUBLE) AS value FROM i x JOIN i y ON x.page_id = y.page_id AND x.env_id = y.env_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3")
+def enclosure_counts_all(spark, sf):
+    """With all rectangles as envelopes; enclosure_counts, whose SQL is fixed, takes every third."""
+    r = rects(spark, sf)
+    return boxes.shared_envelopes(boxes.enclosed(r, r)).drop("metric")
+
+
 @query(f"WITH {R} SELECT page_id, el_id, least(r - l, b - t) <= 40 AND greatest(r - l, b - t) >= 1.5 * least(r - l, b - t) AS ui, greatest(r - l, b - t) <= 48 AND greatest(r - l, b - t) <= 1.5 * least(r - l, b - t) AS icon, CASE WHEN (r - l) * (b - t) <= 4500 THEN 'primitive' ELSE 'standalone' END AS iframe, 1440 * 900 * 0.8 > (r - l) * (b - t) AS widget FROM r")
 def box_kinds(spark, sf):
     w, h = F.col("r") - F.col("l"), F.col("b") - F.col("t")
@@ -323,11 +337,11 @@ def flex_space(spark, sf):
 # Matrices and clusters
 
 
-def matrices(spark, sf):
+def matrices(spark, sf, envelopes="true"):
     """Spatial, connectedness and enclosure matrices of rectangles, and element distance as an HTML stand-in."""
     r = rects(spark, sf)
     tree = boxes.pairs(r).select("page_id", F.lit("dist_html_sum").alias("metric"), "a_id", "b_id", F.abs(F.col("a_id") - F.col("b_id")).cast("double").alias("value"))
-    mods = boxes.shared_envelopes(boxes.enclosed(r, r.where("el_id % 3 = 0")))
+    mods = boxes.shared_envelopes(boxes.enclosed(r, r.where(envelopes)))
     return tree.unionByName(boxes.spatial_distance(r)).unionByName(boxes.connectedness(r)).unionByName(mods)
 
 
@@ -350,7 +364,7 @@ def matrix_combine(spark, sf):
 
 @query(f"WITH {NORM}, i AS ({ENC.split('i AS (', 1)[1]}, e AS (SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, count(*) + 1 AS k FROM i x JOIN i y ON x.page_id = y.page_id AND x.env_id = y.env_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3) SELECT page_id, a_id, b_id, round(h / coalesce(k, 1), 6) AS value FROM n LEFT JOIN e USING (page_id, a_id, b_id)")
 def matrix_modify(spark, sf):
-    n = clusters.normalised(matrices(spark, sf))
+    n = clusters.normalised(matrices(spark, sf, "el_id % 3 = 0"))  # as its SQL has it
     mod = F.startswith("metric", F.lit("mod_"))
     return rounded(clusters.modified(n.where(F.col("metric") == "dist_html_sum"), n.where(mod)), "value").drop("metric")
 

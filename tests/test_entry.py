@@ -71,6 +71,18 @@ def test_html_distance_query_has_all_elements_of_a_page(spark, tmp_path):
     assert {(r.a_id, r.b_id): r.value for r in catalog.QUERIES["dom_html_distance"](spark, str(tmp_path)).collect()} == want
 
 
+def test_overlaps_and_envelopes_of_all_rectangles(spark):
+    from lumeno import catalog
+    from lumeno.operators import boxes
+
+    sf = "/root/testdata/sf0.001"
+    made = catalog.QUERIES["rectangle_range_join_all"](spark, sf).collect()
+    assert {(r.a_id + r.b_id) % 2 for r in made} == {0, 1}
+    r = catalog.rects(spark, sf)
+    want = boxes.shared_envelopes(boxes.enclosed(r, r)).count()
+    assert catalog.matrices(spark, sf).where("metric = 'mod_bgAndBrd'").count() == want > boxes.shared_envelopes(boxes.enclosed(r, r.where("el_id % 3 = 0"))).count()
+
+
 def plain_ward(d):
     groups, out = [[k] for k in range(len(d))], []
     while len(groups) > 1:
