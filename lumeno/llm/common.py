@@ -87,37 +87,73 @@ def lookup(rows: DataFrame, key: str, values: DataFrame, salt: Column, how: str
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
+#: Rows of one key from which on they are not brought to one task.
+HOT = 20_000
+
+
+def matched(rows: DataFrame, key: str, values: DataFrame, n: str = "n", most: int = 1_000_000) -> DataFrame:
+    """rows with the columns of values but n, which says how many rows each key has.
+
+    Keys of more than HOT rows are joined where their rows are: by broadcast if they are at most `most`, else dealt to parts.
+    The other keys' rows are shuffled, without those of hot keys.
+    """
+    hot, cold = values.where(F.col(n) > HOT).drop(n), values.where(F.col(n) <= HOT).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    if _smaller_or_equal(hot, most):
+        few = F.broadcast(hot)
+        return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(cold, key))
+    return lookup(rows, key, values.drop(n), F.struct(*rows.columns))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def _smaller_or_equal(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
 def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
     """docs whose id is (left_semi) or isn't (left_anti) in ids, null ids included; at most `most` ids are broadcast, more are joined by shuffle."""
-    named = ids.select(F.col(ids.columns[0]).alias("_only")).distinct()
+    name = fresh("only", docs)
+    named = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
     named = F.broadcast(named) if _smaller_or_equal(named, most) else named
-    return docs.join(named, F.col(id_col).eqNullSafe(F.col("_only")), how)
+    return docs.join(named, F.col(id_col).eqNullSafe(F.col(name)), how)
+
+
+#: Edges of one node from which on they are dealt to parts.
+MANY_EDGES = 1_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b); root is the least node it is connected with.
 
-    Large-star and small-star steps in turn (Kiveris et al. 2014); after each the edges are written, so neither the plan
-    nor what a lost executor takes along grows. No task gathers the edges of one node.
+    Large-star and small-star steps in turn (Kiveris et al. 2014) until they change nothing; after each the edges are
+    written, so neither the plan nor what a lost executor takes along grows. The edges of a node meet in one task unless
+    they are more than MANY_EDGES; then they are dealt to parts.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = written(edges, "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges, before = written(edges, "edges"), None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(lookup(both.where("v > u"), "u", least, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = lookup(large, "u", least, F.col("v"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = written(small, "edges")
-        # At the end every node has one edge, to its root, and no root has one.
-        roots = small.select(F.col("v").alias("u")).distinct()
-        if small.count() == small.select("u").distinct().count() and small.join(roots, "u", "left_semi").isEmpty():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("u", F.col("u").alias("v")))
-        edges = small
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now["n"] == 0 or now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before, many = now, now["n"] > MANY_EDGES
+        large = _star(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), True, many)
+        edges = written(_star(written(large, "edges") if many else large, False, many), "edges")
+
+
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
+    """Of each u, all larger neighbours (large) or all smaller ones and itself (not large) with the least of its neighbours and itself."""
+    hot = many and not edges.groupBy("u").count().where(F.col("count") > MANY_EDGES).isEmpty()
+    dealt = edges if hot else edges.repartition("u")
+    least = dealt.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    rows = dealt.where("v > u") if large else dealt
+    joined = lookup(rows, "u", least, F.col("v")) if hot else rows.join(least.hint("merge"), "u")
+    made = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (made if large else made.union(least.select("u", F.col("m").alias("v")))).where("u <> v").distinct()

@@ -14,8 +14,7 @@ so a lost executor costs its own tasks only.
 Texts that equal another one are removed whole if they have `width` words; each different text is read once.
 
 Defined results: null and empty texts have no words and keep none; texts of fewer words than `width` are kept; null ids are
-kept; repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored. Texts of
-16 million words and more raise an error.
+kept; repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumeno.llm.common import lookup, only_ids, written
+from lumeno.llm.common import lookup, matched, only_ids, written
 from lumeno.llm.wordhash import P1, P2, Words, blocks, runs
 
 WIDTH, SHARD, PER_TASK = 35, 100_000, 1_500_000
 _FLAT = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PLACE = 1 << 24
+#: Places of references that go to one shard together.
+_BLOCK = 1 << 14
 
 
 class Automaton:
@@ -148,8 +148,6 @@ def survey(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
         for batch in batches:
             for at, texts in blocks(batch.column(2).to_pylist()):
                 words = Words(texts)
-                if words.counts.max(initial=0) >= _PLACE:
-                    raise ValueError("a text has too many words")
                 h = words.hashes()
                 g, is_anchor, _ = anchors(h, words.first, width)
                 spot = np.flatnonzero(is_anchor & (g != MOST))
@@ -194,26 +192,26 @@ def windows(texts: DataFrame, width: int) -> DataFrame:
 def segments(texts: DataFrame, width: int, shards: int) -> DataFrame:
     """Passages for the shards: shard, rid, start, is_reference, and the words, joined by one space.
 
-    texts has rid, text and hits: (start, place of the reference) of each repeated window. Consecutive windows whose
-    references are of one text, or that are references themselves, make a segment.
+    texts has rid, text, base (the place of its first word) and hits: (start, place of the reference) of each repeated
+    window. Consecutive windows whose references are in one block of places, or that are references themselves, make a segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64()]
         names = ["shard", "rid", "start", "is_reference", "words", "n"]
         for batch in batches:
-            rids, texts_, starts, refs = (batch.column(c).to_pylist() for c in range(4))
+            rids, texts_, bases, starts, refs = (batch.column(c).to_pylist() for c in range(5))
             rows: list[tuple] = []
-            for rid, text, s, r in zip(rids, texts_, starts, refs):
+            for rid, text, base, s, r in zip(rids, texts_, bases, starts, refs):
                 words = text.encode("utf-8", "surrogatepass").split()
                 s, r = np.array(s, np.int64), np.array(r, np.int64)
                 order = np.argsort(s)
                 s, r = s[order], r[order]
-                owner, own = r // _PLACE, r == rid * _PLACE + s
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (owner[1:] != owner[:-1]) | (own[1:] != own[:-1])]))
+                block, own = r // _BLOCK, r == base + s
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (block[1:] != block[:-1]) | (own[1:] != own[:-1])]))
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(s)]):
                     lo, hi = int(s[a]), int(s[b - 1]) + width
-                    shard = int((int(owner[a]) * P2 >> 20) % shards)
+                    shard = (int(block[a]) * P2 % (1 << 64) >> 20) % shards
                     rows.append((shard, rid, lo, bool(own[a]), b" ".join(words[lo:hi]), hi - lo))
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -221,7 +219,7 @@ def segments(texts: DataFrame, width: int, shards: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return texts.select("rid", "text", "hits.start", "hits.ref").mapInArrow(run, "shard int, rid long, start int, is_reference boolean, words binary, n long")
+    return texts.select("rid", "text", "base", "hits.start", "hits.ref").mapInArrow(run, "shard int, rid long, start int, is_reference boolean, words binary, n long")
 
 
 def confirm(parts: DataFrame, width: int) -> DataFrame:
@@ -266,36 +264,41 @@ def cut_out(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text", "spans.begin", "spans.end").mapInArrow(run, "rid long, n_removed long, kept_sha256 string, kept string")
 
 
-def _numbers() -> Column:
-    """Row numbers below 2^39, so that a number and a place make one long: 17 bits for the partition, 22 for the row in it."""
-    n = F.monotonically_increasing_id()
-    part, row = F.shiftright(n, 33), n.bitwiseAND(F.lit((1 << 33) - 1))
-    return F.when((part < 1 << 17) & (row < 1 << 22), F.shiftleft(part, 22) + row).otherwise(F.raise_error(F.lit("too many partitions, or rows in one")).cast("long"))
+def _bases(texts: DataFrame) -> DataFrame:
+    """rid, base: the place of each text's first word, with room for all its words up to the next one's.
+
+    A place is a partition's number and 40 bits within it; rid, as monotonically_increasing_id gives it, has the partition in
+    its upper bits. A text's words are no more than its characters.
+    """
+    part = F.shiftright("rid", 33)
+    before = Window.partitionBy(part).orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
+    return texts.select("rid", (F.shiftleft(part, 40) + F.coalesce(F.sum(F.length("text") + F.lit(1)).over(before), F.lit(0))).alias("base"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row; with_text also kept, the text that is left (null: the input, unchanged)."""
     made = written(survey(docs, width, id_col, text_col), "survey")
     copies = made.groupBy("digest").agg(F.count("*").alias("copies"))
-    # Keys with more than one place: places of equal texts count once, by the digest. The rows are dealt once, by key, for
-    # the sums and for the join; Spark splits a hot key's rows in the join.
+    # Keys with more than one place: places of equal texts count once, by the digest.
     rows = made.select("digest", F.explode(F.arrays_zip(F.col("anchors").alias("k"), F.col("places").alias("p"))).alias("a")).select("digest", F.col("a.k").alias("k"), F.col("a.p").alias("p"))
     spot = F.xxhash64("digest", "p")
-    twice = rows.groupBy("k").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("k")
-    repeated = rows.join(twice, "k").groupBy("digest").agg(F.collect_set("p").alias("places"))
+    twice = rows.groupBy("k").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count("*").alias("n")).where("x <> y").select("k", "n")
+    repeated = matched(rows, "k", written(twice, "keys")).groupBy("digest").agg(F.collect_set("p").alias("places"))
     repeated = written(repeated, "anchors")
     source = only_ids(docs.select(_digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), repeated.select("digest"), "digest")
     texts = source.join(repeated, "digest")
     if not copies.where("copies > 1").isEmpty():  # one of each group of equal texts: the first of each task, then the first of those
         texts = texts.groupBy("digest").agg(F.first("text").alias("text"), F.first("places").alias("places"))
-    texts = written(texts.select("digest", "text", "places", _numbers().alias("rid")), "texts")
-    held = written(windows(texts, width), "windows")
-    spots = held.select("rid", F.explode(F.arrays_zip(F.col("starts").alias("s"), F.col("hashes").alias("h"))).alias("a")).select(F.col("a.h").alias("h"), (F.col("rid") * _PLACE + F.col("a.s")).alias("at"))
-    first = spots.groupBy("h").agg(F.min("at").alias("ref"), F.max("at").alias("last")).where("ref <> last").select("h", "ref")
-    hits = spots.join(first, "h").select(F.floor(F.col("at") / _PLACE).alias("rid"), F.struct(F.pmod("at", F.lit(_PLACE)).cast("int").alias("start"), "ref").alias("hit")).groupBy("rid").agg(F.collect_list("hit").alias("hits"))
+    texts = written(texts.select("digest", "text", "places", F.monotonically_increasing_id().alias("rid")), "texts")
+    base = written(_bases(texts), "bases")
+    held = windows(texts, width).join(base, "rid")
+    spots = held.select("rid", "base", F.explode(F.arrays_zip(F.col("starts").alias("s"), F.col("hashes").alias("h"))).alias("a"))
+    spots = written(spots.select("rid", F.col("a.h").alias("h"), F.col("a.s").alias("start"), (F.col("base") + F.col("a.s")).alias("at")), "windows")
+    first = spots.groupBy("h").agg(F.min("at").alias("ref"), F.max("at").alias("last"), F.count("*").alias("n")).where("ref <> last").select("h", "ref", "n")
+    hits = matched(spots, "h", written(first, "references")).groupBy("rid").agg(F.collect_list(F.struct("start", "ref")).alias("hits"))
     hits = written(hits, "hits")
     total = hits.select(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
-    parts = written(segments(texts.join(hits, "rid"), width, max(1, total // SHARD)), "segments")
+    parts = written(segments(texts.join(hits, "rid").join(base, "rid"), width, max(1, total // SHARD)), "segments")
     spans = confirm(parts, width).groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = cut_out(texts.select("rid", "text").join(spans, "rid"))
     done = written(texts.select("rid", "digest").join(cut if with_text else cut.drop("kept"), "rid").drop("rid"), "cut")
