@@ -272,5 +272,5 @@ def test_decontamination_tolerates_changes(spark):
 def test_decontamination_in_several_passes(spark, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(10)], "item_id long, text string")
     docs = bench.select(F.col("item_id").alias("doc_id"), "text")
-    monkeypatch.setattr(decontam, "MOST_WORDS", 50)
+    monkeypatch.setattr(decontam, "SEEDS", 50)
     assert sorted((g.doc_id, g.item_id) for g in decontam.overlaps(docs, bench).collect()) == [(k, k) for k in range(10)]
