@@ -118,10 +118,13 @@ def redact(text: str, spans: list[tuple[int, int, int]], by: str = "<secret>") -
 
 
 def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", most: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_token, base_sha256, spans, redacted (null where nothing was found)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token, redacted (null where nothing was found)."""
+
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token", "redacted"]
+    types = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", None)
+        nothing = (0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0, None)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = [nothing] * len(texts)
@@ -132,11 +135,11 @@ def scan(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     spans = sorted(base + random_spans(text, base, encoding(vocabulary), most))
                     if spans:
                         n = [sum(x[1] == kind for x in spans) for kind in range(4)]
-                        rows[first + k] = (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans))
+                        rows[first + k] = (*n[:3], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n[3], redact(text, spans))
             cols = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string, redacted string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_token long, redacted string")
 
 
 def clean(docs: DataFrame, vocabulary: str, text_col: str = "text", chars_col: str = "n_chars", most: float = MAX_CHARS_PER_TOKEN) -> DataFrame:

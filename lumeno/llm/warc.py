@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -98,7 +99,7 @@ def decide(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_co
     goes back to each part; a payload that a third of all pages share is never in one task. At most `most` revisits are
     broadcast; more are joined by shuffle.
     """
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     base = base.withColumn("_d", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
     small = base.select("page_id", "_d").where(F.col("_d").isNotNull())
     tops = small.groupBy("_d").agg(F.max("page_id").alias("_response"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -108,13 +109,14 @@ def decide(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_co
     return joined.select("page_id", "url", "html", "_response", F.col("_e").isNotNull().alias("_again"))
 
 
-def urn(page_id: int | None) -> str:
-    return f"urn:x-page:{'' if page_id is None else page_id}"
+def urn(page_id: str | None) -> str:
+    """The record id of a page, percent-encoded; an empty id differs from none."""
+    return "urn:x-none" if page_id is None else "urn:x-page:" + quote(page_id, safe="")
 
 
-def page_of(record_id: str) -> int | None:
-    x = record_id.strip("<>").removeprefix("urn:x-page:")
-    return int(x) if x else None
+def page_of(record_id: str) -> str | None:
+    name = record_id.strip("<>")
+    return None if name == "urn:x-none" else unquote(name.removeprefix("urn:x-page:"))
 
 
 def write(decided: DataFrame, path: str) -> DataFrame:
@@ -133,11 +135,12 @@ def write(decided: DataFrame, path: str) -> DataFrame:
                     n += 1
         yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [n]})
 
-    return written(decided.select("page_id", "url", "html", "_response", "_again").mapInArrow(run, "file string, n_records long"), "archives")
+    text = decided.select(F.col("page_id").cast("string"), "url", "html", F.col("_response").cast("string"), "_again")
+    return written(text.mapInArrow(run, "file string, n_records long"), "archives")
 
 
-def read(archives: DataFrame, path: str, batch_rows: int = 2000) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in the archives."""
+def read(archives: DataFrame, path: str, id_type: str = "bigint", batch_rows: int = 2000) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in the archives, a task for each archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -148,7 +151,7 @@ def read(archives: DataFrame, path: str, batch_rows: int = 2000) -> DataFrame:
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = 0
@@ -165,10 +168,13 @@ def read(archives: DataFrame, path: str, batch_rows: int = 2000) -> DataFrame:
         if rows:
             yield made()
 
-    return archives.repartition("file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # The number is given, as adaptive execution would bring the short names of all archives to one task.
+    dealt = archives.repartitionByRange(max(1, archives.count()), "file")
+    made = dealt.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return made.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Writes all pages as WARC records and reads the archives back."""
     path = scratch(pages.sparkSession, "warc")
-    return read(write(decide(pages, least), path), path)
+    return read(write(decide(pages, least), path), path, pages.schema["page_id"].dataType.simpleString())
