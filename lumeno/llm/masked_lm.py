@@ -4,19 +4,24 @@ A network sees the two words on either side of a position and predicts the word
 matrix for each of the four places, and a softmax in two steps (class, then member), so that a prediction costs two small
 products. A text's score is the sum of the conditional log-probabilities of all its words, each given both sides.
 
-The vocabulary is the `KNOWN` most frequent words of the whole corpus and `TAILS` classes of other words, by their last two bytes.
-Counts of all words are gathered in Spark. The network is trained on every text in parallel: each task starts at the same
-weights, masks every `EVERY`-th word of its texts in turn and learns to predict it; the tasks' weights are averaged, weighed
-by their words. What is gathered grows with the corpus; what reaches the driver (vocabulary, averaged weights) is of
-fixed size, and no task holds more than one model.
+The network's vocabulary is the `KNOWN` most frequent words of the whole corpus and `TAILS` members that stand for all other
+words, by their last two bytes. Another word's probability is that of its tail member, given both sides, times the word's
+share of the tail in the counts of the whole corpus, with `SMOOTH` added to each count, also to that of an unseen word. So every
+word has a probability of its own. The counts are a distributed table that grows with the corpus; texts' tail words are joined with it.
+
+The network is trained on every word of every text: in each of `ROUNDS` rounds all tasks start at the same weights, mask every
+ROUNDS-th word of their texts, with another offset in each round, and learn to predict it; then the tasks' weights are averaged,
+weighed by their words. What reaches the driver (vocabulary, tail totals, averaged weights) is of fixed size, and no task
+holds more than one model.
 
 Defined results: null and empty texts have no words, pll 0 and mean_log_prob 0; a word at a text's edge sees a blank there;
-repeated rows are scored each; an empty table gives an empty result; other columns are ignored. Sums run in floating point,
-so a rerun can differ in the last digits.
+repeated rows are scored each and alike; an empty table gives an empty result; other columns are ignored. The weights depend on
+which texts a task reads, so other partitions of the same table give slightly other scores.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,29 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumeno.llm.common import written
 from lumeno.llm.wordhash import Words, blocks, mix
 
-CLASSES, MEMBERS = 32, 64
+CLASSES, MEMBERS = 64, 64
 SIZE = CLASSES * MEMBERS
-TAILS = 64
+TAILS = 128
 KNOWN = SIZE - TAILS
-DIM, HIDDEN, EVERY, BATCH = 24, 32, 8, 512
+DIM, HIDDEN, ROUNDS, BATCH, SMOOTH = 24, 32, 2, 1024, 0.1
 PLACES = (-2, -1, 1, 2)
 SHAPES = {"emb": (SIZE + 1, DIM), "mixer": (len(PLACES) * DIM, HIDDEN), "bias": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_bias": (CLASSES,), "member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
 
+def tails(words: Words) -> np.ndarray:
+    """Each word's tail member, by its last two bytes."""
+    b, end = words.bytes, words.end
+    last = b[end - 1].astype(np.uint64)
+    before = np.where(end - words.start > 1, b[np.maximum(end - 2, 0)], 0).astype(np.uint64)
+    return (mix(last * np.uint64(257) + before) % np.uint64(TAILS)).astype(np.int64)
+
+
 class Vocabulary:
     def __init__(self, hashes: list[int]):
         known = np.array([h & 0xFFFFFFFFFFFFFFFF for h in hashes], np.uint64)
         self.order = np.argsort(known)
         self.known = known[self.order]
 
-    def ids(self, words: Words) -> np.ndarray:
-        h = words.hashes()
-        b, end = words.bytes, words.end
-        last = b[end - 1].astype(np.uint64)
-        before = np.where(end - words.start > 1, b[np.maximum(end - 2, 0)], 0).astype(np.uint64)
-        tail = KNOWN + (mix(last * np.uint64(257) + before) % np.uint64(TAILS)).astype(np.int64)
+    def ids(self, words: Words, h: np.ndarray | None = None) -> np.ndarray:
+        h, tail = words.hashes() if h is None else h, KNOWN + tails(words)
         if not len(self.known):
             return tail
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
@@ -94,32 +104,34 @@ class Learner:
 
     def learn(self, ctx: np.ndarray, target: np.ndarray) -> None:
         w, n = self.w, len(target)
+        order = np.argsort(target // MEMBERS, kind="stable")  # words of one class beside each other
+        ctx, target = ctx[order], target[order]
+        cls, member = target // MEMBERS, target % MEMBERS
         x = w["emb"][ctx].reshape(n, -1)
         h = np.tanh(x @ w["mixer"] + w["bias"])
-        cls, member = target // MEMBERS, target % MEMBERS
         d = _soft(h @ w["cls"] + w["cls_bias"])
         d[np.arange(n), cls] -= 1
         d /= n
         back = d @ w["cls"].T
         grads = {"cls": h.T @ d, "cls_bias": d.sum(axis=0)}
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cut[c] : cut[c + 1]]
-            if not len(rows):
+        cut = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for c, (lo, hi) in enumerate(zip(cut, cut[1:])):
+            if lo == hi:
                 continue
-            e = _soft(h[rows] @ w["member"][c] + w["member_bias"][c])
-            e[np.arange(len(rows)), member[rows]] -= 1
+            own = h[lo:hi]
+            e = _soft(own @ w["member"][c] + w["member_bias"][c])
+            e[np.arange(hi - lo), member[lo:hi]] -= 1
             e /= n
-            back[rows] += e @ w["member"][c].T
-            self._step("member", h[rows].T @ e, c)
+            back[lo:hi] += e @ w["member"][c].T
+            self._step("member", own.T @ e, c)
             self._step("member_bias", e.sum(axis=0), c)
         back *= 1 - h * h
         grads |= {"mixer": x.T @ back, "bias": back.sum(axis=0)}
         dx = (back @ w["mixer"].T).reshape(-1, DIM)
-        at, inverse = np.unique(ctx.ravel(), return_inverse=True)
-        ge = np.zeros((len(at), DIM), np.float32)
-        np.add.at(ge, inverse, dx)
+        flat = ctx.ravel()
+        by = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        at, ge = flat[by[first]], np.add.reduceat(dx[by], first, axis=0)
         ge[at == SIZE] = 0
         for name, grad in grads.items():
             self._step(name, grad)
@@ -153,88 +165,122 @@ def log_probs(ids: np.ndarray, ctx: np.ndarray, w: dict[str, np.ndarray], chunk:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """h, n: how often each word, by its hash, occurs in the column text; each task sums its own first."""
+    """h, tail, n: how often each word, by its hash, occurs in the column text; each task sums its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, at, inverse = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+            return keys, np.concatenate([t for _, t, _ in held])[at], np.bincount(inverse, np.concatenate([n for _, _, n in held])).astype(np.int64)
+
+        def rows(keys: np.ndarray, tail: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tail, pa.int32()), pa.array(n)], names=["h", "tail", "n"])
 
         for batch in batches:
             for _, some in blocks(batch.column(0).to_pylist()):
-                held.append(np.unique(Words(some).hashes(), return_counts=True))
+                words = Words(some)
+                keys, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                held.append((keys, tails(words)[at], n))
                 if len(held) >= 8:
                     held = [merged()]
                     if len(held[0][0]) > 1_000_000:  # what grows beyond that is summed by the shuffle
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["h", "n"])
-                        held = []
+                        yield rows(*held.pop())
         if held:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
+            yield rows(*merged())
 
-    return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "h long, tail int, n long").groupBy("h", "tail").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, rounds: int = 1) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Vocabulary and weights from all rows of the column text."""
-    sc = texts.sparkSession.sparkContext
-    counted = word_counts(texts)
+class Model:
+    """Vocabulary, weights, and of each tail the logarithm of its words' number."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: dict[str, np.ndarray], totals: np.ndarray):
+        self.vocabulary, self.weights, self.totals = vocabulary, weights, totals
+
+
+def fit(texts: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> Model:
+    """A model from all rows of the column text and their words' counts."""
     top = counted.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
     vocabulary = Vocabulary([r["h"] for r in top])
-    counts = np.zeros(SIZE)
+    counts, kinds = np.zeros(SIZE), np.zeros(TAILS)
     counts[: len(top)] = [r["n"] for r in top]
-    counts[KNOWN:] = max(1.0, counts.sum() / TAILS)
+    for r in counted.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():  # TAILS rows at most
+        counts[KNOWN + r["tail"]], kinds[r["tail"]] = r["n"], r["k"]
+    for r in top:
+        counts[KNOWN + r["tail"]] -= r["n"]
+        kinds[r["tail"]] -= 1
     weights = start(counts)
     for k in range(rounds):
-        shared = sc.broadcast((vocabulary, weights))
-
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
-            known, w = shared.value
-            learner, seen = Learner(w), 0
-            for batch in batches:
-                for _, some in blocks(batch.column(0).to_pylist()):
-                    words = Words(some)
-                    ids = known.ids(words)
-                    ctx = contexts(ids, words.first)
-                    masked = np.arange((seen + k) % EVERY, len(ids), EVERY)
-                    seen += len(ids)
-                    masked = np.random.default_rng(seen).permutation(masked)
-                    for lo in range(0, len(masked), BATCH):
-                        at = masked[lo : lo + BATCH]
+        weights = one_round(texts, vocabulary, weights, k, rounds)
+    return Model(vocabulary, weights, np.log(counts[KNOWN:] + SMOOTH * (kinds + 1)))
+
+
+def one_round(texts: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndarray], k: int, rounds: int) -> dict[str, np.ndarray]:
+    """The tasks' weights after every `rounds`-th word from the k-th on, averaged."""
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, w = shared.value
+        learner, seen = Learner(w), 0
+        for batch in batches:
+            for _, some in blocks(batch.column(0).to_pylist()):
+                words = Words(some)
+                ids = known.ids(words)
+                ctx = contexts(ids, words.first)
+                masked = np.random.default_rng(seen).permutation(np.arange((k - seen) % rounds, len(ids), rounds))
+                seen += len(ids)
+                for at in np.array_split(masked, max(1, round(len(masked) / BATCH))):
+                    if len(at):
                         learner.learn(ctx[at], ids[at])
-            if seen:
-                for name, v in learner.w.items():
-                    flat = v.ravel()
-                    for lo in range(0, len(flat), 4096):
-                        yield pa.RecordBatch.from_pydict({"name": [name], "lo": [lo], "words": [float(seen)], "values": [flat[lo : lo + 4096]]}, schema=schema)
-
-        schema = pa.schema([("name", pa.string()), ("lo", pa.int64()), ("words", pa.float64()), ("values", pa.list_(pa.float32()))])
-        parts = texts.select("text").mapInArrow(run, "name string, lo long, words double, values array<float>")
-        flat = parts.select("name", "lo", "words", F.posexplode("values").alias("i", "v"))
-        mean = flat.groupBy("name", (F.col("lo") + F.col("i")).alias("at")).agg((F.sum(F.col("v") * F.col("words")) / F.sum("words")).cast("float").alias("v"))
-        for name, rows in mean.groupBy("name").agg(F.collect_list(F.struct("at", "v")).alias("x")).toLocalIterator():  # as many values as the model has
-            made = np.array(sorted((r["at"], r["v"]) for r in rows))
-            weights[name] = made[:, 1].astype(np.float32).reshape(SHAPES[name])
-        shared.unpersist()
-    return vocabulary, weights
-
-
-def score(docs: DataFrame, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if seen:
+            for name, v in learner.w.items():
+                flat = v.ravel()
+                for lo in range(0, len(flat), 4096):
+                    yield pa.RecordBatch.from_pydict({"name": [name], "lo": [lo], "words": [float(seen)], "values": [flat[lo : lo + 4096]]}, schema=schema)
+
+    schema = pa.schema([("name", pa.string()), ("lo", pa.int64()), ("words", pa.float64()), ("values", pa.list_(pa.float32()))])
+    parts = texts.select("text").mapInArrow(run, "name string, lo long, words double, values array<float>")
+    flat = parts.select("name", "lo", "words", F.posexplode("values").alias("i", "v"))
+    mean = flat.groupBy("name", (F.col("lo") + F.col("i")).alias("at")).agg((F.sum(F.col("v") * F.col("words")) / F.sum("words")).cast("float").alias("v"))
+    made = dict(weights)
+    for name, rows in mean.groupBy("name").agg(F.collect_list(F.struct("at", "v")).alias("x")).toLocalIterator():  # as many values as the model has
+        values = np.array(sorted((r["at"], r["v"]) for r in rows))
+        made[name] = values[:, 1].astype(np.float32).reshape(SHAPES[name])
+    shared.unpersist()
+    return made
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, pll, mean_log_prob, perplexity for each row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col(text_col).alias("text")), rounds))  # of fixed size
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counted = written(word_counts(texts), "counts")
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, counted, rounds))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, w = model.value
+        m = model.value
         for batch in batches:
             for at, some in blocks(batch.column(1).to_pylist()):
                 words = Words(some)
-                ids = vocabulary.ids(words)
-                sums = np.concatenate([[0], np.cumsum(log_probs(ids, contexts(ids, words.first), w))])
-                n = words.counts.astype(np.int64)
-                pll = np.where(n > 0, sums[words.first[1:]] - sums[words.first[:-1]], 0.0)
-                mean = pll / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(n), pa.array(pll), pa.array(mean), pa.array(np.exp(-mean))], names=["doc_id", "n_tokens", "pll", "mean_log_prob", "perplexity"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, pll double, mean_log_prob double, perplexity double")
+                h = words.hashes()
+                ids = m.vocabulary.ids(words, h)
+                lp, text = log_probs(ids, contexts(ids, words.first), m.weights), np.repeat(np.arange(len(some)), words.counts)
+                rare = ids >= KNOWN
+                lp[rare] -= m.totals[ids[rare] - KNOWN]
+                pll = np.bincount(text, lp, len(some))
+                order = np.lexsort((h[rare], text[rare]))
+                key, own = h[rare][order], text[rare][order]
+                new = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(own, prepend=-1) != 0)) if len(key) else np.zeros(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(some)))])
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (key[new].view(np.int64), np.diff(np.append(new, len(key))).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(words.counts.astype(np.int64)), pa.array(pll), *lists], names=["doc_id", "n_tokens", "pll", "rare", "times"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, pll double, rare array<long>, times array<int>")
+    made = written(made.withColumn("_rid", F.monotonically_increasing_id()), "scores")
+    rare = made.select("_rid", F.explode(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("m"))).alias("x")).select("_rid", F.col("x.h").alias("h"), F.col("x.m").alias("m"))
+    logs = rare.join(counted.select("h", F.log(F.col("n") + SMOOTH).alias("log_n")), "h", "left")
+    share = logs.groupBy("_rid").agg(F.sum(F.col("m") * F.coalesce("log_n", F.lit(math.log(SMOOTH)))).alias("more"))
+    full = made.drop("rare", "times").join(share, "_rid", "left").withColumn("pll", F.col("pll") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0)
+    return full.select("doc_id", "n_tokens", "pll", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
