@@ -5,8 +5,11 @@ weights of the four transitions. A document's score is the mean of its lines' ma
 weighed by their length. Forward and backward sums run as parallel prefix products of 2 x 2 matrices over all lines of a
 block; at a document's first line both rows of the matrix are equal, which cuts the chain there.
 
-Training takes each labelled text's label for all its lines, which makes the model weakly supervised. It is bounded: at
-most `SAMPLE` rows of each class reach the driver, the ones with the smallest hash of their id. Every text is scored whole.
+Labels are of texts, so those of lines are latent. Training first takes each text's label for all its lines and uses their own statistics only, as
+neighbours and transitions would only copy the label along. Then, twice, lines that the model holds to be of the other kind with
+70 % are given that label, unless that leaves less than half of the text to its own label, and the model is trained on with
+neighbours and transitions. It is bounded: at most `SAMPLE` rows of each class reach the driver, the ones with the smallest
+hash of their id. Every text is scored whole.
 
 Defined results: null and empty texts have one empty line and its score; repeated rows are scored each; without labels of
 both classes every score is 1 or 0, by the class there is (1 without labels); an empty table gives an empty result; other
@@ -130,15 +133,28 @@ class Model:
     def __init__(self) -> None:
         self.w, self.trans = np.zeros(3 * WIDTH + 1), np.zeros((2, 2))
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def line_marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of every line, the lines' lengths, and each text's first line, with the end."""
         cols, n, first = lines(texts)
-        p, _ = marginals(emissions(cols, first, self.w), first, self.trans)
+        return marginals(emissions(cols, first, self.w), first, self.trans)[0], n, first
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's score, its number of lines, and of those that are good."""
+        p, n, first = self.line_marginals(texts)
         weight = n + 1e-3
-        return np.clip(np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1)
+        score = np.clip(np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1)
+        return score, np.diff(first), np.add.reduceat((p >= 0.5).astype(np.int64), first[:-1])
+
 
+def relabelled(p: np.ndarray, own: np.ndarray, size: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Line labels: the text's label (own), but for lines whose probability p of being good says otherwise with 70 %; at most half of a text."""
+    against = np.where(own > 0, p < 0.3, p > 0.7)
+    share = np.bincount(of, against * size, n) / np.maximum(np.bincount(of, size, n), 1e-9)
+    return np.where(against & (share[of] <= 0.5), 1 - own, own)
 
-def train(rows: list[tuple[bytes, int, str]], steps: int = 70, rate: float = 0.1, l2: float = 1e-3) -> Model:
-    """Adam on the conditional log-likelihood, every text with the same weight."""
+
+def train(rows: list[tuple[bytes, int, str]], steps: tuple[int, ...] = (40, 15, 15), rate: float = 0.1, l2: float = 1e-3) -> Model:
+    """Adam on the conditional log-likelihood, every text with the same weight; lines are given new labels after each number of steps."""
     m, y = Model(), np.array([r[1] for r in rows])
     if not 0 < y.sum() < len(y):
         m.w[-1] = 60 if not len(y) or y.all() else -60
@@ -147,41 +163,44 @@ def train(rows: list[tuple[bytes, int, str]], steps: int = 70, rate: float = 0.1
     cols, n = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in some]))])
     of = np.repeat(np.arange(len(rows)), np.diff(first))
-    gold, weight = y[of].astype(float), ((n + 1.0) / np.add.reduceat(n + 1.0, first[:-1])[of])
-    balance = np.where(gold > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    weight *= balance / len(rows)
+    own, weight = y[of].astype(float), ((n + 1.0) / np.add.reduceat(n + 1.0, first[:-1])[of])
+    weight *= np.where(own > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(rows)
     inner = np.ones(len(cols), bool)
     inner[first[:-1]] = False
+    gold = own
     s1, s2, t1, t2 = np.zeros_like(m.w), np.zeros_like(m.w), np.zeros((2, 2)), np.zeros((2, 2))
-    for k in range(1, steps + 1):
-        p, pair = marginals(emissions(cols, first, m.w), first, m.trans)
-        d = (p - gold) * weight
-        back, ahead = np.zeros_like(d), np.zeros_like(d)  # a line's statistics act on the next line and on the one before
-        back[:-1], ahead[1:] = np.where(inner[1:], d[1:], 0), np.where(inner[1:], d[:-1], 0)
-        g = np.concatenate([*(sum(np.bincount(cols[:, j], x, WIDTH) for j in range(cols.shape[1])) for x in (d, back, ahead)), [d.sum()]]) + l2 * m.w
-        real = np.zeros((2, 2))
-        for s in (0, 1):
-            real[s, s] = weight[inner & (gold == s)].sum()
-        gt = (pair * weight[:, None, None]).sum(axis=0) - real + l2 * m.trans
-        for x, grad, a, b in ((m.w, g, s1, s2), (m.trans, gt, t1, t2)):
-            a += 0.1 * (grad - a)
-            b += 0.001 * (grad * grad - b)
-            x -= rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-9)
-        np.clip(m.trans, -3, 3, out=m.trans)
+    k = 0
+    for turn, count in enumerate(steps):
+        if turn:
+            gold = relabelled(marginals(emissions(cols, first, m.w), first, m.trans)[0], own, n + 1.0, of, len(rows))
+        both = 2 * gold[:-1].astype(int) + gold[1:].astype(int)
+        real = np.bincount(both[inner[1:]], weight[1:][inner[1:]], 4).reshape(2, 2)
+        for _ in range(count):
+            k += 1
+            p, pair = marginals(emissions(cols, first, m.w), first, m.trans)
+            d = (p - gold) * weight
+            back, ahead = np.zeros_like(d), np.zeros_like(d)  # a line's statistics act on the next line and on the one before
+            back[:-1], ahead[1:] = np.where(inner[1:], d[1:], 0), np.where(inner[1:], d[:-1], 0)
+            g = np.concatenate([*(sum(np.bincount(cols[:, j], x, WIDTH) for j in range(cols.shape[1])) for x in (d, back, ahead)), [d.sum()]]) + l2 * m.w
+            if not turn:
+                g[WIDTH:-1] = 0
+            gt = (pair * weight[:, None, None]).sum(axis=0) - real + l2 * m.trans
+            for x, grad, a, b in [(m.w, g, s1, s2), (m.trans, gt, t1, t2)][: 1 + (turn > 0)]:
+                a += 0.1 * (grad - a)
+                b += 0.001 * (grad * grad - b)
+                x -= rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-9)
+            np.clip(m.trans, -3, 3, out=m.trans)
     return m
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= threshold), n_lines."""
+    """doc_id, held_out, score, predicted (score >= threshold), n_lines, n_good_lines (of marginals of a half or more)."""
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, "quality", per_class, id_col, text_col)))  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts, n = batch.column(0).to_pylist(), [], []
-            for _, some in blocks(batch.column(1).to_pylist()):
-                parts.append(model.value.scores(some))
-                n += [t.count(b"\n") + 1 for t in some]
-            s = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(k) for k in ids], pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(n, pa.int64())], names=["doc_id", "held_out", "score", "predicted", "n_lines"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int, n_lines long")
+            made = [model.value.scores(some) for _, some in blocks(batch.column(1).to_pylist())] or [(np.zeros(0), np.zeros(0, int), np.zeros(0, int))]
+            s, n, good = (np.concatenate(x) for x in zip(*made))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(k) for k in batch.column(0).to_pylist()], pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(n, pa.int64()), pa.array(good, pa.int64())], names=["doc_id", "held_out", "score", "predicted", "n_lines", "n_good_lines"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int, n_lines long, n_good_lines long")
