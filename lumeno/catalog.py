@@ -15,6 +15,7 @@ from lumeno.functions import geometry as G
 from lumeno.functions import scramble
 from lumeno.functions import text as T
 from lumeno.operators import boxes, clusters, dom, groups, jobs, snapshot
+from lumeno.plans.shared import written
 from lumeno.sources import html, snapshots, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,11 @@ def elements(spark: SparkSession, sf: str) -> DataFrame:
     return html.parse(read(spark, sf, "pages"))
 
 
+def held(spark: SparkSession, sf: str) -> DataFrame:
+    """The elements, parsed once, for queries that read them several times."""
+    return written(elements(spark, sf), "elements")
+
+
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -422,19 +428,19 @@ def dom_innermost(spark, sf):
 
 @query()
 def dom_members(spark, sf):
-    e = elements(spark, sf)
+    e = held(spark, sf)
     return dom.members(e.where(F.col("tag").isin("nav", "article", "footer")).withColumn("group_id", F.col("el_id")), dom.with_text(e))
 
 
 @query()
 def dom_nearest_block(spark, sf):
-    e = elements(spark, sf)
+    e = held(spark, sf)
     return dom.nearest_ancestor(e, e.where(F.col("tag").isin(*dom.BLOCKS)))
 
 
 @query()
 def dom_html_distance(spark, sf):
-    return dom.html_distance(elements(spark, sf))
+    return dom.html_distance(held(spark, sf))
 
 
 @query()
@@ -444,7 +450,7 @@ def dom_inner_text(spark, sf):
 
 @query()
 def dom_paragraphs(spark, sf):
-    return dom.paragraphs(elements(spark, sf))
+    return dom.paragraphs(held(spark, sf))
 
 
 @query()
@@ -466,12 +472,14 @@ def css_selectors(spark, sf):
 @query()
 def dom_clusters_with_roots(spark, sf):
     """HTML distances of text elements, clustered, with the root of each cluster."""
-    e = elements(spark, sf)
+    e = held(spark, sf)
     t = dom.with_text(e).select("page_id", "el_id")
     pair = dom.html_distance(e)
     both = pair.join(t.withColumnRenamed("el_id", "a_id"), ["page_id", "a_id"], "left_semi").join(t.withColumnRenamed("el_id", "b_id"), ["page_id", "b_id"], "left_semi")
     labels = clusters.cluster(clusters.normalised(both))
-    return clusters.groups(labels, clusters.roots(clusters.ladders(labels, e)))
+    areas = snapshots.from_elements(e).select("page_id", "el_id", ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))).alias("area"))
+    labels = written(labels, "labels")
+    return clusters.groups(labels, clusters.roots(clusters.ladders(labels, e), areas))
 
 
 @query("SELECT n_regionkey AS ord, n_name AS line FROM nation WHERE false UNION ALL SELECT 1099511627776 - n_nationkey, n_name || chr(9) || n_regionkey FROM nation UNION ALL SELECT -1, 'n_name' || chr(9) || 'n_regionkey'")
@@ -485,7 +493,7 @@ def tsv_export(spark, sf):
 def snapshot_query(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         pages = read(spark, sf, "pages")
-        return f(snapshots.from_pages(pages), pages)
+        return f(written(snapshots.from_pages(pages), "snapshot"), pages)
 
     run.__name__ = name
     QUERIES[name] = run

@@ -1,11 +1,13 @@
 """Element trees: containment by interval, ancestors, distances.
 
-An element contains another one of its page if its (pre, post) interval does; an element contains itself. Joins have the
-page as equality key.
+An element contains another one of its page if it is on the other's path, the ids from the root down to the element, which the
+parser writes. So containment is a join on page and id of the elements' exploded paths: work is elements by depth, and a page
+of very many elements is dealt to many tasks.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,33 +15,59 @@ from pyspark.sql import functions as F
 CONTROLS = ("button", "input", "option", "select", "details", "textarea", "audio", "portal")
 DECORATIVE = ("kbd", "hr", "meter", "progress")
 TEXT_INPUTS = ("datetime-local", "button", "reset", "text", "date", "email", "month", "number", "search", "tel", "time", "url", "week", "datetime", "submit")
-BLOCKS = ("address", "article", "aside", "blockquote", "details", "dialog", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
+BLOCKS = ("address", "article", "aside", "blockquote", "details", "dialog", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
+
+
+def paths(elements: DataFrame) -> DataFrame:
+    """elements with their paths, made from the parents where they are missing."""
+    if "path" in elements.columns:
+        return elements
+
+    def one(t: pa.Table) -> pa.Table:
+        ids, up = t.column("el_id").to_pylist(), dict(zip(t.column("el_id").to_pylist(), t.column("parent_id").to_pylist()))
+        made = []
+        for k in ids:
+            path = []
+            while k is not None:
+                path.append(k)
+                k = up.get(k)
+            made.append(path[::-1])
+        return pa.table({"page_id": t.column("page_id"), "el_id": t.column("el_id"), "path": pa.array(made, pa.list_(pa.int32()))})
+
+    kind = elements.schema["page_id"].dataType.simpleString()
+    made = elements.select("page_id", "el_id", "parent_id").groupBy("page_id").applyInArrow(one, f"page_id {kind}, el_id int, path array<int>")
+    return elements.join(made, ["page_id", "el_id"])
+
+
+def above(elements: DataFrame, *cols: str | Column, strict: bool = False) -> DataFrame:
+    """page_id, anc_id, dist and cols for each element and each of its ancestors, itself included unless strict."""
+    e = paths(elements)
+    rows = e.select("page_id", *cols, F.size("path").alias("_n"), F.posexplode("path").alias("_k", "anc_id")).withColumn("dist", F.col("_n") - F.col("_k") - 1)
+    return (rows.where("dist > 0") if strict else rows).drop("_n", "_k")
 
 
 def closure(elements: DataFrame, inclusive: bool = True) -> DataFrame:
     """page_id, anc_id, desc_id, dist of every element and its ancestors."""
-    a = elements.select("page_id", F.col("el_id").alias("anc_id"), F.col("pre").alias("_ap"), F.col("post").alias("_ao"), F.col("depth").alias("_ad"))
-    d = elements.select("page_id", F.col("el_id").alias("desc_id"), F.col("pre").alias("_dp"), F.col("post").alias("_do"), F.col("depth").alias("_dd"))
-    inside = (F.col("_ap") <= F.col("_dp")) & (F.col("_do") <= F.col("_ao"))
-    made = a.join(d, "page_id").where(inside if inclusive else inside & (F.col("_ap") < F.col("_dp")))
-    return made.select("page_id", "anc_id", "desc_id", (F.col("_dd") - F.col("_ad")).alias("dist"))
+    return above(elements, "el_id", strict=not inclusive).select("page_id", "anc_id", F.col("el_id").alias("desc_id"), "dist")
+
+
+def _ids(elements: DataFrame, name: str) -> DataFrame:
+    return elements.select("page_id", F.col("el_id").alias(name)).distinct()
 
 
-def _within(elements: DataFrame, others: DataFrame, how: str, strict: bool, contains: bool) -> DataFrame:
-    o = others.select("page_id", F.col("pre").alias("_p"), F.col("post").alias("_q"))
-    lo, hi = (("_p", "pre"), ("post", "_q")) if not contains else (("pre", "_p"), ("_q", "post"))
-    cond = (elements["page_id"] == o["page_id"]) & ((F.col(lo[0]) < F.col(lo[1])) if strict else (F.col(lo[0]) <= F.col(lo[1]))) & (F.col(hi[0]) <= F.col(hi[1]))
-    return elements.join(o, cond, how)
+def _within(elements: DataFrame, containers: DataFrame, how: str, strict: bool) -> DataFrame:
+    hit = above(elements, "el_id", strict=strict).join(_ids(containers, "anc_id"), ["page_id", "anc_id"], "left_semi").select("page_id", "el_id").distinct()
+    return elements.join(hit, ["page_id", "el_id"], how)
 
 
 def inside(elements: DataFrame, containers: DataFrame, strict: bool = False) -> DataFrame:
     """Elements within any container (N1 as a semi join)."""
-    return _within(elements, containers, "left_semi", strict, False)
+    return _within(elements, containers, "left_semi", strict)
 
 
 def outside(elements: DataFrame, containers: DataFrame, strict: bool = False) -> DataFrame:
     """Elements within no container (N1 as an anti join, F30)."""
-    return _within(elements, containers, "left_anti", strict, False)
+    return _within(elements, containers, "left_anti", strict)
 
 
 def outermost(elements: DataFrame) -> DataFrame:
@@ -49,13 +77,14 @@ def outermost(elements: DataFrame) -> DataFrame:
 
 def innermost(elements: DataFrame) -> DataFrame:
     """Without elements that contain another one of the set."""
-    return _within(elements.dropDuplicates(["page_id", "el_id"]), elements, "left_anti", True, True)
+    holders = above(elements, strict=True).select("page_id", F.col("anc_id").alias("el_id")).distinct()
+    return elements.dropDuplicates(["page_id", "el_id"]).join(holders, ["page_id", "el_id"], "left_anti")
 
 
 def members(groups: DataFrame, elements: DataFrame) -> DataFrame:
-    """page_id, group_id, el_id: the elements each root contains, itself included."""
-    g = groups.select("page_id", "group_id", F.col("pre").alias("_p"), F.col("post").alias("_q"))
-    return g.join(elements, "page_id").where((F.col("_p") <= F.col("pre")) & (F.col("post") <= F.col("_q"))).select("page_id", "group_id", "el_id")
+    """page_id, group_id, el_id: the elements each group's root (el_id) contains, itself included."""
+    roots = groups.select("page_id", "group_id", F.col("el_id").alias("anc_id"))
+    return above(elements, "el_id").join(roots, ["page_id", "anc_id"]).select("page_id", "group_id", "el_id")
 
 
 def by_tag(elements: DataFrame, tags: tuple[str, ...], inverse: bool = False, ancestors: DataFrame | None = None) -> DataFrame:
@@ -68,30 +97,31 @@ def by_tag(elements: DataFrame, tags: tuple[str, ...], inverse: bool = False, an
 
 def nearest_ancestor(elements: DataFrame, candidates: DataFrame, strict: bool = True) -> DataFrame:
     """page_id, el_id, anc_id, dist: the closest candidate that contains an element (N9); elements without one are left out."""
-    c = candidates.select("page_id", F.col("el_id").alias("anc_id"), F.col("pre").alias("_p"), F.col("post").alias("_q"), F.col("depth").alias("_d"))
-    e = elements.select("page_id", "el_id", "pre", "post", "depth")
-    lo = F.col("_p") < F.col("pre") if strict else F.col("_p") <= F.col("pre")
-    near = e.join(c, "page_id").where(lo & (F.col("post") <= F.col("_q")))
-    return near.groupBy("page_id", "el_id").agg(F.max_by("anc_id", "_d").alias("anc_id"), F.min(F.col("depth") - F.col("_d")).alias("dist"))
+    near = above(elements, "el_id", strict=strict).join(_ids(candidates, "anc_id"), ["page_id", "anc_id"])
+    return near.groupBy("page_id", "el_id").agg(F.min_by("anc_id", "dist").alias("anc_id"), F.min("dist").alias("dist"))
+
+
+def _met(path_a: str, path_b: str) -> list[Column]:
+    """lca_id, up_a, up_b of two paths: what they have in common is where both begin."""
+    both = F.array_intersect(path_a, path_b)
+    return [F.element_at(both, -1).alias("lca_id"), (F.size(path_a) - F.size(both)).alias("up_a"), (F.size(path_b) - F.size(both)).alias("up_b")]
 
 
 def common_ancestor(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """The deepest element that contains both of a pair, and the steps between them through it."""
-    up = closure(elements)
-    depth = elements.select("page_id", F.col("el_id").alias("anc_id"), F.col("depth").alias("_d"))
-    a = up.select("page_id", "anc_id", F.col("desc_id").alias("a_id"), F.col("dist").alias("_x"))
-    b = up.select("page_id", "anc_id", F.col("desc_id").alias("b_id"), F.col("dist").alias("_y"))
-    met = pairs.join(a, ["page_id", "a_id"]).join(b, ["page_id", "b_id", "anc_id"]).join(depth, ["page_id", "anc_id"])
-    return met.groupBy("page_id", "a_id", "b_id").agg(F.max_by("anc_id", "_d").alias("lca_id"), F.max_by(F.struct("_x", "_y"), "_d").alias("_s")).select("page_id", "a_id", "b_id", "lca_id", F.col("_s._x").alias("up_a"), F.col("_s._y").alias("up_b"))
+    e = paths(elements)
+    a, b = (e.select("page_id", F.col("el_id").alias(f"{k}_id"), F.col("path").alias(f"_{k}")) for k in "ab")
+    met = pairs.join(a, ["page_id", "a_id"]).join(b, ["page_id", "b_id"]).where(F.arrays_overlap("_a", "_b"))
+    return met.select("page_id", "a_id", "b_id", *_met("_a", "_b"))
 
 
 def html_distance(elements: DataFrame, method: str = "sum") -> DataFrame:
     """Steps from each element to the lowest common ancestor: sum, max or min of both (C1), for ordered pairs of the given elements' page."""
-    a, b = (elements.select("page_id", F.col("el_id").alias(f"{p}_id"), F.col("pre").alias(f"_{p}")) for p in "ab")
-    half = common_ancestor(a.join(b, "page_id").where("_a < _b").select("page_id", "a_id", "b_id"), elements)
+    e = paths(elements)
+    a, b = (e.select("page_id", F.col("el_id").alias(f"{k}_id"), F.col("path").alias(f"_{k}")) for k in "ab")
+    met = a.join(b, "page_id").where((F.col("a_id") != F.col("b_id")) & F.arrays_overlap("_a", "_b")).select("page_id", "a_id", "b_id", *_met("_a", "_b"))
     value = {"sum": F.col("up_a") + F.col("up_b"), "max": F.greatest("up_a", "up_b"), "min": F.least("up_a", "up_b")}[method].cast("double")
-    half = half.select("page_id", F.lit(f"dist_html_{method}").alias("metric"), "a_id", "b_id", value.alias("value"))
-    return half.unionByName(half.select("page_id", "metric", F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "value"))
+    return met.select("page_id", F.lit(f"dist_html_{method}").alias("metric"), "a_id", "b_id", value.alias("value"))
 
 
 def text_of(parts: Column) -> Column:
@@ -125,8 +155,8 @@ def native_controls(elements: DataFrame, name: str = "real") -> DataFrame:
 
 def inner_text(elements: DataFrame) -> DataFrame:
     """page_id, el_id, text: all text within, in document order."""
-    e = with_text(elements).select("page_id", F.col("el_id").alias("desc_id"), F.col("pre").alias("ord"), text_of(F.col("own_text")).alias("t"))
-    made = closure(elements).join(e, ["page_id", "desc_id"]).groupBy("page_id", F.col("anc_id").alias("el_id"))
+    e = with_text(elements).withColumn("t", text_of(F.col("own_text")))
+    made = above(e, F.col("pre").alias("ord"), "t").groupBy("page_id", F.col("anc_id").alias("el_id"))
     return made.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]), "").alias("text"))
 
 

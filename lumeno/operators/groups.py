@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumeno.functions import text as T
 from lumeno.operators import dom, snapshot
+from lumeno.plans.shared import once
 
 # Fixed values.
 SHORT, LONG = 28, 56
@@ -14,11 +15,13 @@ HEADER_TEXT, FOOTER_TEXT = 504, 756
 KEYWORDS = {"newsletter": ("newsletter", "subscribe", "sign up for"), "search": ("search", "find")}
 
 
+@once
 def _texts(elements: DataFrame) -> DataFrame:
     """page_id, el_id, n: length of all visible text within."""
     return dom.inner_text(elements).select("page_id", "el_id", F.length("text").alias("n"))
 
 
+@once
 def root_element(elements: DataFrame) -> DataFrame:
     """The first element below body whose number of visible children isn't one."""
     kids = elements.groupBy("page_id", F.col("parent_id").alias("el_id")).agg(F.count("*").alias("n_kids"))
@@ -36,17 +39,20 @@ def _bars(elements: DataFrame, edge: Column, most_text: int, limit: float) -> Da
     return dom.outermost(fit.select(*elements.columns))
 
 
+@once
 def headers(elements: DataFrame, page_height: float = 900) -> DataFrame:
     """Full-width bars at the top with little text."""
     limit = max(255.0, page_height * 0.25)
     return _bars(elements, F.col("t") <= F.col("_t") + 5, HEADER_TEXT, limit)
 
 
+@once
 def footers(elements: DataFrame, page_height: float = 900) -> DataFrame:
     """Full-width bars at the bottom."""
     return _bars(elements, F.col("b") >= F.col("_b") - 5, FOOTER_TEXT, page_height)
 
 
+@once
 def forms(elements: DataFrame) -> DataFrame:
     """Forms that hold no header or footer and are none."""
     bars = headers(elements).unionByName(footers(elements)).select("page_id", F.col("el_id").alias("bar_id"))
@@ -54,6 +60,7 @@ def forms(elements: DataFrame) -> DataFrame:
     return elements.where("tag = 'form'").join(held, ["page_id", "el_id"], "left_anti")
 
 
+@once
 def main_body(elements: DataFrame) -> DataFrame:
     """The highest elements that hold primitives and nothing of a header or footer; body where there are neither."""
     bars = headers(elements).unionByName(footers(elements))
@@ -65,6 +72,7 @@ def main_body(elements: DataFrame) -> DataFrame:
     return found.join(bars.select("page_id").distinct(), "page_id", "left_semi").unionByName(elements.where("tag = 'body'").join(bars, "page_id", "left_anti"))
 
 
+@once
 def menus(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """page_id, el_id, kind (menusH, menusV), n_items, n_nested of menus (G2): at least three items, 85 % of one font size,
     60 % internal links, equal tag paths, little other text; the outermost ones."""
@@ -142,6 +150,7 @@ def properties(groups: DataFrame, members: DataFrame, rects: DataFrame) -> DataF
     return groups.select("page_id", "group_id", "tag", *"ltrb").join(inner, ["page_id", "group_id"], "left").withColumn("zero_sized", snapshot.width() * snapshot.height() == 0)
 
 
+@once
 def fixed_areas(elements: DataFrame) -> DataFrame:
     """page_id, el_id, location of fixed or sticky bars (G1)."""
     from lumeno.functions import geometry as G

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lumeno.functions import color as C
 from lumeno.functions import geometry as G
 from lumeno.operators import dom
+from lumeno.plans.shared import once
 
 # Fixed values.
 MEDIA = ("img", "object", "video", "canvas", "embed", "svg")
@@ -115,6 +116,7 @@ def positioned(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("position").isin("relative", "absolute", "fixed", "sticky") & ~F.col("tag").isin("html", "body"))
 
 
+@once
 def computed_controls(elements: DataFrame, page_width: float = 1440) -> DataFrame:
     """Small clickable things that aren't native controls (F12): pointer, hover style or link, not in running text, without other
     clickable or large media inside, with at most one text; outermost only."""
@@ -130,6 +132,7 @@ def computed_controls(elements: DataFrame, page_width: float = 1440) -> DataFram
     return dom.outermost(click.join(texts, ["page_id", "el_id"], "left_anti").join(holds, ["page_id", "el_id"], "left_anti"))
 
 
+@once
 def primitives(elements: DataFrame) -> DataFrame:
     """page_id, el_id, family of texts outside computed controls, graphics outside any control, and all controls."""
     computed, native = computed_controls(elements), dom.native_controls(elements)

@@ -1,7 +1,7 @@
 """HTML to element rows (S8), in Arrow batches.
 
 A static tree from the standard parser, with void elements, implied end tags and missing end tags. Elements are numbered in
-document order; pre and post are an interval that holds those of all descendants.
+document order; pre and post are an interval that holds those of all descendants, and path has the ids from the root down to the element.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ CLOSES = {
 }
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 FENCES = frozenset("ul ol dl table select body html".split())
-ELEMENTS = "page_id long, el_id int, parent_id int, tag string, pre int, post int, depth int, own_text array<string>, attrs map<string,string>"
+ELEMENTS = "page_id long, el_id int, parent_id int, tag string, pre int, post int, depth int, own_text array<string>, attrs map<string,string>, path array<int>"
 
 
 class _Tree(HTMLParser):
@@ -87,15 +87,18 @@ def parse(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(page, r[0], r[1], r[2], r[3], r[4], r[5], r[6], list(r[7].items())) for r in tree(html or "")]
+                up: list[list[int]] = []
+                for r in tree(html or ""):
+                    up.append([r[0]] if r[1] is None else [*up[r[1]], r[0]])
+                    rows.append((page, *r[:7], list(r[7].items()), up[-1]))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    names = ["page_id", "el_id", "parent_id", "tag", "pre", "post", "depth", "own_text", "attrs"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
+    names = ["page_id", "el_id", "parent_id", "tag", "pre", "post", "depth", "own_text", "attrs", "path"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.list_(pa.int32())]
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, ELEMENTS)
 
 
