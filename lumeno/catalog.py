@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lumeno.functions import color as C
 from lumeno.functions import geometry as G
 from lumeno.functions import scramble
+from lumeno.functions import styles as ST
 from lumeno.functions import text as T
-from lumeno.operators import boxes, clusters, dom, groups, jobs, snapshot
+from lumeno.operators import boxes, clusters, dom, frames, groups, jobs, snapshot
 from lumeno.plans.shared import written
 from lumeno.sources import html, snapshots, tables
 
@@ -343,12 +344,15 @@ def flex_space(spark, sf):
 # Matrices and clusters
 
 
-def matrices(spark, sf, envelopes="true"):
-    """Spatial, connectedness and enclosure matrices of rectangles, and element distance as an HTML stand-in."""
+def matrices(spark, sf, envelopes="true", mods=True):
+    """Spatial, connectedness and enclosure matrices of rectangles, and element distance as an HTML stand-in; one join gives all of a pair."""
     r = rects(spark, sf)
-    tree = boxes.pairs(r).select("page_id", F.lit("dist_html_sum").alias("metric"), "a_id", "b_id", F.abs(F.col("a_id") - F.col("b_id")).cast("double").alias("value"))
-    mods = boxes.shared_envelopes(boxes.enclosed(r, r.where(envelopes)))
-    return tree.unionByName(boxes.spatial_distance(r)).unionByName(boxes.connectedness(r)).unionByName(mods)
+    x, y = boxes._axes(G.gap)
+    pair = boxes.pairs(r)
+    values = {"dist_html_sum": F.abs(F.col("a_id") - F.col("b_id")).cast("double"), "dist_spat_l2": G.merge(x, y, "l2"), "sim_spatConnect_gauss": boxes.connected()}
+    cells = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])
+    made = pair.select("page_id", "a_id", "b_id", F.explode(cells).alias("x")).select("page_id", "x.metric", "a_id", "b_id", "x.value")
+    return made.unionByName(boxes.shared_envelopes(boxes.enclosed(r, r.where(envelopes)))) if mods else made
 
 
 CONN = f"greatest(ox * {FADE.format('gy')} + oy * {FADE.format('gx')}, qx * {FADE.format('gy')} + qy * {FADE.format('gx')})"
@@ -358,14 +362,15 @@ NORM = f"""{PAIRS}, m AS (SELECT page_id, a_id, b_id, CAST(abs(a_id - b_id) AS D
 
 @query(f"WITH {NORM} SELECT page_id, 'dist_html_sum' AS metric, a_id, b_id, round(h, 6) AS value FROM n UNION ALL SELECT page_id, 'dist_spat_l2', a_id, b_id, round(s, 6) FROM n UNION ALL SELECT page_id, 'sim_spatConnect_gauss', a_id, b_id, round(c, 6) FROM n")
 def matrix_normalise(spark, sf):
-    return rounded(clusters.normalised(matrices(spark, sf).where(~F.startswith("metric", F.lit("mod_")))), "value")
+    return rounded(clusters.normalised(matrices(spark, sf, mods=False)), "value")
 
 
 @query(f"WITH {NORM} SELECT page_id, a_id, b_id, round((h + 0.5 * s) / 1.5, 6) AS html_spat, round((h + 0.5 * c) / 1.5, 6) AS html_conn FROM n")
 def matrix_combine(spark, sf):
-    n = clusters.normalised(matrices(spark, sf).where(~F.startswith("metric", F.lit("mod_"))))
-    a, b = (clusters.combined(n, ["dist_html_", p], [1, 0.5]) for p in ("dist_spat_", "sim_"))
-    return rounded(a.select("page_id", "a_id", "b_id", F.col("value").alias("html_spat")).join(b.select("page_id", "a_id", "b_id", F.col("value").alias("html_conn")), ["page_id", "a_id", "b_id"]), "html_spat", "html_conn")
+    n = clusters.normalised(matrices(spark, sf, mods=False))
+    value = lambda p: F.max(F.when(F.col("metric") == p, F.col("value")))
+    g = n.groupBy("page_id", "a_id", "b_id").agg(*[((value("dist_html_sum") + 0.5 * value(p)) / 1.5).alias(k) for k, p in (("html_spat", "dist_spat_l2"), ("html_conn", "sim_spatConnect_gauss"))])
+    return rounded(g, "html_spat", "html_conn")
 
 
 @query(f"WITH {NORM}, i AS ({ENC.split('i AS (', 1)[1]}, e AS (SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, count(*) + 1 AS k FROM i x JOIN i y ON x.page_id = y.page_id AND x.env_id = y.env_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3) SELECT page_id, a_id, b_id, round(h / coalesce(k, 1), 6) AS value FROM n LEFT JOIN e USING (page_id, a_id, b_id)")
@@ -487,9 +492,304 @@ def tsv_export(spark, sf):
     return tables.tsv_lines(read(spark, sf, "nation").select(F.col("n_nationkey").cast("long"), "n_name", "n_regionkey"), "n_nationkey")
 
 
+# Trees and snapshots derived from tables, so that SQL can say what is right
+
+TAGS = ("div", "p", "a", "input", "img", "form", "section", "span", "button", "svg", "li", "nav")
+#: A page is an order. Its elements, in the order of its lines, are a heap: element k stands in element (k - 1) // 2, the first in none.
+TREE = f"""t AS (SELECT page_id, el_id - 1 AS el_id, CASE WHEN el_id > 1 THEN CAST(floor((el_id - 2) / 2) AS INT) END AS parent_id,
+    [{', '.join(f"'{t}'" for t in TAGS)}][1 + (page_id * 7 + el_id * el_id * 5) % {len(TAGS)}] AS tag,
+    CASE WHEN (page_id + el_id) % 3 = 0 THEN 'Text ' || el_id || '.' ELSE '' END AS txt, l, t AS top, r, b, page_id % 5 AS m,
+    ['static', 'relative', 'absolute', 'fixed', 'sticky'][1 + (page_id + el_id * 3) % 5] AS position, 4.0 * ((page_id + el_id) % 6) AS font_size,
+    (page_id + el_id) % 4 = 0 AS pictured, (page_id * 3 + el_id) % 11 = 0 AS faint FROM r)"""
+#: up: every element with each of its ancestors, itself included.
+UP = f"""{R}, {TREE}, up AS (SELECT page_id, el_id, el_id AS anc_id, 0 AS dist, parent_id AS nxt FROM t
+    UNION ALL SELECT u.page_id, u.el_id, t.el_id, u.dist + 1, t.parent_id FROM up u JOIN t ON t.page_id = u.page_id AND t.el_id = u.nxt)"""
+WITH_UP = f"WITH RECURSIVE {UP}"
+BLOCK_TAGS = "('div', 'p', 'form', 'section', 'li', 'nav')"
+HAS_TEXT = "txt <> '' AND tag NOT IN ('button')"
+MAX_SIDE, MIN_SIDE = "greatest(r - l, b - top)", "least(r - l, b - top)"
+UI = f"({MIN_SIDE} <= CASE WHEN real THEN {int(G.UI_SIDE_REAL)} ELSE {int(G.UI_SIDE)} END AND {MAX_SIDE} >= 1.5 * {MIN_SIDE})"
+ICON = f"({MAX_SIDE} <= CASE WHEN real THEN {int(G.ICON_SIDE_REAL)} ELSE {int(G.ICON_SIDE)} END AND {MAX_SIDE} <= 1.5 * {MIN_SIDE})"
+
+
+def tree(spark, sf) -> DataFrame:
+    """Snapshot rows of the heaps, with pre and post left out: paths are made from the parents."""
+    r = rects(spark, sf)
+    p, k = F.col("page_id"), F.col("el_id")
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (1 + at % len(names)).cast("int"))
+    made = r.select(
+        "page_id", (k - 1).alias("el_id"), F.when(k > 1, F.floor((k - 2) / 2).cast("int")).alias("parent_id"), pick(TAGS, p * 7 + k * k * 5).alias("tag"),
+        F.array(F.when((p + k) % 3 == 0, F.concat(F.lit("Text "), k.cast("string"), F.lit("."))).otherwise("")).alias("own_text"), F.lit(None).cast("map<string,string>").alias("attrs"),
+        "l", "t", "r", "b", pick(("static", "relative", "absolute", "fixed", "sticky"), p + k * 3).alias("position"), (4.0 * ((p + k) % 6)).alias("font_size"),
+        F.when((p + k) % 4 == 0, F.lit("url(x.png)")).alias("bg_image"), F.when((p * 3 + k) % 11 == 0, 0.05).otherwise(1.0).alias("opacity"), (k - 1).alias("pre"),
+        F.array(*[F.lit(0.0)] * 3).alias("color"), F.lit("auto").alias("cursor"), F.lit("visible").alias("visibility"), F.lit("block").alias("display"), F.lit(1440.0).alias("doc_width"), F.lit(900.0).alias("doc_height"),
+    )
+    return written(dom.paths(made.withColumn("depth", F.floor(F.log2(F.col("el_id") + 1)).cast("int"))), "tree")
+
+
+@query(f"{WITH_UP} SELECT page_id, anc_id, el_id AS desc_id, dist FROM up")
+def tree_closure(spark, sf):
+    return dom.closure(tree(spark, sf))
+
+
+@query(f"{WITH_UP} SELECT page_id, el_id FROM t WHERE tag IN {BLOCK_TAGS} AND NOT EXISTS (SELECT 1 FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.page_id = t.page_id AND u.el_id = t.el_id AND u.dist > 0 AND x.tag IN {BLOCK_TAGS})")
+def tree_outermost(spark, sf):
+    return dom.outermost(tree(spark, sf).where(F.col("tag").isin(*dom.BLOCKS))).select("page_id", "el_id")
+
+
+@query(f"{WITH_UP} SELECT page_id, el_id FROM t WHERE tag IN {BLOCK_TAGS} AND NOT EXISTS (SELECT 1 FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.el_id WHERE u.page_id = t.page_id AND u.anc_id = t.el_id AND u.dist > 0 AND x.tag IN {BLOCK_TAGS})")
+def tree_innermost(spark, sf):
+    return dom.innermost(tree(spark, sf).where(F.col("tag").isin(*dom.BLOCKS))).select("page_id", "el_id")
+
+
+@query(f"{WITH_UP} SELECT u.page_id, u.anc_id AS group_id, u.el_id FROM up u JOIN t g ON g.page_id = u.page_id AND g.el_id = u.anc_id JOIN t e ON e.page_id = u.page_id AND e.el_id = u.el_id WHERE g.tag IN ('nav', 'form') AND {HAS_TEXT.replace('txt', 'e.txt').replace('tag', 'e.tag')}")
+def tree_members(spark, sf):
+    e = tree(spark, sf)
+    return dom.members(e.where("tag in ('nav', 'form')").withColumn("group_id", F.col("el_id")), dom.with_text(e))
+
+
+@query(f"{WITH_UP} SELECT u.page_id, u.el_id, arg_min(u.anc_id, u.dist) AS anc_id, min(u.dist) AS dist FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.dist > 0 AND x.tag IN {BLOCK_TAGS} GROUP BY 1, 2")
+def tree_nearest_block(spark, sf):
+    e = tree(spark, sf)
+    return dom.nearest_ancestor(e, e.where(F.col("tag").isin(*dom.BLOCKS)))
+
+
+@query(f"{WITH_UP} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, CAST(min(x.dist + y.dist) AS DOUBLE) AS value FROM up x JOIN up y ON x.page_id = y.page_id AND x.anc_id = y.anc_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3")
+def tree_html_distance(spark, sf):
+    return dom.html_distance(tree(spark, sf)).drop("metric")
+
+
+@query(f"{WITH_UP} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, arg_min(x.anc_id, x.dist) AS lca_id FROM up x JOIN up y ON x.page_id = y.page_id AND x.anc_id = y.anc_id AND x.el_id < y.el_id GROUP BY 1, 2, 3")
+def tree_common_ancestor(spark, sf):
+    e = tree(spark, sf)
+    a, b = (e.select("page_id", F.col("el_id").alias(f"{k}_id")) for k in "ab")
+    return dom.common_ancestor(a.join(b, "page_id").where("a_id < b_id"), e).select("page_id", "a_id", "b_id", "lca_id")
+
+
+@query(f"{WITH_UP} SELECT u.page_id, u.anc_id AS el_id, string_agg(e.txt, '' ORDER BY e.el_id) AS text FROM up u JOIN t e ON e.page_id = u.page_id AND e.el_id = u.el_id WHERE {HAS_TEXT.replace('txt', 'e.txt').replace('tag', 'e.tag')} GROUP BY 1, 2")
+def tree_inner_text(spark, sf):
+    return dom.inner_text(tree(spark, sf))
+
+
+@query(f"{WITH_UP}, n AS (SELECT u.page_id, u.el_id, arg_min(u.anc_id, u.dist) AS anc_id FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE x.tag IN {BLOCK_TAGS} GROUP BY 1, 2) SELECT n.page_id, n.anc_id AS el_id, count(*) AS n_texts, string_agg(e.txt, '' ORDER BY e.el_id) AS text FROM n JOIN t e ON e.page_id = n.page_id AND e.el_id = n.el_id WHERE {HAS_TEXT.replace('txt', 'e.txt').replace('tag', 'e.tag')} GROUP BY 1, 2")
+def tree_paragraphs(spark, sf):
+    return dom.paragraphs(tree(spark, sf))
+
+
+@query(f"WITH {R}, {TREE} SELECT page_id, el_id, tag FROM t WHERE tag IN ('input', 'button')")
+def tree_controls(spark, sf):
+    return dom.native_controls(tree(spark, sf)).select("page_id", "el_id", "tag")
+
+
+@query(f"{WITH_UP} SELECT page_id, el_id FROM t WHERE NOT EXISTS (SELECT 1 FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.page_id = t.page_id AND u.el_id = t.el_id AND x.tag IN ('form', 'nav'))")
+def tree_by_tag(spark, sf):
+    """Elements that stand in neither form nor nav (F5, inverse)."""
+    e = tree(spark, sf)
+    return dom.by_tag(e, ("form", "nav"), inverse=True, ancestors=e).select("page_id", "el_id")
+
+
+@query(f"""WITH {R}, {TREE}, g AS (SELECT *, tag IN ('img', 'svg') AS real FROM t WHERE tag IN ('img', 'svg') OR pictured)
+    SELECT page_id, el_id, tag, CASE WHEN real THEN '' ELSE 'bg.' END || CASE WHEN {UI} THEN 'ui' WHEN {ICON} THEN 'icon' ELSE 'main' END AS kind FROM g""")
+def tree_graphics(spark, sf):
+    return snapshot.graphics(tree(spark, sf)).select("page_id", "el_id", "tag", "kind")
+
+
+@query(f"WITH {R}, {TREE} SELECT page_id, el_id, tag FROM t WHERE position <> 'static'")
+def tree_positioned(spark, sf):
+    return snapshot.positioned(tree(spark, sf)).select("page_id", "el_id", "tag")
+
+
+@query(f"WITH {R}, {TREE} SELECT page_id, el_id FROM t WHERE {HAS_TEXT} AND font_size > 3")
+def tree_visible_text(spark, sf):
+    return snapshot.visible_text(tree(spark, sf)).select("page_id", "el_id")
+
+
+@query(f"WITH {R}, {TREE}, g AS (SELECT * FROM t WHERE tag IN ('img', 'svg') OR pictured) SELECT page_id, coalesce(string_agg(el_id, '__' ORDER BY CAST(el_id AS VARCHAR)) FILTER (WHERE r - l >= 100 AND b - top >= 60), '') AS window_ids, coalesce(string_agg(el_id, '__' ORDER BY CAST(el_id AS VARCHAR)) FILTER (WHERE r - l >= 1440 AND b - top >= 900), '') AS document_ids FROM g GROUP BY 1")
+def tree_full_window(spark, sf):
+    """Graphics as large as a window of 100 by 60, as no rectangle of these is larger."""
+    return snapshot.full_window(tree(spark, sf), 100, 60)
+
+
+@query(f"""WITH {R}, {TREE}, s AS (SELECT page_id, el_id, position, (l - 20) / 2 AS l, top - 2 AS t, r * 2 AS r, b FROM t)
+    SELECT page_id, el_id, location FROM (SELECT *, CASE WHEN (r - l > 1296 AND b - t > 405) OR (r - l > 648 AND b - t > 810) THEN NULL
+    WHEN r - l > 1296 AND t < 5 AND t > -5 THEN 'top' WHEN r - l > 1296 AND b < 905 AND b > 895 THEN 'bottom'
+    WHEN b - t > 810 AND l < 5 AND l > -5 THEN 'left' WHEN b - t > 810 AND r < 1445 AND r > 1435 THEN 'right' END AS location FROM s WHERE position IN ('fixed', 'sticky')) WHERE location IS NOT NULL""")
+def tree_fixed_areas(spark, sf):
+    e = tree(spark, sf).withColumns({"l": (F.col("l") - 20) / 2, "t": F.col("t") - 2, "r": F.col("r") * 2})
+    return groups.fixed_areas(e).select("page_id", "el_id", "location")
+
+
+SVG = "EXISTS (SELECT 1 FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.page_id = t.page_id AND u.el_id = t.el_id AND (u.dist > 0 AND x.tag = 'svg' OR x.faint))"
+
+
+@query(f"{WITH_UP} SELECT page_id, el_id FROM t WHERE (greatest(least(r, 1440), l) - l) * (greatest(least(b, 900), top) - top) > 2 AND greatest(least(r, 1440), l) - l >= 1 AND greatest(least(b, 900), top) - top >= 1 AND NOT {SVG}")
+def tree_visible(spark, sf):
+    """Without clipping ancestors but with transparent ones and those in svg (F1)."""
+    return snapshot.visible(tree(spark, sf).withColumn("overflow", F.lit("visible"))).select("page_id", "el_id")
+
+
+ZED = "CASE WHEN (page_id + el_id) % 4 = 0 THEN NULL ELSE (page_id * 5 + el_id) % 3 END"
+
+
+@query(f"""{WITH_UP}, z AS (SELECT page_id, el_id, coalesce({ZED}, 0) AS z FROM t WHERE position <> 'static'),
+    met AS (SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, min(x.dist) AS up_a, min(y.dist) AS up_b FROM up x JOIN up y ON x.page_id = y.page_id AND x.anc_id = y.anc_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3),
+    va AS (SELECT m.page_id, a_id, b_id, arg_max(z.z, u.dist) AS z FROM met m JOIN up u ON u.page_id = m.page_id AND u.el_id = m.a_id AND u.dist < m.up_a JOIN z ON z.page_id = m.page_id AND z.el_id = u.anc_id GROUP BY 1, 2, 3),
+    vb AS (SELECT m.page_id, a_id, b_id, arg_max(z.z, u.dist) AS z FROM met m JOIN up u ON u.page_id = m.page_id AND u.el_id = m.b_id AND u.dist < m.up_b JOIN z ON z.page_id = m.page_id AND z.el_id = u.anc_id GROUP BY 1, 2, 3)
+    SELECT page_id, a_id, b_id, coalesce(va.z, 0) > coalesce(vb.z, 0) OR (coalesce(va.z, 0) = coalesce(vb.z, 0) AND a_id > b_id) AS above FROM met LEFT JOIN va USING (page_id, a_id, b_id) LEFT JOIN vb USING (page_id, a_id, b_id)""")
+def tree_stacking(spark, sf):
+    p, k = F.col("page_id"), F.col("el_id") + 0
+    e = tree(spark, sf).withColumn("z_index", F.when((p + k) % 4 != 0, ((p * 5 + k) % 3).cast("int")))
+    a, b = (e.select("page_id", F.col("el_id").alias(f"{x}_id")) for x in "ab")
+    return frames.is_above(a.join(b, "page_id").where("a_id <> b_id"), e)
+
+
+@query(f"""{WITH_UP}, o AS (SELECT *, b * 4 - 900 <= 0 OR r * 2 - 900 <= 0 OR top * 4 - 900 >= 900 OR l * 2 - 900 >= 1440 AS out FROM t)
+    SELECT page_id, el_id FROM o WHERE out AND EXISTS (SELECT 1 FROM up u JOIN o x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.page_id = o.page_id AND u.el_id = o.el_id AND x.position = 'fixed' AND x.out)""")
+def tree_outside_viewport(spark, sf):
+    e = tree(spark, sf)
+    return frames.outside_viewport(e.withColumns({"l": F.col("l") * 2 - 900, "r": F.col("r") * 2 - 900, "t": F.col("t") * 4 - 900, "b": F.col("b") * 4 - 900}))
+
+
+@query(f"""{WITH_UP} SELECT page_id, el_id, CASE WHEN m IN (0, 1) THEN 'glyph' ELSE 'img' END AS kind, CASE WHEN m = 0 THEN 'before' ELSE 'after' END AS place FROM t WHERE m < 3 AND NOT ({HAS_TEXT})
+    AND NOT EXISTS (SELECT 1 FROM t k WHERE k.page_id = t.page_id AND k.parent_id = t.el_id)
+    AND NOT EXISTS (SELECT 1 FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.page_id = t.page_id AND u.el_id = t.el_id AND x.tag IN ('input', 'img', 'button', 'svg'))""")
+def tree_pseudo_icons(spark, sf):
+    m = F.col("page_id") % 5
+    e = tree(spark, sf).withColumns({"before_content": F.when(m == 0, F.lit('"\u2192"')).otherwise("none"), "after_content": F.when(m == 1, F.lit('"\u2192"')).when(m == 2, "url(x.png)").otherwise('"long"')})
+    return frames.pseudo_icons(e)
+
+
+@query(f"WITH RECURSIVE {R}, {TREE}, f AS (SELECT page_id, el_id AS frame_id, l, top AS t, 0 AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT t.page_id, t.el_id, t.l + f.l, t.top + f.t, f.depth + 1 FROM t JOIN f ON f.page_id = t.page_id AND f.frame_id = t.parent_id) SELECT page_id, frame_id, round(l, 4) AS l, round(t, 4) AS t, depth FROM f")
+def frame_offsets(spark, sf):
+    made = frames.absolute_frames(tree(spark, sf).select("page_id", F.col("el_id").alias("frame_id"), "parent_id", "l", "t"))
+    return made.withColumns({c: F.round(c, 4) for c in "lt"})
+
+
+@query(f"WITH {R} SELECT page_id, arg_min(el_id, struct_pack(x := t, y := el_id)) AS top_id, arg_max(el_id, struct_pack(x := b, y := -el_id)) AS bottom_id FROM r GROUP BY 1")
+def topmost_elements(spark, sf):
+    return frames.topmost(rects(spark, sf), "page_id")
+
+
+@query(f"WITH c AS ({RGB.format(lineitem='lineitem')}) SELECT l_orderkey AS page_id, l_linenumber AS el_id, round(avg(r1), 6) AS red, round(avg(g1), 6) AS green, round(avg(b1), 6) AS blue FROM c GROUP BY 1, 2")
+def sampled_colors(spark, sf):
+    made = frames.sampled_average(colors(spark, sf).select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("el_id"), F.col("one").alias("rgb")))
+    return made.select("page_id", "el_id", *[F.round(F.get("color", k), 6).alias(n) for k, n in enumerate(("red", "green", "blue"))])
+
+
+@query(f"WITH c AS ({RGB.format(lineitem='lineitem')}) SELECT {KEY}, CASE WHEN l_linenumber / 5.0 < 0.9 OR l_partkey % 3 = 0 THEN r2 ELSE r1 END AS red FROM c")
+def element_background(spark, sf):
+    css = F.array("r1", "g1", "b1", F.col("l_linenumber") / 5)
+    made = ST.background(css, F.when(F.col("l_partkey") % 3 == 0, "url(x)").otherwise("none"), F.col("two"))
+    return colors(spark, sf).select(*KEY.split(", "), F.get(made, 0).alias("red"))
+
+
+@query("""SELECT p_partkey, p_size * 20 <= 300 AS thin, p_size * 20 >= 500 AS bold, p_size % 3 > 0 AS italic, p_size % 2 = 1 AS underline,
+    CASE WHEN p_size % 4 = 0 THEN 0 ELSE (p_size + 10 - p_size / 2.0) / 2 END AS gap, CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size / 10.0 END AS spacing,
+    CASE WHEN p_size % 3 = 0 THEN 'center' WHEN (p_size % 3 = 1) = (p_size % 2 = 0) THEN 'left' ELSE 'right' END AS align FROM part""")
+def text_styles(spark, sf):
+    p, s = read(spark, sf, "part"), F.col("p_size")
+    flags = ST.font_flags(s * 20, F.when(s % 3 == 0, "normal").when(s % 3 == 1, "italic").otherwise("oblique"), F.when(s % 2 == 1, "underline").otherwise("none"))
+    gap = ST.line_gap(F.when(s % 4 == 0, "normal").otherwise(F.concat((s + 10).cast("string"), F.lit("px"))), s / 2)
+    spacing = ST.letter_spacing(F.when(s % 5 == 0, "normal").otherwise(F.concat((s / 10).cast("string"), F.lit("px"))))
+    align = ST.alignment(F.when(s % 3 == 0, "center").when(s % 3 == 1, "start").otherwise("end"), F.when(s % 2 == 0, "ltr").otherwise("rtl"))
+    return p.select("p_partkey", *[v.alias(k) for k, v in flags.items()], gap.alias("gap"), spacing.alias("spacing"), align.alias("align"))
+
+
+@query("""SELECT p_partkey, 'old_name=' || p_name AS prefixed, CASE WHEN p_size % 2 = 0 THEN 'size' ELSE 'name,size' END AS kept, 'size=' || p_size || ',none=' AS picked,
+    length(regexp_replace(p_name, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(p_name, '[^A-Z]', '', 'g')) AS capitals FROM part""")
+def map_helpers(spark, sf):
+    p, size = read(spark, sf, "part"), F.col("p_size").cast("string")
+    one = F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), size)
+    two = F.create_map(F.lit("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("x"))
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit("")))), ",")
+    kinds = [v.cast("long").alias(k) for k, v in ST.character_kinds(F.col("p_name")).items()]
+    name = F.create_map(F.lit("name"), F.col("p_name"))
+    return p.select("p_partkey", shown(ST.with_prefix(name, "old_")).alias("prefixed"), F.array_join(F.map_keys(ST.without_equal(one, two)), ",").alias("kept"), shown(ST.picked(one, ["size", "none"])).alias("picked"), *kinds)
+
+
+BOXES = f"x AS (SELECT page_id, el_id, l, t, r, b, (el_id % 3) * 2.0 AS p, el_id % 2 * 1.0 AS w, (el_id % 4) * 3.0 AS m FROM r), y AS (SELECT *, l + p + w AS i_l, t + p + w AS i_t, greatest(l + p + w, r - p - w) AS i_r, greatest(t + p + w, b - p - w) AS i_b, l - m AS o_l, t - m AS o_t, r + m AS o_r, b + m AS o_b FROM x)"
+
+
+def nested_boxes(spark, sf):
+    k = F.col("el_id")
+    sides = lambda v: F.array(*[v.cast("double")] * 4)
+    return boxes.inner_outer(rects(spark, sf).withColumns({"paddings": sides(k % 3 * 2.0), "borders": sides(k % 2 * 1.0), "margins": sides(k % 4 * 3.0)}))
+
+
+@query(f"WITH {R}, {BOXES} SELECT page_id, el_id, {', '.join(f'round({p}_{k}, 6) AS {p}_{k}' for p in 'io' for k in 'ltrb')} FROM y")
+def box_inner_outer(spark, sf):
+    cols = [f"{p}_{k}" for p in "io" for k in "ltrb"]
+    return nested_boxes(spark, sf).select("page_id", "el_id", *[F.round(c, 6).alias(c) for c in cols])
+
+
+@query(f"WITH {R}, {BOXES} SELECT page_id, round(sum(greatest((o_r - o_l) * (o_b - o_t) - (i_r - i_l) * (i_b - i_t), 0)), 4) AS space FROM y GROUP BY 1")
+def padding_margin_space(spark, sf):
+    return boxes.padding_margin_space(nested_boxes(spark, sf), "page_id").select("page_id", F.round("space", 4).alias("space"))
+
+
+@query(f"WITH {R}, {BOXES}, s AS (SELECT page_id, sum(greatest((o_r - o_l) * (o_b - o_t) - (i_r - i_l) * (i_b - i_t), 0)) AS space FROM y GROUP BY 1 UNION ALL SELECT page_id, sum(2 * greatest(0, (b - t - 30) / 2) * (r - l)) FROM r GROUP BY 1) SELECT page_id, round(sum(space), 4) AS space FROM s GROUP BY 1")
+def useful_white_space(spark, sf):
+    """Paddings, margins and space around text together (A5); these groups have no flex containers."""
+    n = nested_boxes(spark, sf).withColumn("group_id", F.lit(0))
+    x = rects(spark, sf).select("page_id", F.lit(0).alias("group_id"), (F.col("b") - F.col("t")).alias("line_height"), F.lit(30.0).alias("font_size"), (F.col("r") - F.col("l")).alias("width"), F.lit(1).alias("n_words"), F.lit(1).alias("n_chars"), F.lit(2.0).alias("word_spacing"), F.lit(0.5).alias("letter_spacing"))
+    text = groups.text_white_space(x)
+    made = boxes.useful_white_space(boxes.padding_margin_space(n, "page_id", "group_id"), text.limit(0), text)
+    return made.select("page_id", F.round("space", 4).alias("space"))
+
+
 # Snapshots and semantic groups (on the stand-in layout)
 
 
+#: Pages whose parts follow from the part's number k: what is on a page, and where.
+SITE = {
+    "header": ("k % 2 = 0", "<div data-box='0,0,1440,100'><a href='/' data-box='5,5,80,60'><img data-box='5,5,80,60'></a></div>"),
+    "menu": ("k % 3 <> 0", "<nav data-box='0,110,1440,140'><ul>" + "".join(f"<li><a href='/p{x}' data-box='{100 * x},112,{100 * x + 80},130'>item {x}</a></li>" for x in range(4)) + "</ul></nav>"),
+    "text": ("true", "<article data-box='0,150,1440,800'><h2 data-font='30' data-box='10,160,900,200'>The title of it</h2><p data-box='10,210,900,230'>A sentence that is long enough to count here.</p><p data-box='10,240,900,260'>And a second one that is long enough to count.</p><p data-box='0,400,300,440'>And a third one that may have something over it.</p></article>"),
+    "banner": ("k % 4 = 0", "<section data-box='0,500,1440,850'><img data-box='0,500,800,800'><img data-hidden='1' data-box='0,500,800,800'></section>"),
+    "form": ("k % 5 = 0", "<form data-box='10,900,300,1000'>Search the site<input type='text' data-box='20,910,200,930'><button data-box='210,910,280,930'>go</button></form>"),
+    "social": ("k % 7 = 0", "<a href='https://else.org/x' data-box='10,1010,40,1040'><img data-box='10,1010,40,1040'></a>"),
+    "bar": ("k % 11 = 0", "<div data-position='fixed' data-box='0,840,1440,900'>bar</div>"),
+    "overlay": ("k % 6 = 1", "<div data-position='absolute' data-box='0,390,400,460'><p data-box='10,400,20,410'>pop</p></div>"),
+    "footer": ("k % 3 <> 1", "<div data-box='0,1900,1440,2000'>foot</div>"),
+}
+
+
+def sites(spark, sf) -> DataFrame:
+    k = read(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    parts = [F.when(F.expr(on), F.lit(html_)).otherwise("") for on, html_ in SITE.values()]
+    return k.select(F.col("k").alias("page_id"), F.lit("http://www.site.com/").alias("url"), F.concat(F.lit("<html><body data-box='0,0,1440,2000'>"), *parts, F.lit("</body></html>")).alias("html"))
+
+
+def site_query(name: str, on: str, n: int, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """How many rows f gives for each page: n where the condition holds, else none."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        pages = sites(spark, sf)
+        return f(written(snapshots.from_pages(pages), "snapshot"), pages).groupBy("page_id").agg(F.count("*").alias("n"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT page_id, CAST({n} AS BIGINT) AS n FROM (SELECT p_partkey AS page_id, p_partkey AS k FROM part) WHERE {on}"
+
+
+for _name, (_on, _n, _f) in {
+    "site_headers": ("k % 2 = 0", 1, lambda e, p: groups.headers(e)),
+    "site_footers": ("k % 3 <> 1", 1, lambda e, p: groups.footers(e)),
+    "site_menus": ("k % 3 <> 0", 1, lambda e, p: groups.menus(e, p).where("kind = 'menusH' AND n_items = 4")),
+    "site_logos": ("k % 2 = 0", 1, lambda e, p: groups.logos(e, p)),
+    "site_forms": ("k % 5 = 0", 1, lambda e, p: groups.forms(e)),
+    "site_function_areas": ("k % 5 = 0", 1, lambda e, p: groups.function_areas(e).where("kind = 'search'")),
+    "site_social_buttons": ("k % 7 = 0", 1, lambda e, p: groups.social_buttons(e, p)),
+    "site_fixed_areas": ("k % 11 = 0", 1, lambda e, p: groups.fixed_areas(e).where("location = 'bottom'")),
+    "site_overlays": ("k % 6 = 1", 1, lambda e, p: groups.overlays(e)),
+    "site_rotating_banners": ("k % 4 = 0", 1, lambda e, p: groups.rotating_banners(e)),
+    "site_titles": ("true", 1, lambda e, p: groups.titles(e).where("text = 'The title of it'")),
+    "site_main_text": ("true", 1, lambda e, p: groups.main_text(e, p)),
+    "site_computed_controls": ("k % 3 <> 0", 4, lambda e, p: snapshot.computed_controls(e).where("tag = 'a' AND t = 112")),
+}.items():
+    site_query(_name, _on, _n, _f)
+
+
 def snapshot_query(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         pages = read(spark, sf, "pages")

@@ -5,8 +5,9 @@ All joins have the page as their equality key, so a page's pairs meet in one par
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumeno.functions import geometry as G
@@ -45,8 +46,8 @@ def spatial_overlap(rects: DataFrame) -> DataFrame:
     return pairs(rects).select("page_id", "a_id", "b_id", x.alias("x"), y.alias("y"))
 
 
-def connectedness(rects: DataFrame, method: str = "gauss") -> DataFrame:
-    """Overlap on one axis times the faded distance on the other, summed; the larger of both directions. One join gives both."""
+def connected(method: str = "gauss") -> Column:
+    """Of a pair's boxes: overlap on one axis times the faded distance on the other, summed; the larger of both directions."""
     c = F.col
 
     def one(a: str, b: str):
@@ -54,7 +55,11 @@ def connectedness(rects: DataFrame, method: str = "gauss") -> DataFrame:
         dx, dy = G.gap(c(f"{a}_l"), c(f"{a}_r"), c(f"{b}_l"), c(f"{b}_r")), G.gap(c(f"{a}_t"), c(f"{a}_b"), c(f"{b}_t"), c(f"{b}_b"))
         return ox * G.fade(dy, method) + oy * G.fade(dx, method)
 
-    return pairs(rects).select("page_id", F.lit(f"sim_spatConnect_{method}").alias("metric"), "a_id", "b_id", F.greatest(one("a", "b"), one("b", "a")).alias("value"))
+    return F.greatest(one("a", "b"), one("b", "a"))
+
+
+def connectedness(rects: DataFrame, method: str = "gauss") -> DataFrame:
+    return pairs(rects).select("page_id", F.lit(f"sim_spatConnect_{method}").alias("metric"), "a_id", "b_id", connected(method).alias("value"))
 
 
 def enclosed(rects: DataFrame, envelopes: DataFrame, contained: DataFrame | None = None) -> DataFrame:
@@ -116,21 +121,54 @@ def area_of_union(boxes: list[tuple[float, float, float, float]]) -> float:
     return total
 
 
-def flex_space(children: DataFrame) -> DataFrame:
-    """Gap area of each container (page_id, box_id, c_l.. c_b; children l..b): half the smallest gap to a neighbour on each
-    axis is added around every child; what these reach within the container beyond the children counts (A6)."""
+def flex_space(children: DataFrame, least_overlap: float = 0.5) -> DataFrame:
+    """Gap area of each flex or grid container (A6): page_id, box_id, space of rows with the container's box c_l.. c_b and a child's l..b.
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        kids = list(zip(df.l, df.t, df.r, df.b))
-        c = tuple(float(df[k].iloc[0]) for k in ("c_l", "c_t", "c_r", "c_b"))
+    On each axis the smallest distance counts that is not negative: half the gap to a child before it that overlaps on the
+    other axis by more than `least_overlap` and not on this one, or the distance to the container, of which the larger one of
+    both sides is taken. If either axis has half a pixel or more, children grow by these distances, and what they reach within the
+    container beyond all children is the space; overlaps count once. Containers of up to four square pixels have none.
+    """
 
-        def least(lo: int, hi: int, other: tuple[int, int]) -> float:
-            gaps = [b[lo] - a[hi] for a in kids for b in kids if a is not b and b[lo] >= a[hi] and min(a[other[1]], b[other[1]]) > max(a[other[0]], b[other[0]])]
-            return min(gaps, default=0.0) / 2
+    def least(box: np.ndarray, lo: int, hi: int, other: tuple[int, int], c: np.ndarray) -> float:
+        edge = np.maximum(box[:, lo] - c[lo], box[:, hi] - c[hi])
+        beside = np.minimum(box[:, None, other[1]], box[None, :, other[1]]) - np.maximum(box[:, None, other[0]], box[None, :, other[0]]) > least_overlap
+        along = np.minimum(box[:, None, hi], box[None, :, hi]) - np.maximum(box[:, None, lo], box[None, :, lo]) > least_overlap
+        np.fill_diagonal(beside, False)
+        gap = (box[:, None, lo] - box[None, :, hi]) / 2
+        found = np.concatenate([edge, gap[beside & ~along]])
+        found = found[found >= 0]
+        return float(found.min()) if len(found) else -1.0
 
-        gx, gy = least(0, 2, (1, 3)), least(1, 3, (0, 2))
-        cut = lambda b: (max(b[0], c[0]), max(b[1], c[1]), max(min(b[2], c[2]), max(b[0], c[0])), max(min(b[3], c[3]), max(b[1], c[1])))
-        grown = area_of_union([cut((k[0] - gx, k[1] - gy, k[2] + gx, k[3] + gy)) for k in kids])
-        return pd.DataFrame({"page_id": [df.page_id.iloc[0]], "box_id": [df.box_id.iloc[0]], "space": [grown - area_of_union([cut(k) for k in kids])]})
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        kids, c, space = df[list(BOX)].to_numpy(float), df[["c_l", "c_t", "c_r", "c_b"]].iloc[0].to_numpy(float), 0.0
+        x, y = least(kids, 0, 2, (1, 3), c), least(kids, 1, 3, (0, 2), c)
+        if (c[2] - c[0]) * (c[3] - c[1]) > 4 and min(x, y) >= 0 and max(x, y) >= 0.5:
+            cut = lambda b: np.concatenate([np.maximum(b[:, :2], c[:2]), np.maximum(np.minimum(b[:, 2:], c[2:]), np.maximum(b[:, :2], c[:2]))], axis=1)
+            grown, own = cut(kids + [-x, -y, x, y]), cut(kids)
+            space = area_of_union([tuple(b) for b in np.concatenate([grown, own])]) - area_of_union([tuple(b) for b in own])
+        return pd.DataFrame({"page_id": [df.page_id.iloc[0]], "box_id": [df.box_id.iloc[0]], "space": [space]})
 
     return children.groupBy("page_id", "box_id").applyInPandas(one, "page_id long, box_id long, space double")
+
+
+def inner_outer(rects: DataFrame) -> DataFrame:
+    """Inner boxes (less border and padding) as i_l.. i_b and outer ones (with margins) as o_l.. o_b (F4): paddings, borders and margins
+    are arrays of top, right, bottom, left. An inner box is never turned inside out."""
+    at = lambda name, k: F.coalesce(F.get(name, k), F.lit(0.0))
+    inset = [at("paddings", k) + at("borders", k) for k in range(4)]
+    i = {"l": F.col("l") + inset[3], "t": F.col("t") + inset[0]}
+    inner = {f"i_{k}": v for k, v in i.items()} | {"i_r": F.greatest(i["l"], F.col("r") - inset[1]), "i_b": F.greatest(i["t"], F.col("b") - inset[2])}
+    outer = {"o_l": F.col("l") - at("margins", 3), "o_t": F.col("t") - at("margins", 0), "o_r": F.col("r") + at("margins", 1), "o_b": F.col("b") + at("margins", 2)}
+    return rects.withColumns(inner | outer)
+
+
+def padding_margin_space(boxes: DataFrame, *by: str) -> DataFrame:
+    """The area between outer and inner boxes, summed by group (the box part of A5); negative ones count as none."""
+    area = lambda p: (F.col(f"{p}_r") - F.col(f"{p}_l")) * (F.col(f"{p}_b") - F.col(f"{p}_t"))
+    return boxes.groupBy(*by).agg(F.sum(F.greatest(area("o") - area("i"), F.lit(0.0))).alias("space"))
+
+
+def useful_white_space(box_part: DataFrame, flex: DataFrame, text: DataFrame) -> DataFrame:
+    """page_id, group_id, space: paddings and margins, gaps of flex containers and space around text together (A5); each has page_id, group_id, space."""
+    return box_part.unionByName(flex).unionByName(text).groupBy("page_id", "group_id").agg(F.sum("space").alias("space"))

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The largest core scatter by split depth, as published.
+CORE_SCATTER = (0.64, 0.73, 0.82, 0.91, 0.95)
 LABELS = "page_id long, method string, el_id int, label int"
 
 
 def scale(rows: DataFrame) -> DataFrame:
     """Values as shares of the largest of their page and metric; all-zero matrices stay zero."""
-    top = rows.groupBy("page_id", "metric").agg(F.max("value").alias("_m"))
-    return rows.join(top, ["page_id", "metric"]).withColumn("value", F.when(F.col("_m") == 0, 0.0).otherwise(F.col("value") / F.col("_m"))).drop("_m")
+    top = F.max("value").over(Window.partitionBy("page_id", "metric"))
+    return rows.withColumn("_m", top).withColumn("value", F.when(F.col("_m") == 0, 0.0).otherwise(F.col("value") / F.col("_m"))).drop("_m")
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -26,65 +26,108 @@ def normalised(rows: DataFrame) -> DataFrame:
     return scaled.withColumn("value", value).unionByName(mods.select(*scaled.columns))
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """All metrics of a pair in one row."""
+    return rows.groupBy("page_id", "a_id", "b_id").agg(F.collect_list(F.struct("metric", "value")).alias("_m"))
+
+
+def _starting(cells: Column, prefix: str) -> Column:
+    return F.filter(cells, lambda x: F.startswith(x["metric"], F.lit(prefix)))
+
+
+def _combined(cells: Column, lists: list[str], weights: list[float]) -> Column:
+    def joined(left: Column, right: Column, w: float) -> Column:
+        both = lambda x, y: F.struct(F.concat_ws("_", x["metric"], y["metric"]).alias("metric"), (x["value"] + y["value"] * w).alias("value"))
+        return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: both(x, y))))
+
+    made = F.transform(_starting(cells, lists[0]), lambda x: F.struct(x["metric"].alias("metric"), (x["value"] * weights[0]).alias("value")))
+    for p, w in zip(lists[1:], weights[1:]):
+        made = joined(made, _starting(cells, p), w)
+    return F.transform(made, lambda x: F.struct(x["metric"].alias("metric"), (x["value"] / sum(weights)).alias("value")))
+
+
+def _modified(cells: Column, mods: Column, names: list[str]) -> Column:
+    def by(x: Column, name: str) -> Column:
+        own = F.get(F.filter(mods, lambda m: m["metric"] == name), 0)["value"]
+        return F.struct(F.concat_ws("_", x["metric"], F.lit(name)).alias("metric"), (x["value"] / F.coalesce(own, F.lit(1.0))).alias("value"))
+
+    return F.flatten(F.transform(cells, lambda x: F.array(*[by(x, name) for name in names])))
+
+
+def _rows(cells: DataFrame, made: Column) -> DataFrame:
+    return cells.select("page_id", "a_id", "b_id", F.explode(made).alias("_x")).select("page_id", "_x.metric", "a_id", "b_id", "_x.value")
+
+
 def combined(rows: DataFrame, lists: list[str], weights: list[float]) -> DataFrame:
     """Each metric of one list with each of the next, weighted and divided by the weights' sum; names joined by _."""
-    parts = [rows.where(F.startswith("metric", F.lit(p))) for p in lists]
-    made = parts[0].withColumn("value", F.col("value") * weights[0])
-    for part, w in zip(parts[1:], weights[1:]):
-        other = part.select("page_id", "a_id", "b_id", F.col("metric").alias("_m"), F.col("value").alias("_v"))
-        made = made.join(other, ["page_id", "a_id", "b_id"]).select("page_id", F.concat_ws("_", "metric", "_m").alias("metric"), "a_id", "b_id", (F.col("value") + F.col("_v") * w).alias("value"))
-    return made.withColumn("value", F.col("value") / sum(weights))
+    return _rows(_cells(rows), _combined(F.col("_m"), lists, weights))
 
 
 def modified(rows: DataFrame, mods: DataFrame) -> DataFrame:
     """Each matrix divided by each modifier; pairs without modifier keep their value."""
-    names = mods.select(F.col("metric").alias("_m")).distinct()
-    m = mods.select("page_id", "a_id", "b_id", F.col("metric").alias("_m"), F.col("value").alias("_v"))
-    return rows.join(F.broadcast(names)).join(m, ["page_id", "a_id", "b_id", "_m"], "left").select("page_id", F.concat_ws("_", "metric", "_m").alias("metric"), "a_id", "b_id", (F.col("value") / F.coalesce("_v", F.lit(1.0))).alias("value"))
+    names = [r["metric"] for r in mods.select("metric").distinct().orderBy("metric").collect()]  # a name for each kind of modifier
+    cells = _cells(rows.unionByName(mods.select(*rows.columns)))
+    plain = F.filter(F.col("_m"), lambda x: ~x["metric"].isin(*names))
+    return _rows(cells, _modified(plain, F.col("_m"), names)) if names else rows.limit(0)
 
 
-def methods(rows: DataFrame) -> DataFrame:
-    """The ten matrices: three single ones, two combinations, and these five modified."""
-    n = normalised(rows)
-    plain = [n.where(~F.startswith("metric", F.lit("mod_"))), combined(n, ["dist_html_", "dist_spat_"], [1, 0.5]), combined(n, ["dist_html_", "sim_"], [1, 0.5])]
-    five = reduce(DataFrame.unionByName, plain)
-    return five.unionByName(modified(five, n.where(F.startswith("metric", F.lit("mod_")))))
+def methods(rows: DataFrame, mods: tuple[str, ...] = ("mod_bgAndBrd",)) -> DataFrame:
+    """The ten matrices: three single ones, two combinations, and these five modified; all metrics of a pair are in one row, so
+    they are shuffled once."""
+    cells = _cells(normalised(rows))
+    own, single = F.col("_m"), F.filter("_m", lambda x: ~F.startswith(x["metric"], F.lit("mod_")))
+    cells = cells.withColumn("_five", F.concat(single, _combined(own, ["dist_html_", "dist_spat_"], [1, 0.5]), _combined(own, ["dist_html_", "sim_"], [1, 0.5])))
+    return _rows(cells, F.concat("_five", _modified(F.col("_five"), own, list(mods))))
 
 
 def ward(d: np.ndarray) -> list[tuple[int, int, float]]:
-    """Ward's minimum variance merges (on squared distances, heights as distances): clusters n, n+1, ... are made in turn."""
+    """Ward's minimum variance merges (on squared distances, heights as distances): clusters n, n+1, ... are made in turn.
+
+    Nearest-neighbour chains find them in time that grows with the square of the elements; they are then put in order of height.
+    """
     n = len(d)
     s = d.astype(float) ** 2
     np.fill_diagonal(s, np.inf)
-    size, name, alive, merges = np.ones(n), np.arange(n), np.ones(n, bool), []
-    for step in range(n - 1):
-        i, j = sorted(np.unravel_index(int(np.argmin(s)), s.shape))
-        h = s[i, j]
-        rest = alive.copy()
-        rest[[i, j]] = False
-        k = np.flatnonzero(rest)
+    size, alive, chain, found = np.ones(n), np.ones(n, bool), [], []
+    while len(found) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        x = chain[-1]
+        y = int(np.argmin(s[x]))
+        if len(chain) > 1 and s[x, chain[-2]] <= s[x, y]:
+            y = chain[-2]
+        if len(chain) < 2 or y != chain[-2]:
+            chain.append(y)
+            continue
+        del chain[-2:]
+        i, j = min(x, y), max(x, y)
+        h, alive[j] = s[i, j], False
+        k = np.flatnonzero(alive)
+        k = k[k != i]
         s[i, k] = s[k, i] = ((size[i] + size[k]) * s[i, k] + (size[j] + size[k]) * s[j, k] - size[k] * h) / (size[i] + size[j] + size[k])
         s[j, :] = s[:, j] = np.inf
-        alive[j] = False
         size[i] += size[j]
-        merges.append((int(name[i]), int(name[j]), float(np.sqrt(max(h, 0.0)))))
+        found.append((float(np.sqrt(max(h, 0.0))), i, j))
+    name, merges = list(range(n)), []
+    for step, (h, i, j) in enumerate(sorted(found, key=lambda f: f[0])):  # stable: of equal heights the earlier merge first
+        merges.append((*sorted((name[i], name[j])), h))
         name[i] = n + step
     return merges
 
 
-def hybrid_cut(merges: list[tuple[int, int, float]], d: np.ndarray, share: float = 0.95, least: int = 2, deep: float = 1.0) -> np.ndarray:
+def hybrid_cut(merges: list[tuple[int, int, float]], d: np.ndarray, share: float = 0.95, least: int = 2, deep: int = 1) -> np.ndarray:
     """Labels by bottom-up dynamic branch cutting without reassignment (after Langfelder, Zhang and Horvath 2008), 0: none.
 
     Merges below share * highest one grow branches. Where two branches meet that both are clusters (at least `least`
     elements, a core scatter below the allowed one and a gap above it that is large enough), both are closed; else they
-    go on as one. Labels count clusters by size.
+    go on as one. Labels count clusters by size. `deep` is the published split depth, 0 to 4, which sets both limits.
     """
     n = len(d)
     if not merges:
         return np.zeros(n, int)
     heights = [m[2] for m in merges]
     top, low = share * max(heights), float(np.quantile(heights, 0.05))
-    most_scatter, least_gap = low + 0.64 * deep * (top - low), (1 - 0.64) * 0.75 * (top - low)
+    most_scatter, least_gap = low + CORE_SCATTER[deep] * (top - low), (1 - CORE_SCATTER[deep]) * 0.75 * (top - low)
     branch: dict[int, dict] = {k: {"els": [k], "last": 0.0} for k in range(n)}
     done: list[list[int]] = []
 

@@ -130,14 +130,15 @@ def social_buttons(elements: DataFrame, pages: DataFrame, page_width: float = 14
 
 
 def function_areas(elements: DataFrame) -> DataFrame:
-    """page_id, el_id, kind (login, search, newsletter) of small areas with one to three text inputs."""
+    """page_id, el_id, kind (login, search, newsletter) of small areas with one to three text inputs (G11); keywords count in an area's own text."""
     cond = elements.where(F.col("tag").isin(*dom.CONTROLS))
     areas = elements.where(F.col("tag").isin("form", "div", "section", "fieldset"))
     kind = F.coalesce(F.col("attrs")["type"], F.lit("text"))
     c = cond.select("page_id", "el_id", ((F.col("tag") == "input") & kind.isin("text", "email", "password", "search", "tel")).alias("txt"), (F.col("tag").isin("textarea", "select") | ((F.col("tag") == "input") & kind.isin("range", "color", "file", "radio"))).alias("odd"))
     per = dom.members(areas.withColumn("group_id", F.col("el_id")), cond).join(c, ["page_id", "el_id"]).groupBy("page_id", F.col("group_id").alias("el_id")).agg(F.count("*").alias("n_controls"), F.count_if("txt").alias("n_txt"), F.bool_or("odd").alias("odd"))
-    texts = dom.inner_text(elements).select("page_id", "el_id", F.lower("text").alias("low"))
-    fit = per.where((F.col("n_controls") >= 2) & (F.col("n_controls") <= 6) & F.col("n_txt").between(1, 3) & ~F.col("odd")).join(texts, ["page_id", "el_id"], "left").where(F.coalesce(F.length("low"), F.lit(0)) <= LONG)
+    own = elements.select("page_id", "el_id", F.lower(dom.text_of(F.col("own_text"))).alias("low"))
+    fit = per.where((F.col("n_controls") >= 2) & (F.col("n_controls") <= 6) & F.col("n_txt").between(1, 3) & ~F.col("odd"))
+    fit = fit.join(_texts(elements), ["page_id", "el_id"], "left").where(F.coalesce("n", F.lit(0)) <= LONG).join(own, ["page_id", "el_id"])
     has = lambda k: sum((F.coalesce(F.contains("low", F.lit(w)), F.lit(False)).cast("int") for w in KEYWORDS[k]), F.lit(0)) > 0
     few = F.col("n_controls") < 4
     named = fit.withColumn("kind", F.when(few & has("newsletter"), "newsletter").when(few & has("search"), "search").otherwise("login"))
