@@ -9,10 +9,10 @@ words, by their last two bytes. Another word's probability is that of its tail m
 share of the tail in the counts of the whole corpus, with `SMOOTH` added to each count, also to that of an unseen word. So every
 word has a probability of its own. The counts are a distributed table that grows with the corpus; texts' tail words are joined with it.
 
-The network is trained on every word of every text: in each of `ROUNDS` rounds all tasks start at the same weights, mask every
-ROUNDS-th word of their texts, with another offset in each round, and learn to predict it; then the tasks' weights are averaged,
-weighed by their words. What reaches the driver (vocabulary, tail totals, averaged weights) is of fixed size, and no task
-holds more than one model.
+The network is trained on every text: in each of `ROUNDS` rounds all tasks start at the same weights, mask every `EVERY`-th word
+of their texts, other words in each round, and learn to predict it from both sides; then the tasks' weights are averaged,
+weighed by their words. So half of all words are targets once, and all are contexts and are counted. What reaches the driver
+(vocabulary, tail totals, averaged weights) is of fixed size, and no task holds more than one model.
 
 Defined results: null and empty texts have no words, pll 0 and mean_log_prob 0; a word at a text's edge sees a blank there;
 repeated rows are scored each and alike; an empty table gives an empty result; other columns are ignored. The weights depend on
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from lumeno.llm.common import written
 from lumeno.llm.wordhash import Words, blocks, mix
 
-CLASSES, MEMBERS = 64, 64
+CLASSES, MEMBERS = 16, 128
 SIZE = CLASSES * MEMBERS
-TAILS = 128
+TAILS = 64
 KNOWN = SIZE - TAILS
-DIM, HIDDEN, ROUNDS, BATCH, SMOOTH = 24, 32, 2, 1024, 0.1
+DIM, HIDDEN, ROUNDS, EVERY, BATCH, SMOOTH = 24, 32, 2, 4, 2048, 0.1
 PLACES = (-2, -1, 1, 2)
 SHAPES = {"emb": (SIZE + 1, DIM), "mixer": (len(PLACES) * DIM, HIDDEN), "bias": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_bias": (CLASSES,), "member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
@@ -104,7 +104,7 @@ class Learner:
 
     def learn(self, ctx: np.ndarray, target: np.ndarray) -> None:
         w, n = self.w, len(target)
-        order = np.argsort(target // MEMBERS, kind="stable")  # words of one class beside each other
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # words of one class beside each other; a radix sort
         ctx, target = ctx[order], target[order]
         cls, member = target // MEMBERS, target % MEMBERS
         x = w["emb"][ctx].reshape(n, -1)
@@ -129,7 +129,7 @@ class Learner:
         grads |= {"mixer": x.T @ back, "bias": back.sum(axis=0)}
         dx = (back @ w["mixer"].T).reshape(-1, DIM)
         flat = ctx.ravel()
-        by = np.argsort(flat, kind="stable")
+        by = np.argsort(flat.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.diff(flat[by], prepend=-1))
         at, ge = flat[by[first]], np.add.reduceat(dx[by], first, axis=0)
         ge[at == SIZE] = 0
@@ -217,7 +217,7 @@ def fit(texts: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 def one_round(texts: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndarray], k: int, rounds: int) -> dict[str, np.ndarray]:
-    """The tasks' weights after every `rounds`-th word from the k-th on, averaged."""
+    """The tasks' weights after learning the k-th round's words, averaged."""
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +228,9 @@ def one_round(texts: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.nd
                 words = Words(some)
                 ids = known.ids(words)
                 ctx = contexts(ids, words.first)
-                masked = np.random.default_rng(seen).permutation(np.arange((k - seen) % rounds, len(ids), rounds))
+                masked = np.random.default_rng(seen).permutation(np.arange((k * EVERY // rounds - seen) % EVERY, len(ids), EVERY))
                 seen += len(ids)
-                for at in np.array_split(masked, max(1, round(len(masked) / BATCH))):
+                for at in np.array_split(masked, max(1, round(len(masked) / min(BATCH, max(256, len(masked) // 32))))):
                     if len(at):
                         learner.learn(ctx[at], ids[at])
         if seen:
