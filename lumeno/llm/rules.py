@@ -45,10 +45,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.size("_w")
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     base = base.withColumns({"_n": n, "_l": lines})
-    # Three-word windows as texts: equal ones have equal words, as a word has no white space.
-    grams = F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
-    base = base.withColumn("_g", F.when(F.col("_n") >= 3, grams).otherwise(F.array().cast("array<string>")))
-    base = base.withColumn("_at", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), repeated_windows("_g")).otherwise(F.array().cast("array<int>")))
+    # Three-word windows by their hashes; most texts have no equal ones. Where there are some, their words are compared.
+    grams = F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
+    base = base.withColumn("_g", F.when(F.col("_n") >= 3, grams).otherwise(F.array().cast("array<bigint>")))
+    base = base.withColumn("_at", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), repeated_windows("_g", "_w")).otherwise(F.array().cast("array<int>")))
     base = base.withColumn("_d", covered_words("_at"))
     chars = _without(F.col("_t"), SPACE)
     full = F.length("_t")
@@ -82,10 +82,17 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def repeated_windows(grams: str) -> Column:
-    """The sorted positions of windows that occur twice or more: sorting (window, position) pairs brings equal ones together."""
+def repeated_windows(grams: str, words: str) -> Column:
+    """The sorted positions of windows that occur twice or more: sorting (hash, position) pairs brings equal ones together."""
     pairs = F.sort_array(F.transform(F.col(grams), lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    both = F.zip_with(pairs, F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1))), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
+
+    def same(a: Column, b: Column) -> Column:
+        equal = a["g"] == b["g"]
+        for k in range(3):
+            equal = equal & (F.get(words, a["i"] + k) == F.get(words, b["i"] + k))
+        return equal
+
+    both = F.zip_with(pairs, F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1))), lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])))
     return F.sort_array(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
 
 
