@@ -15,27 +15,27 @@ from lumeno.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a learned rule rejects go."""
+    """Documents that the base rule or a learned rule rejects go; null and empty texts do. Repeated rows share their fate."""
     return rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
+    """Of each class of near duplicates the document with the least id stays; where ids aren't unique, the first row. Null ids count as largest."""
     return ordermin.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go, with all rows of their id (null too); null and empty texts stay."""
     return decontam.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced; all documents stay."""
+    """Secrets in texts are replaced, and n_chars follows; all documents stay, null texts as they are."""
     return secrets.clean(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences."""
+    """Pieces of documents with their sequences; null and empty texts are one piece of the end id, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
