@@ -131,14 +131,14 @@ def profiles(h: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def folded(raw: list[bytes], bins: int) -> np.ndarray:
-    """Profiles as rows of so many bins."""
+    """Profiles as rows of so many bins, equal to those made with that number: sums are cut off at 3 as well."""
     out = np.zeros((len(raw), bins), np.int16)
     size = np.array([4 * len(x) for x in raw])
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
         packed = np.frombuffer(b"".join([raw[k] for k in at]), np.uint8)
         out[at] = np.stack([packed >> k & 3 for k in (0, 2, 4, 6)], axis=1).reshape(len(at), n // bins, bins).sum(axis=1, dtype=np.int16)
-    return out
+    return np.minimum(out, 3)
 
 
 def least_edits(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -399,7 +399,10 @@ def apart(active: DataFrame, roots: DataFrame, facts: DataFrame, least: float) -
 
 
 def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of its class), class_size, n_links (to other texts, of those verified), n_words for each row."""
+    """doc_id, class_id (the least id of its class), class_size, n_links, n_words for each row.
+
+    n_links is a lower bound: the links to other texts that were verified. Which pairs of one class are verified depends on
+    the order of rows, the classes don't."""
     made = written(sketch(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     firsts = made.groupBy("digest").agg(F.min("rid").alias("first"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     firsts = written(firsts, "firsts")

@@ -152,15 +152,36 @@ def test_links_at_the_threshold_are_found(spark):
 
 def test_profiles_rule_out_no_link():
     r = random.Random(8)
-    for _ in range(300):
-        a = [r.randint(0, 60) for _ in range(r.randint(1, 40))]
-        b = [x if r.random() < 0.85 else r.randint(0, 60) for x in a if r.random() < 0.95] or [0]
+    for k in range(400):
+        n = r.randint(1, 40) if k < 300 else r.choice([60, 66, 250, 262, 1010, 1040])  # across all borders between profiles
+        kinds = r.choice([5, 24, 60])
+        a = [r.randint(0, kinds) for _ in range(n)]
+        b = [x if r.random() < 0.85 else r.randint(0, kinds) for x in a if r.random() < 0.95] or [0]
+        if k >= 300 and k % 2:  # few changes, just over the border
+            border = 64 if n < 70 else 256 if n < 300 else 1024
+            a = (a * 2)[:border]
+            b = [*a[:5], r.randint(0, kinds), *a[5:]]
         both = ordermin.Words([" ".join(map(str, x)).encode() for x in (a, b)])
         p = ordermin.profiles(both.hashes(), both.first)
         one, two = (ordermin.folded([x], min(map(len, p))) for x in p)
         assert ordermin.least_edits(one, two)[0] <= edit_distance(a, b)
 
 
+@pytest.mark.parametrize("border", [64, 256, 1024])
+def test_links_across_borders_of_profiles(spark, border):
+    """Few different words, changed in a row: texts with one word more than their copy have a larger profile than it."""
+    r = random.Random(border)
+    texts = []
+    for _ in range(30):
+        own = len(texts)
+        t = [f"{own}-{r.randrange(24)}" for _ in range(border)]
+        at, n = r.randrange(border // 2), border // 6
+        texts += [t, [*t[:at], *(f"z{r.randrange(24)}" for _ in range(n)), "more", *t[at + n :]]]
+    assert all(edit_distance(*texts[k : k + 2]) <= 0.2 * (border + 1) for k in range(0, min(len(texts), 10), 2))
+    got = [g.class_id for g in sorted(ordermin.classes(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect())]
+    assert sum(got[k + 1] == got[k] for k in range(0, len(texts), 2)) >= 0.9 * len(texts) / 2
+
+
 def test_deduplicate_keeps_columns_and_one_row(spark):
     kept = ordermin.deduplicate(odd(spark))
     assert kept.columns == odd(spark).columns
@@ -184,6 +205,8 @@ def test_language_model_knows_both_sides(spark):
     got = {g.doc_id: g for g in masked_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), rounds=6).collect()}
     assert len(got) == len(rows) and got[9001].pll == got[9002].pll == 0 and got[9001].n_tokens == 0
     assert got[0].pll > got[9000].pll + 50 and abs(got[0].pll / 120 - got[0].mean_log_prob) < 1e-9
+    empty = masked_lm.score(spark.createDataFrame([(1, ""), (2, None), (3, " ")], "doc_id long, text string")).collect()
+    assert len(empty) == 3 and all(x.pll == 0 and x.n_tokens == 0 for x in empty)
     assert masked_lm.score(odd(spark)).count() == len(ODD) and masked_lm.score(odd(spark).limit(0)).count() == 0
 
 
