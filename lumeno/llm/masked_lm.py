@@ -267,7 +267,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
                 lp, text = log_probs(ids, contexts(ids, words.first), m.weights), np.repeat(np.arange(len(some)), words.counts)
                 rare = ids >= KNOWN
                 lp[rare] -= m.totals[ids[rare] - KNOWN]
-                pll = np.bincount(text, lp, len(some))
+                pll = np.bincount(text, lp, len(some)).astype(np.float64)  # without any word bincount gives integers
                 order = np.lexsort((h[rare], text[rare]))
                 key, own = h[rare][order], text[rare][order]
                 new = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(own, prepend=-1) != 0)) if len(key) else np.zeros(0, np.int64)
