@@ -15,7 +15,7 @@ from lumeno.functions import geometry as G
 from lumeno.functions import scramble
 from lumeno.functions import styles as ST
 from lumeno.functions import text as T
-from lumeno.operators import boxes, clusters, dom, frames, groups, jobs, snapshot
+from lumeno.operators import bars, boxes, clusters, dom, frames, groups, jobs, snapshot
 from lumeno.plans.shared import written
 from lumeno.sources import html, snapshots, tables
 
@@ -854,3 +854,53 @@ def text_lines(spark, sf):
 def text_scramble(spark, sf):
     made = read(spark, sf, "part").select("p_partkey", "p_name", scramble.scramble(F.col("p_name")).alias("s"))
     return made.select("p_partkey", F.length("s").cast("long").alias("n"), scramble.black(F.col("p_name")).alias("black"))
+
+
+# Header and footer search
+
+#: A page is a part; its elements, in the order of its lines, are a heap of three children each, below a body of 1440 by 2000.
+LAYOUT = """z0 AS (SELECT l_partkey AS page_id, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS INT) - 1 AS el_id FROM {lineitem}),
+    z AS (SELECT page_id, el_id, CASE WHEN el_id > 0 THEN CAST(floor((el_id - 1) / 3) AS INT) END AS parent_id, el_id = 0 OR (page_id + el_id * el_id) % 5 <> 0 AS seen,
+    CASE WHEN el_id = 0 OR (page_id + el_id) % 4 <> 0 THEN 0.0 ELSE 100.0 END AS l, CASE WHEN el_id = 0 OR (page_id + el_id) % 4 <> 0 THEN 1440.0 ELSE 700.0 END AS r,
+    1.0 * CASE WHEN el_id = 0 THEN 0 WHEN (page_id + el_id) % 3 = 0 THEN (el_id * 53) % 200 WHEN (page_id + el_id) % 3 = 1 THEN 1500 + (el_id * 71) % 450 ELSE (el_id * 97 + page_id * 13) % 2000 END AS t,
+    CASE WHEN el_id = 0 THEN 2000.0 ELSE 40.0 * ((el_id * 31 + page_id) % 7) END AS h, ((page_id * 5 + el_id * 11) % 9) * 90 AS n, (page_id + el_id * 2) % 11 = 0 AS menu, el_id % 4 = 3 AS prim FROM z0)"""
+BARS = f"""WITH RECURSIVE {LAYOUT.format(lineitem='lineitem')}, zb AS (SELECT *, t + h AS b FROM z),
+    up AS (SELECT page_id, el_id, el_id AS anc_id, 0 AS dist, parent_id AS nxt FROM z UNION ALL SELECT u.page_id, u.el_id, z.el_id, u.dist + 1, z.parent_id FROM up u JOIN z ON z.page_id = u.page_id AND z.el_id = u.nxt),
+    held AS (SELECT u.page_id, u.anc_id, min(x.t) AS t, max(x.b) AS b FROM up u JOIN zb x ON x.page_id = u.page_id AND x.el_id = u.el_id WHERE u.dist > 0 AND x.b > x.t GROUP BY 1, 2),
+    f AS (SELECT zb.* REPLACE (CASE WHEN zb.h = 0 THEN coalesce(held.t, zb.t) ELSE zb.t END AS t, CASE WHEN zb.h = 0 THEN coalesce(held.b, zb.b) ELSE zb.b END AS b) FROM zb LEFT JOIN held ON held.page_id = zb.page_id AND held.anc_id = zb.el_id),
+    near AS (SELECT u.page_id, u.el_id, arg_min(u.anc_id, u.dist) AS up_id, min(u.dist) AS dist FROM up u JOIN z a ON a.page_id = u.page_id AND a.el_id = u.anc_id AND a.seen JOIN z e ON e.page_id = u.page_id AND e.el_id = u.el_id AND e.seen WHERE u.dist > 0 GROUP BY 1, 2),
+    edges AS (SELECT near.page_id, near.el_id, near.up_id FROM near JOIN up u ON u.page_id = near.page_id AND u.el_id = near.el_id AND u.dist = near.dist - 1 QUALIFY near.dist = min(near.dist) OVER (PARTITION BY near.page_id, u.anc_id)),
+    kids AS (SELECT page_id, up_id, count(*) AS k FROM edges GROUP BY 1, 2),
+    walk AS (SELECT DISTINCT page_id, 0 AS el_id FROM z UNION ALL SELECT w.page_id, e.el_id FROM walk w JOIN kids ON kids.page_id = w.page_id AND kids.up_id = w.el_id AND kids.k = 1 JOIN edges e ON e.page_id = w.page_id AND e.up_id = w.el_id),
+    root AS (SELECT w.page_id, w.el_id FROM walk w LEFT JOIN kids ON kids.page_id = w.page_id AND kids.up_id = w.el_id WHERE coalesce(kids.k, 0) <> 1),
+    flags AS (SELECT f.*, f.r - f.l >= 0.9 * (q.r - q.l) AND f.b <= 510 AND f.n <= 504 AND NOT EXISTS (SELECT 1 FROM up u JOIN z x ON x.page_id = u.page_id AND x.el_id = u.el_id AND x.menu WHERE u.page_id = f.page_id AND u.anc_id = f.el_id) AS is_h, f.r - f.l >= 0.9 * (q.r - q.l) AND f.t <= 510 AS in_h,
+        f.r - f.l >= 0.9 * (q.r - q.l) AND f.t >= 1200 AND f.n <= 756 AS is_f, f.r - f.l >= 0.9 * (q.r - q.l) AND f.b >= 1200 AS in_f FROM f JOIN root ON root.page_id = f.page_id JOIN f q ON q.page_id = root.page_id AND q.el_id = root.el_id),
+    hs AS (SELECT e.page_id, e.el_id FROM root JOIN edges e ON e.page_id = root.page_id AND e.up_id = root.el_id UNION ALL SELECT e.page_id, e.el_id FROM hs JOIN flags g ON g.page_id = hs.page_id AND g.el_id = hs.el_id AND g.in_h AND NOT g.is_h JOIN edges e ON e.page_id = hs.page_id AND e.up_id = hs.el_id),
+    fs AS (SELECT e.page_id, e.el_id FROM root JOIN edges e ON e.page_id = root.page_id AND e.up_id = root.el_id UNION ALL SELECT e.page_id, e.el_id FROM fs JOIN flags g ON g.page_id = fs.page_id AND g.el_id = fs.el_id AND g.in_f AND NOT g.is_f JOIN edges e ON e.page_id = fs.page_id AND e.up_id = fs.el_id),
+    c AS (SELECT g.page_id, g.el_id, 'header' AS kind, g.t, g.b, g.b <= 255 AS ok, g.t AS edge FROM hs JOIN flags g ON g.page_id = hs.page_id AND g.el_id = hs.el_id AND g.is_h UNION ALL SELECT g.page_id, g.el_id, 'footer', g.t, g.b, g.t >= 1600, -g.b FROM fs JOIN flags g ON g.page_id = fs.page_id AND g.el_id = fs.el_id AND g.is_f),
+    bars AS (SELECT * FROM c QUALIFY ok OR (NOT bool_or(ok) OVER (PARTITION BY page_id, kind) AND row_number() OVER (PARTITION BY page_id, kind ORDER BY edge, el_id) = 1)),
+    alone AS (SELECT k.page_id, k.kind, min(p.t) AS first, max(p.b) AS last FROM (SELECT DISTINCT page_id, kind FROM bars) k JOIN zb p ON p.page_id = k.page_id AND p.prim
+        WHERE NOT EXISTS (SELECT 1 FROM bars x JOIN up u ON u.page_id = x.page_id AND (u.el_id = p.el_id AND u.anc_id = x.el_id OR u.el_id = x.el_id AND u.anc_id = p.el_id) WHERE x.page_id = k.page_id AND x.kind = k.kind) GROUP BY 1, 2)
+    SELECT bars.page_id, bars.el_id, bars.kind FROM bars LEFT JOIN alone ON alone.page_id = bars.page_id AND alone.kind = bars.kind WHERE CASE WHEN bars.kind = 'header' THEN coalesce(first >= bars.t, true) ELSE coalesce(last <= bars.b, true) END"""
+
+
+def layout(spark, sf) -> DataFrame:
+    """Snapshot rows of the layout."""
+    z = spark.sql(f"WITH {LAYOUT.format(lineitem='{lineitem}')} SELECT * FROM z", lineitem=read(spark, sf, "lineitem"))
+    made = z.select("page_id", "el_id", "parent_id", "seen", "l", "r", "t", (F.col("t") + F.col("h")).alias("b"), "n", "menu", "prim", F.when(F.col("el_id") == 0, "body").otherwise("div").alias("tag"), F.col("el_id").alias("pre"), F.lit(2000.0).alias("doc_height"))
+    return written(dom.paths(made.withColumns({c: F.col(c).cast("double") for c in "ltrb"})), "layout")
+
+
+def bar_query(name: str, kind: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e = layout(spark, sf)
+        found = bars.search(e, e.where("seen AND tag <> 'body'"), e, e.where("menu"), e.where("prim"))
+        return found.where(F.col("kind") == kind).select("page_id", "el_id")
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT page_id, el_id FROM ({BARS}) WHERE kind = '{kind}'"
+
+
+bar_query("tree_headers", "header")
+bar_query("tree_footers", "footer")

@@ -8,23 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumeno.operators import dom
+from lumeno.plans.shared import written
 
 # Tags whose leaves are content of their own.
 CONTENT = (*dom.CONTROLS, "img", "object", "video", "canvas", "embed", "svg", "iframe")
 
 
-def absolute_frames(frames: DataFrame, deepest: int = 16) -> DataFrame:
+def absolute_frames(frames: DataFrame) -> DataFrame:
     """page_id, frame_id, l, t, depth with offsets added up over the frames a frame stands in.
 
     Rows are page_id, frame_id, parent_id (null: the page itself), l, t. Each level is one join; the levels end when none has rows.
     """
-    known = frames.where("parent_id IS NULL").select("page_id", "frame_id", "l", "t", F.lit(0).alias("depth"))
-    level = known
-    for depth in range(1, deepest):
-        up = level.select("page_id", F.col("frame_id").alias("parent_id"), F.col("l").alias("_l"), F.col("t").alias("_t"))
-        level = frames.join(up, ["page_id", "parent_id"]).select("page_id", "frame_id", (F.col("l") + F.col("_l")).alias("l"), (F.col("t") + F.col("_t")).alias("t"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
+    known = level = written(frames.where("parent_id IS NULL").select("page_id", "frame_id", "l", "t", F.lit(0).alias("depth")), "frames")
+    while not level.isEmpty():
+        up = level.select("page_id", F.col("frame_id").alias("parent_id"), F.col("l").alias("_l"), F.col("t").alias("_t"), F.col("depth").alias("_depth"))
+        level = frames.join(up, ["page_id", "parent_id"]).select("page_id", "frame_id", (F.col("l") + F.col("_l")).alias("l"), (F.col("t") + F.col("_t")).alias("t"), (F.col("_depth") + 1).alias("depth"))
+        level = written(level, "frames")
         known = known.unionByName(level)
     return known
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumeno.functions import text as T
+from lumeno.operators import bars as B
 from lumeno.operators import dom, snapshot
 from lumeno.plans.shared import once
 
@@ -53,17 +54,32 @@ def footers(elements: DataFrame, page_height: float = 900) -> DataFrame:
 
 
 @once
-def forms(elements: DataFrame) -> DataFrame:
-    """Forms that hold no header or footer and are none."""
-    bars = headers(elements).unionByName(footers(elements)).select("page_id", F.col("el_id").alias("bar_id"))
+def page_bars(elements: DataFrame, pages: DataFrame, page_width: float = 1440, page_height: float = 900) -> DataFrame:
+    """page_id, el_id, kind, t, b of headers and footers by the search from the root down (G6), with vertical menus, overlays and gaps."""
+    free = dom.outside(snapshot.visible(elements), overlays(elements)).where(~F.col("tag").isin("html", "body"))
+    prims = elements.join(snapshot.primitives(elements).select("page_id", "el_id").distinct(), ["page_id", "el_id"], "left_semi")
+    return B.search(elements, free, _texts(elements), menus(elements, pages).where("kind = 'menusV'"), prims, page_width, page_height)
+
+
+def _bar_rows(elements: DataFrame, bars: DataFrame | None) -> DataFrame:
+    """Elements that are bars: those given, or full-width ones at the edges."""
+    if bars is None:
+        return headers(elements).unionByName(footers(elements))
+    return elements.join(bars.select("page_id", "el_id").distinct(), ["page_id", "el_id"], "left_semi")
+
+
+@once
+def forms(elements: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Forms that hold no header or footer and are none (G7); bars are those of page_bars, or else full-width ones at the edges."""
+    bars = _bar_rows(elements, bars).select("page_id", F.col("el_id").alias("bar_id"))
     held = dom.closure(elements).join(bars.withColumnRenamed("bar_id", "desc_id"), ["page_id", "desc_id"]).select("page_id", F.col("anc_id").alias("el_id"))
     return elements.where("tag = 'form'").join(held, ["page_id", "el_id"], "left_anti")
 
 
 @once
-def main_body(elements: DataFrame) -> DataFrame:
+def main_body(elements: DataFrame, bars: DataFrame | None = None) -> DataFrame:
     """The highest elements that hold primitives and nothing of a header or footer; body where there are neither."""
-    bars = headers(elements).unionByName(footers(elements))
+    bars = _bar_rows(elements, bars)
     inner = dom.closure(elements).join(bars.select("page_id", F.col("el_id").alias("desc_id")), ["page_id", "desc_id"]).select("page_id", F.col("anc_id").alias("el_id"))
     free = dom.outside(elements.join(inner, ["page_id", "el_id"], "left_anti"), bars)
     prim = snapshot.primitives(elements).select("page_id", F.col("el_id").alias("desc_id"))
@@ -106,11 +122,11 @@ def titles(elements: DataFrame, compat_digits: bool = False) -> DataFrame:
     return near.select("page_id", F.col("anc_id").alias("el_id"), F.col("el_id").alias("text_el")).join(big.select("page_id", F.col("el_id").alias("text_el"), F.col("txt").alias("text"), "font_size"), ["page_id", "text_el"])
 
 
-def logos(elements: DataFrame, pages: DataFrame) -> DataFrame:
+def logos(elements: DataFrame, pages: DataFrame, bars: DataFrame | None = None) -> DataFrame:
     """Images within internal links of a header, to the site's root or the shortest path."""
     a = dom.links(elements, pages).where("NOT external")
     a = elements.join(a.select("page_id", "el_id", "href"), ["page_id", "el_id"]).where(~F.contains("href", F.lit("#")))
-    a = dom.inside(a, headers(elements))
+    a = dom.inside(a, headers(elements) if bars is None else bars.where("kind = 'header'"))
     pics = dom.members(a.withColumn("group_id", F.col("el_id")), elements.where(F.col("tag").isin(*snapshot.MEDIA))).groupBy("page_id", F.col("group_id").alias("el_id")).agg(F.count("*").alias("n"), F.min("el_id").alias("img_id")).where("n = 1")
     depth = F.size(T.path_parts(F.regexp_replace(F.regexp_replace("href", r"[?#].*$", ""), r"^\w+://[^/]*", "")))
     found = a.join(pics, ["page_id", "el_id"]).withColumn("_k", depth)

@@ -1,8 +1,5 @@
 """Captured elements (snapshots): visibility, collections, pixels.
 
-Not built: the post-filter of computed controls (F16), icons of pseudo elements (F20; F19's content test is there) and fixed
-elements outside the viewport (F32). So computed_controls and primitives keep what F16 would remove and lack F20's icons.
-
 A snapshot row has what a browser knew: page_id, el_id, parent_id, tag, pre, post, depth, own_text, attrs, display, position,
 visibility, opacity, overflow (visible, hidden, ...), l, t, r, b, font_size, font_weight, color, bg_color (arrays), bg_image,
 border widths and colors (arrays of top, right, bottom, left), cursor, hover_styled, z_index, doc_width, doc_height.

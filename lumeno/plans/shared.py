@@ -40,6 +40,7 @@ def release(spark: SparkSession) -> None:
     """Deletes all scratch paths made so far: for long applications, between queries whose results are no longer read.
     An application that has already stopped leaves them to the folder's owner."""
     jvm = spark.sparkContext._jvm
+    _derived.clear()  # what was derived once is gone with its files
     while _made:
         path = _made.pop()
         if jvm is None or spark.sparkContext._jsc is None:
