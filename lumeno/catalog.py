@@ -15,7 +15,7 @@ from lumeno.functions import geometry as G
 from lumeno.functions import scramble
 from lumeno.functions import styles as ST
 from lumeno.functions import text as T
-from lumeno.operators import bars, boxes, clusters, dom, frames, groups, jobs, snapshot
+from lumeno.operators import bars, boxes, clusters, dom, frames, groups, jobs, selectors, snapshot
 from lumeno.plans.shared import written
 from lumeno.sources import html, snapshots, tables
 
@@ -904,3 +904,22 @@ def bar_query(name: str, kind: str) -> None:
 
 bar_query("tree_headers", "header")
 bar_query("tree_footers", "footer")
+
+
+# Style sheets
+
+SHEET = """div > p.c1:hover { x: y } nav .c2:hover, .none:hover { x: y } li + a { x: y } form ~ .c0 { x: y } span:nth-child(2) { x: y } [id] > img { x: y }
+    @media print { svg:hover { x: y } } @media (min-width: 1000px) { .c0 > svg:hover { x: y } } @media (max-width: 1000px) { [class] { x: y } }"""
+
+
+@query(f"""{WITH_UP}, f AS (SELECT t.page_id, t.el_id,
+        (t.tag = 'p' AND t.el_id % 3 = 1 AND p.tag = 'div') OR (t.el_id % 3 = 2 AND EXISTS (SELECT 1 FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id AND x.tag = 'nav' WHERE u.page_id = t.page_id AND u.el_id = t.el_id AND u.dist > 0)) OR (t.tag = 'svg' AND p.el_id % 3 = 0) AS h,
+        (t.tag = 'a' AND s.tag = 'li') OR (t.el_id % 3 = 0 AND s.tag = 'form') OR (t.tag = 'span' AND t.el_id > 0 AND t.el_id % 2 = 0) AS o, t.tag = 'img' AND p.el_id % 4 = 0 AS a
+        FROM t LEFT JOIN t p ON p.page_id = t.page_id AND p.el_id = t.parent_id LEFT JOIN t s ON s.page_id = t.page_id AND s.el_id = t.el_id - 1 AND t.el_id % 2 = 0 AND t.el_id > 0)
+    SELECT page_id, el_id, coalesce(h, false) AS hover_styled, coalesce(o, false) AS order_styled, coalesce(a, false) AS attr_styled FROM f WHERE h OR o OR a""")
+def tree_styled(spark, sf):
+    """Elements that selectors with :hover, of order and of attributes fit."""
+    k = F.col("el_id")
+    named = F.map_filter(F.create_map(F.lit("class"), F.concat(F.lit("c"), (k % 3).cast("string")), F.lit("id"), F.when(k % 4 == 0, F.concat(F.lit("i"), k.cast("string")))), lambda n, v: v.isNotNull())
+    e = tree(spark, sf).withColumn("attrs", named)
+    return selectors.styled(e, sheets=e.select("page_id").distinct().select("page_id", F.lit(0).alias("sheet"), F.lit(SHEET).alias("css"), F.lit("screen").alias("media")))

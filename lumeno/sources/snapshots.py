@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumeno.functions.color import css_color
+from lumeno.operators import selectors
+from lumeno.plans.shared import written
 from lumeno.sources import html
 
 LINE, INDENT, WIDTH = 12.0, 8.0, 1440.0
@@ -36,5 +38,12 @@ def from_elements(elements: DataFrame) -> DataFrame:
     return made.join(tall, "page_id")
 
 
-def from_pages(pages: DataFrame) -> DataFrame:
-    return from_elements(html.parse(pages))
+def from_pages(pages: DataFrame, hover: bool = False) -> DataFrame:
+    """Snapshot rows of static pages; with hover, hover_styled comes from the pages' own style sheets."""
+    elements = html.parse(pages)
+    if not hover:
+        return from_elements(elements)
+    elements = written(elements, "elements")
+    found = selectors.styled(elements).where("hover_styled").select("page_id", "el_id", F.lit(True).alias("_hover"))
+    made = from_elements(elements).join(found, ["page_id", "el_id"], "left")
+    return made.withColumn("hover_styled", F.coalesce("_hover", F.lit(False))).drop("_hover")
