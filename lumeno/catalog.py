@@ -15,7 +15,7 @@ from lumeno.functions import geometry as G
 from lumeno.functions import scramble
 from lumeno.functions import styles as ST
 from lumeno.functions import text as T
-from lumeno.operators import bars, boxes, clusters, dom, frames, groups, jobs, selectors, snapshot
+from lumeno.operators import bars, boxes, clusters, controls, dom, frames, groups, jobs, selectors, snapshot
 from lumeno.plans.shared import written
 from lumeno.sources import html, snapshots, tables
 
@@ -923,3 +923,32 @@ def tree_styled(spark, sf):
     named = F.map_filter(F.create_map(F.lit("class"), F.concat(F.lit("c"), (k % 3).cast("string")), F.lit("id"), F.when(k % 4 == 0, F.concat(F.lit("i"), k.cast("string")))), lambda n, v: v.isNotNull())
     e = tree(spark, sf).withColumn("attrs", named)
     return selectors.styled(e, sheets=e.select("page_id").distinct().select("page_id", F.lit(0).alias("sheet"), F.lit(SHEET).alias("css"), F.lit("screen").alias("media")))
+
+
+# Computed controls, once more is known
+
+#: Sets of the layout's elements: controls, logos, menus, edged ones, texts and pictures.
+SETS = {"controls": "el_id % 4 = 2", "logos": "(page_id + el_id) % 23 = 0", "menus": "el_id % 7 = 1", "edged": "(page_id * 3 + el_id) % 4 = 0", "texts": "el_id % 3 <> 0", "pictures": "(page_id + el_id) % 5 = 0"}
+
+
+def _holds(outer: str, inner: str, name: str) -> str:
+    """SQL: whether the element `outer` holds one of a set; with inner it stands in one."""
+    a, b = ("u.anc_id", "u.el_id") if inner == "below" else ("u.el_id", "u.anc_id")
+    return f"EXISTS (SELECT 1 FROM up u JOIN z x ON x.page_id = u.page_id AND x.el_id = {b} AND ({SETS[name].replace('page_id', 'x.page_id').replace('el_id', 'x.el_id')}) WHERE u.page_id = {outer}.page_id AND {a} = {outer}.el_id)"
+
+
+CHECKED = f"""WITH RECURSIVE {LAYOUT.format(lineitem='lineitem')}, zb AS (SELECT *, t + h AS b FROM z),
+    up AS (SELECT page_id, el_id, el_id AS anc_id, 0 AS dist, parent_id AS nxt FROM z UNION ALL SELECT u.page_id, u.el_id, z.el_id, u.dist + 1, z.parent_id FROM up u JOIN z ON z.page_id = u.page_id AND z.el_id = u.nxt),
+    held AS (SELECT u.page_id, u.anc_id, min(x.t) AS t, max(x.b) AS b FROM up u JOIN zb x ON x.page_id = u.page_id AND x.el_id = u.el_id WHERE u.dist > 0 AND x.b > x.t GROUP BY 1, 2),
+    f AS (SELECT zb.page_id, zb.el_id, zb.r - zb.l AS w, CASE WHEN zb.h = 0 THEN coalesce(held.b - held.t, 0) ELSE zb.h END AS h FROM zb LEFT JOIN held ON held.page_id = zb.page_id AND held.anc_id = zb.el_id),
+    c AS (SELECT f.*, {_holds('f', 'below', 'texts')} AND NOT {_holds('f', 'below', 'pictures')} AS words, {_holds('f', 'above', 'menus')} OR {_holds('f', 'below', 'edged')} AS stays FROM f WHERE {SETS['controls']} AND NOT {_holds('f', 'above', 'logos')} AND NOT {_holds('f', 'below', 'logos')}),
+    found AS (SELECT page_id, el_id FROM c WHERE NOT words OR stays
+        UNION SELECT c.page_id, g.el_id FROM c JOIN up u ON u.page_id = c.page_id AND u.el_id = c.el_id JOIN f g ON g.page_id = c.page_id AND g.el_id = u.anc_id WHERE words AND NOT stays AND ({SETS['edged'].replace('page_id', 'g.page_id').replace('el_id', 'g.el_id')}) AND g.w <= c.w * 1.1 AND g.h <= c.h * 1.1)
+    SELECT page_id, el_id FROM found WHERE NOT EXISTS (SELECT 1 FROM up u JOIN found x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.page_id = found.page_id AND u.el_id = found.el_id AND u.dist > 0)"""
+
+
+@query(CHECKED)
+def tree_checked_controls(spark, sf):
+    """Computed controls without those of logos and plain texts, or what outlines them (F16)."""
+    e = layout(spark, sf)
+    return controls.checked(e, *(e.where(SETS[k]) for k in ("controls", "logos", "menus", "edged", "texts", "pictures"))).select("page_id", "el_id")
