@@ -239,18 +239,19 @@ def possible(rows: pa.Table, least: int) -> pa.Table:
 
 
 def prefixes(hot: DataFrame, facts: DataFrame, least: int) -> DataFrame:
-    """rid, part of the sets in hot (rid): the rarest of a set's runs, one more than two linked sets may differ in on one side.
+    """bucket (a run), rid, root of the sets in hot (rid, root): the rarest of a set's runs, one more than two linked sets may differ in on one side.
 
-    Rarity is by counters of fixed number over the runs of these sets; any order that all sets agree on is exact.
+    Rarity is by counters of fixed number over the runs of these sets, of which each task reports its largest; any order that all sets agree on is exact.
     """
-    texts = only_ids(facts.select("rid", "words"), hot.select("rid"), "rid")
+    texts = written(_of(facts, hot.select(F.col("rid").alias("a"), F.col("rid").alias("b"))).select("rid", "words").join(hot, "rid"), "texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 held += np.bincount((runs_of(raw) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(held)
+        at = np.argpartition(held, -LIST)[-LIST:]
+        at = at[held[at] > 1]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["slot", "n"])
 
     counts = np.zeros(COUNTERS, np.int64)
@@ -260,17 +261,18 @@ def prefixes(hot: DataFrame, facts: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, parts = [], []
-            for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rids, roots, parts = [], [], []
+            for rid, raw, root in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 g = runs_of(raw)
                 order = np.lexsort((g, shared.value[(g % np.uint64(COUNTERS)).astype(np.int64)]))
                 some = g[order[: len(g) - math.ceil(least * len(g) / 100) + 1]]
                 rids.append(np.full(len(some), rid))
+                roots.append(np.full(len(some), root))
                 parts.append(some)
             if rids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(parts).view(np.int64))], names=["rid", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(roots))], names=["bucket", "rid", "root"])
 
-    return texts.mapInArrow(run, "rid long, part long")
+    return texts.select("rid", "words", "root").mapInArrow(run, "bucket long, rid long, root long")
 
 
 def apart(active: DataFrame, roots: DataFrame, facts: DataFrame, least: int) -> DataFrame:
@@ -283,8 +285,7 @@ def apart(active: DataFrame, roots: DataFrame, facts: DataFrame, least: int) ->
     rows = lookup(placed, "bucket", mixed, F.col("rid"))
     if not mixed.where(F.col("others") > SIDE).isEmpty():
         hot = written(rows.where(F.col("others") > SIDE).select("bucket", "rid", "root"), "hot")
-        split = hot.select("rid", "root").distinct().join(prefixes(hot.select("rid").distinct(), facts, least), "rid").select(F.col("part").alias("bucket"), "rid", "root")
-        split = written(split, "split")
+        split = written(prefixes(hot.select("rid", "root").distinct(), facts, least), "split")
         rows = rows.where(F.col("others") <= SIDE).unionByName(lookup(split, "bucket", _mixed(split, 2), F.col("rid")))
     rows = rows.withColumns({"other": F.col("root") != F.col("major"), "lefts": F.ceil(F.col("others") / SIDE).cast("int"), "rights": F.ceil(F.col("n") / WIDE).cast("int")})
     own, every = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
