@@ -39,7 +39,7 @@ from tokenizers import Tokenizer
 from lumeno.llm.common import zipped
 
 #: Characters of a block of texts, segments of a bucket (more or less), and segments tokenised at a time.
-BLOCK, BUCKET, BATCH = 25_000_000, 200_000, 4096
+BLOCK, BUCKET, BATCH = 16_000_000, 200_000, 4096
 MARK, CANDIDATES = "▁", " \n\t\r\x0b\x0c"
 
 
@@ -54,11 +54,11 @@ def byte_level() -> dict[str, int]:
 def cut_spaces(entries_a: list[bytes], entries_b: list[bytes]) -> str:
     """The white-space characters before which texts may be cut: no entry has one behind anything but white space, and, spaces
     apart, none of B has one behind a space that may be the one the model puts before a text."""
+    a, b = ([x.decode("utf-8", "replace") for x in entries] for entries in (entries_a, entries_b))  # what is no whole character is no white space
     found = []
     for c in CANDIDATES:
-        over = re.compile(b"[^ \n\t\r\x0b\x0c]" + re.escape(c.encode()))
-        led = re.compile(b"^ +" + re.escape(c.encode()))
-        if not any(over.search(x) for x in (*entries_a, *entries_b)) and (c == " " or not any(led.search(x) for x in entries_b)):
+        over, led = re.compile("\\S" + re.escape(c)), re.compile("^ +" + re.escape(c))
+        if not any(over.search(x) for x in (*a, *b)) and (c == " " or not any(led.search(x) for x in b)):
             found.append(c)
     return "".join(found)
 
@@ -103,7 +103,8 @@ class Pair:
         self.space = self.b.piece_to_id(MARK)
         if b"".join(self.b_bytes[i] for i in self.b.encode(" a  b ")) != b"  a  b ":
             raise ValueError("the piece model has to keep spaces and put one before a text")
-        self.cutter = Cutter(cut_spaces(self.a_bytes, own))
+        self.spaces = cut_spaces(self.a_bytes, own)
+        self.cutter = Cutter(self.spaces)
 
     def tokens(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
         """The ids of each segment, none where their bytes aren't the segment's."""

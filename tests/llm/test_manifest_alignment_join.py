@@ -168,6 +168,8 @@ def test_blocks_hold_all_texts():
     for text in ["a b", " a  b\n c ", "x y z", "x  y", "\r\nq w", "a\x1c b"]:
         assert "".join(cutter.segments(text)) == " " + text
     assert crosstok.cut_spaces([b" a", b"\n\n"], [b" a", b";\r", b"  "]) == " \n\t\x0b\x0c"
+    assert crosstok.cut_spaces([b" \xc2\xa0 ", b"\xa0x"], []) == crosstok.CANDIDATES and " " not in crosstok.cut_spaces([b"\xa0 "], [])
+    assert set(" \n\t") <= set(crosstok.pair(A_PATH, B_PATH).spaces)
     assert crosstok.cut_spaces([b"a b"], []) == "\n\t\r\x0b\x0c" and crosstok.cut_spaces([], [b" \n"]) == " \t\r\x0b\x0c"
 
 
