@@ -631,11 +631,15 @@ def tree_visible(spark, sf):
 ZED = "CASE WHEN (page_id + el_id) % 4 = 0 THEN NULL ELSE (page_id * 5 + el_id) % 3 END"
 
 
-@query(f"""{WITH_UP}, z AS (SELECT page_id, el_id, coalesce({ZED}, 0) AS z FROM t WHERE position <> 'static'),
-    met AS (SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, min(x.dist) AS up_a, min(y.dist) AS up_b FROM up x JOIN up y ON x.page_id = y.page_id AND x.anc_id = y.anc_id AND x.el_id <> y.el_id GROUP BY 1, 2, 3),
-    va AS (SELECT m.page_id, a_id, b_id, arg_max(z.z, u.dist) AS z FROM met m JOIN up u ON u.page_id = m.page_id AND u.el_id = m.a_id AND u.dist < m.up_a JOIN z ON z.page_id = m.page_id AND z.el_id = u.anc_id GROUP BY 1, 2, 3),
-    vb AS (SELECT m.page_id, a_id, b_id, arg_max(z.z, u.dist) AS z FROM met m JOIN up u ON u.page_id = m.page_id AND u.el_id = m.b_id AND u.dist < m.up_b JOIN z ON z.page_id = m.page_id AND z.el_id = u.anc_id GROUP BY 1, 2, 3)
-    SELECT page_id, a_id, b_id, coalesce(va.z, 0) > coalesce(vb.z, 0) OR (coalesce(va.z, 0) = coalesce(vb.z, 0) AND a_id > b_id) AS above FROM met LEFT JOIN va USING (page_id, a_id, b_id) LEFT JOIN vb USING (page_id, a_id, b_id)""")
+#: Of every element its path and the positions there of positioned ones with their z-indexes.
+STACK = f"""z AS (SELECT page_id, el_id, coalesce({ZED}, 0) AS z FROM t WHERE position <> 'static'), n AS (SELECT page_id, el_id, count(*) AS n, list(anc_id ORDER BY dist DESC) AS path FROM up GROUP BY 1, 2),
+    s AS (SELECT n.page_id, n.el_id, any_value(n.path) AS path, list({{'d': n.n - u.dist - 1, 'z': z.z}} ORDER BY u.dist DESC) FILTER (z.z IS NOT NULL) AS zs
+        FROM n JOIN up u ON u.page_id = n.page_id AND u.el_id = n.el_id LEFT JOIN z ON z.page_id = u.page_id AND z.el_id = u.anc_id GROUP BY 1, 2)"""
+FIRST = "coalesce(list_filter(coalesce({0}.zs, []), lambda i: i.d >= len(list_intersect(x.path, y.path)))[1].z, 0)"
+
+
+@query(f"""{WITH_UP}, {STACK}, m AS (SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id, {FIRST.format('x')} AS za, {FIRST.format('y')} AS zb FROM s x JOIN s y ON x.page_id = y.page_id AND x.el_id <> y.el_id)
+    SELECT page_id, a_id, b_id, za > zb OR (za = zb AND a_id > b_id) AS above FROM m""")
 def tree_stacking(spark, sf):
     p, k = F.col("page_id"), F.col("el_id") + 0
     e = tree(spark, sf).withColumn("z_index", F.when((p + k) % 4 != 0, ((p * 5 + k) % 3).cast("int")))
@@ -952,3 +956,28 @@ def tree_checked_controls(spark, sf):
     """Computed controls without those of logos and plain texts, or what outlines them (F16)."""
     e = layout(spark, sf)
     return controls.checked(e, *(e.where(SETS[k]) for k in ("controls", "logos", "menus", "edged", "texts", "pictures"))).select("page_id", "el_id")
+
+
+# Elements over others
+
+
+@query(f"""{WITH_UP}, {STACK}, c AS (SELECT * FROM t WHERE position IN ('relative', 'absolute', 'sticky')), p AS (SELECT * FROM t WHERE el_id % 2 = 0),
+    m AS (SELECT c.page_id, c.el_id, {FIRST.format('x')} AS za, {FIRST.format('y')} AS zb, c.el_id > p.el_id AS later,
+        EXISTS (SELECT 1 FROM up u JOIN t h ON h.page_id = u.page_id AND h.el_id = u.anc_id AND h.position <> 'static' WHERE u.page_id = p.page_id AND u.el_id = p.el_id)
+        AND abs(c.l - p.l) < 0.05 * (c.r - c.l) AND abs(c.r - p.r) < 0.05 * (c.r - c.l) AND abs(c.top - p.top) < 0.05 * (c.b - c.top) AND abs(c.b - p.b) < 0.05 * (c.b - c.top) AS same
+        FROM c JOIN p ON p.page_id = c.page_id AND least(c.r, p.r) - greatest(c.l, p.l) > least(p.r - p.l, p.b - p.top) / 2 AND least(c.b, p.b) - greatest(c.top, p.top) > least(p.r - p.l, p.b - p.top) / 2
+        JOIN s x ON x.page_id = c.page_id AND x.el_id = c.el_id JOIN s y ON y.page_id = p.page_id AND y.el_id = p.el_id
+        WHERE NOT EXISTS (SELECT 1 FROM up u WHERE u.page_id = c.page_id AND (u.el_id = p.el_id AND u.anc_id = c.el_id OR u.el_id = c.el_id AND u.anc_id = p.el_id)))
+    SELECT DISTINCT page_id, el_id FROM m WHERE NOT same AND (za > zb OR (za = zb AND later))""")
+def tree_covering(spark, sf):
+    """Positioned elements drawn over every other element of the tree that they overlap (G1), by cells and stacking."""
+    p, k = F.col("page_id"), F.col("el_id") + 0
+    e = tree(spark, sf).withColumns({"z_index": F.when((p + k) % 4 != 0, ((p * 5 + k) % 3).cast("int")), "bg_color": F.array(*[F.lit(255.0)] * 3)})
+    return groups.covering(e, e.where("position IN ('relative', 'absolute', 'sticky')"), e.where("el_id % 2 = 0"))
+
+
+@query(f"WITH {R} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id FROM r x JOIN r y ON x.page_id = y.page_id AND x.el_id <> y.el_id AND least(x.r, y.r) - greatest(x.l, y.l) > 4 AND least(x.b, y.b) - greatest(x.t, y.t) > 4")
+def rectangle_tile_join(spark, sf):
+    """Pairs of overlapping rectangles by cells of the page."""
+    r = rects(spark, sf)
+    return boxes.tiled(r, r, 4.0).where("a_id <> b_id").select("page_id", "a_id", "b_id")

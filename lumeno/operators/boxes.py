@@ -30,6 +30,29 @@ def overlapping(one: DataFrame, two: DataFrame, tolerance: float = 0.0) -> DataF
     return _side(one, "a").join(_side(two, "b"), "page_id").where(G.boxes_overlap("a_", "b_", tolerance))
 
 
+#: Side of the cells that tiled() deals rectangles to, in pixels.
+TILE = 256
+
+
+def tiled(one: DataFrame, two: DataFrame, tolerance: Column | float = 0.0) -> DataFrame:
+    """Pairs of a page's rectangles (a_..., b_...) whose boxes share more than the tolerance on both axes (N3), by cells of the page.
+
+    Rectangles are joined where they have a cell in common, so a page of very many is dealt to many tasks, and far ones never
+    meet. A pair counts in the cell of its common corner only, so none is met twice. Needs page_id, l, t, r, b on both sides.
+    """
+    cell = lambda c: F.floor(F.col(c) / TILE)
+
+    def dealt(df: DataFrame, p: str) -> DataFrame:
+        full = df.select("page_id", *[F.col(c).alias(f"{p}_{c}" if c != "el_id" else f"{p}_id") for c in df.columns if c != "page_id"]).where(f"{p}_r > {p}_l AND {p}_b > {p}_t")
+        return full.withColumn("_x", F.explode(F.sequence(cell(f"{p}_l"), cell(f"{p}_r")))).withColumn("_y", F.explode(F.sequence(cell(f"{p}_t"), cell(f"{p}_b"))))
+
+    met = dealt(one, "a").join(dealt(two, "b"), ["page_id", "_x", "_y"])
+    left, top = F.greatest("a_l", "b_l"), F.greatest("a_t", "b_t")
+    least = tolerance if isinstance(tolerance, Column) else F.lit(tolerance)
+    share = (F.least("a_r", "b_r") - left > least) & (F.least("a_b", "b_b") - top > least)
+    return met.where((F.floor(left / TILE) == F.col("_x")) & (F.floor(top / TILE) == F.col("_y")) & share).drop("_x", "_y")
+
+
 def _axes(f, d: str = "") -> tuple:
     c = F.col
     return f(c("a_l"), c("a_r"), c("b_l"), c("b_r")), f(c("a_t"), c("a_b"), c("b_t"), c("b_b"))

@@ -33,29 +33,36 @@ def frame_records(iframes: DataFrame, frames: DataFrame) -> DataFrame:
     return iframes.join(frames, ["page_id", "machine_id"])
 
 
+def stacking(elements: DataFrame) -> DataFrame:
+    """page_id, el_id, pre, path, zs: of every element the positions on its path of positioned ones and their z-indexes (none: 0), from the root down."""
+    e = dom.paths(elements)
+    own = e.where(F.col("position") != "static").select("page_id", F.col("el_id").alias("anc_id"), F.coalesce(F.col("z_index"), F.lit(0)).alias("z"))
+    held = dom.above(e, "el_id", F.size("path").alias("_size")).join(own, ["page_id", "anc_id"]).groupBy("page_id", "el_id")
+    zs = held.agg(F.sort_array(F.collect_list(F.struct((F.col("_size") - F.col("dist") - 1).alias("d"), "z"))).alias("zs"))
+    return e.select("page_id", "el_id", "pre", "path").join(zs, ["page_id", "el_id"], "left")
+
+
+def drawn_above(a: str, b: str) -> Column:
+    """Whether the element with columns a + pre, path, zs is drawn over that with b + ...: one test of two rows of stacking()."""
+    met = F.size(F.array_intersect(f"{a}path", f"{b}path"))
+    first = lambda x: F.coalesce(F.get(F.filter(f"{x}zs", _below(met)), 0)["z"], F.lit(0))
+    return (first(a) > first(b)) | ((first(a) == first(b)) & (F.col(f"{a}pre") > F.col(f"{b}pre")))
+
+
+def _below(met: Column) -> Callable[[Column], Column]:
+    return lambda x: x["d"] >= met
+
+
 def is_above(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """page_id, a_id, b_id, above: whether the first of two elements is drawn over the second.
 
     Below their common ancestor the outermost positioned element of each decides by its z-index (none: 0); equal ones by document order.
     """
-    e = dom.paths(elements)
-    own = e.where(F.col("position") != "static").select("page_id", F.col("el_id").alias("anc_id"), F.coalesce(F.col("z_index"), F.lit(0)).alias("_z"))
-    met = dom.common_ancestor(pairs, e).select("page_id", "a_id", "b_id", "lca_id")
-    # Of every element: the z-indexes of the positioned ones on its path, with their distance.
-    stack = dom.above(e, "el_id").join(own, ["page_id", "anc_id"]).groupBy("page_id", "el_id").agg(F.collect_list(F.struct("dist", "_z")).alias("_s"))
-    order = e.select("page_id", "el_id", "pre", F.size("path").alias("_n")).join(stack, ["page_id", "el_id"], "left")
-    deep = e.select("page_id", F.col("el_id").alias("lca_id"), F.size("path").alias("_d"))
-    made = met.join(deep, ["page_id", "lca_id"])
+    s = stacking(elements)
+    made = pairs
     for k in "ab":
-        made = made.join(order.select("page_id", *[F.col(c).alias(f"{c}_{k}") for c in ("el_id", "pre", "_n", "_s")]).withColumnRenamed(f"el_id_{k}", f"{k}_id"), ["page_id", f"{k}_id"])
-        first = F.array_max(F.filter(F.col(f"_s_{k}"), _nearer(F.col(f"_n_{k}") - F.col("_d"))))
-        made = made.withColumn(f"_z_{k}", F.coalesce(first["_z"], F.lit(0)))
-    above = (F.col("_z_a") > F.col("_z_b")) | ((F.col("_z_a") == F.col("_z_b")) & (F.col("pre_a") > F.col("pre_b")))
-    return made.select("page_id", "a_id", "b_id", above.alias("above"))
-
-
-def _nearer(reach: Column) -> Callable[[Column], Column]:
-    return lambda x: x["dist"] < reach
+        made = made.join(s.select("page_id", *[F.col(c).alias(f"{k}_{c}" if c != "el_id" else f"{k}_id") for c in ("el_id", "pre", "path", "zs")]), ["page_id", f"{k}_id"])
+    return made.where(F.arrays_overlap("a_path", "b_path")).select("page_id", "a_id", "b_id", drawn_above("a_", "b_").alias("above"))
 
 
 def pseudo_icons(elements: DataFrame) -> DataFrame:

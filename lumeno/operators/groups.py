@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lumeno.functions import text as T
 from lumeno.operators import bars as B
-from lumeno.operators import dom, snapshot
-from lumeno.plans.shared import once
+from lumeno.operators import boxes, dom, frames, snapshot
+from lumeno.plans.shared import once, written
 
 # Fixed values.
 SHORT, LONG = 28, 56
@@ -175,23 +175,50 @@ def fixed_areas(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("position").isin("fixed", "sticky")).withColumn("location", G.sticky_bar({k: F.col(k) for k in "ltrb"})).where("location IS NOT NULL").select("page_id", "el_id", "tag", "location", *"ltrb")
 
 
-def overlays(elements: DataFrame, page_height: float = 900, most: float = 0.25) -> DataFrame:
-    """Elements that lie over others (G1): fixed ones that are no bars, and positioned ones above the fold that cover a
-    primitive by more than half its short side without containing it; none if over a quarter of the primitives stand in them."""
-    from lumeno.operators import boxes
+#: How close the edges of layers have to be, as a share of the upper one's size (fixed value).
+COINCIDE = 0.05
+
 
+@once
+def overlays(elements: DataFrame, page_height: float = 900, most: float = 0.25) -> DataFrame:
+    """Elements that lie over others (G1): fixed ones that are no bars, and positioned ones above the fold that aren't clear and are
+    drawn over a primitive that they overlap by more than half its short side. Primitives within them don't count, nor those
+    that hold them, nor layers: positioned ones, or in one, with almost the same box. None if over a quarter of the primitives stand in them."""
     pos = snapshot.positioned(elements).join(fixed_areas(elements).select("page_id", "el_id"), ["page_id", "el_id"], "left_anti")
-    prim = elements.join(snapshot.primitives(elements).select("page_id", "el_id").distinct(), ["page_id", "el_id"])
-    over = boxes.enclosed(prim, pos.where((F.col("position") != "fixed") & (F.col("t") < page_height)))
-    held = dom.closure(elements).select("page_id", F.col("anc_id").alias("env_id"), F.col("desc_id").alias("el_id"))
-    covers = over.join(held, ["page_id", "env_id", "el_id"], "left_anti").join(held.withColumnRenamed("env_id", "_x").withColumnRenamed("el_id", "env_id").withColumnRenamed("_x", "el_id"), ["page_id", "env_id", "el_id"], "left_anti")
-    found = dom.outermost(pos.where("position = 'fixed'").unionByName(pos.join(covers.select("page_id", F.col("env_id").alias("el_id")).distinct(), ["page_id", "el_id"], "left_semi")))
+    prim = elements.join(snapshot.primitives(elements).select("page_id", "el_id").distinct(), ["page_id", "el_id"], "left_semi")
+    found = dom.outermost(pos.where("position = 'fixed'").unionByName(pos.join(covering(elements, pos.where((F.col("position") != "fixed") & (F.col("t") < page_height)), prim), ["page_id", "el_id"], "left_semi")))
     total = prim.groupBy("page_id").agg(F.count("*").alias("_n"))
     within = dom.inside(prim, found).groupBy("page_id").agg(F.count("*").alias("_k"))
     many = total.join(within, "page_id").where(F.col("_k") > most * F.col("_n")).select("page_id")
     return found.join(many, "page_id", "left_anti")
 
 
+def clear(elements: DataFrame, candidates: DataFrame) -> DataFrame:
+    """page_id, el_id of candidates that show nothing of their own: no main graphic, and no element of a hundredth of their size with a background."""
+    area = lambda: snapshot.width() * snapshot.height()
+    seen = (F.coalesce(F.get("bg_color", 3), F.lit(1.0)) >= snapshot.MIN_ALPHA) & F.col("bg_color").isNotNull() | (F.coalesce("bg_image", F.lit("none")) != "none")
+    filled = dom.above(elements.where(seen), area().alias("_own")).join(candidates.select("page_id", F.col("el_id").alias("anc_id"), area().alias("_all")), ["page_id", "anc_id"]).where("_own > 0.01 * _all")
+    pictured = dom.above(snapshot.graphics(elements).where("kind IN ('main', 'bg.main')"), "el_id")
+    shown = filled.select("page_id", "anc_id").unionByName(pictured.select("page_id", "anc_id")).distinct().withColumnRenamed("anc_id", "el_id")
+    return candidates.select("page_id", "el_id").join(shown, ["page_id", "el_id"], "left_anti")
+
+
+def covering(elements: DataFrame, candidates: DataFrame, primitives: DataFrame) -> DataFrame:
+    """page_id, el_id of candidates drawn over a primitive that neither holds the other, but for layers of the same box."""
+    e = elements if "z_index" in elements.columns else elements.withColumn("z_index", F.lit(None).cast("int"))
+    order = written(frames.stacking(e), "stacking")
+    boxed = lambda df: df.select("page_id", "el_id", *"ltrb").join(order, ["page_id", "el_id"])
+    layered = dom.inside(primitives, snapshot.positioned(elements)).select("page_id", "el_id", F.lit(True).alias("layered"))
+    under = boxed(primitives).join(layered, ["page_id", "el_id"], "left")
+    free = candidates.join(clear(elements, candidates), ["page_id", "el_id"], "left_anti")
+    short = F.least(F.col("b_r") - F.col("b_l"), F.col("b_b") - F.col("b_t")) / 2
+    met = boxes.tiled(boxed(free), under, short)
+    apart = ~F.array_contains("b_path", F.col("a_id")) & ~F.array_contains("a_path", F.col("b_id"))
+    near = lambda lo, hi, size: (F.abs(F.col(f"a_{lo}") - F.col(f"b_{lo}")) < COINCIDE * size) & (F.abs(F.col(f"a_{hi}") - F.col(f"b_{hi}")) < COINCIDE * size)
+    same = F.coalesce("b_layered", F.lit(False)) & near("l", "r", F.col("a_r") - F.col("a_l")) & near("t", "b", F.col("a_b") - F.col("a_t"))
+    return met.where(apart & ~same & frames.drawn_above("a_", "b_")).select("page_id", F.col("a_id").alias("el_id")).distinct()
+
+
 def rotating_banners(elements: DataFrame, threshold: float = 5) -> DataFrame:
     """page_id, el_id (container), shown_id, hidden_id: a visible main graphic with hidden ones of its tag and size in the lowest element that holds them."""
     g = snapshot.graphics(elements).where("kind in ('main', 'bg.main')").withColumns({"w": snapshot.width(), "h": snapshot.height()})
