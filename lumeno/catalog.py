@@ -981,3 +981,27 @@ def rectangle_tile_join(spark, sf):
     """Pairs of overlapping rectangles by cells of the page."""
     r = rects(spark, sf)
     return boxes.tiled(r, r, 4.0).where("a_id <> b_id").select("page_id", "a_id", "b_id")
+
+
+# Clipping
+
+
+#: From the root down: the clips for flow, absolute and fixed children, and what is left of each box.
+CLIPS = f"""WITH RECURSIVE {R}, {TREE}, e AS (SELECT page_id, el_id, parent_id, position, l::DOUBLE AS l, top::DOUBLE AS t, r::DOUBLE AS r, b::DOUBLE AS b, (page_id + el_id) % 3 = 0 AS clips, (page_id * 2 + el_id) % 7 = 0 AS moved FROM t),
+    k AS (SELECT page_id, el_id, position, clips, moved, {{'l': greatest(l, 0.0::DOUBLE), 't': greatest(t, 0.0::DOUBLE), 'r': greatest(least(r, 700.0::DOUBLE), greatest(l, 0.0::DOUBLE)), 'b': greatest(least(b, 400.0::DOUBLE), greatest(t, 0.0::DOUBLE))}} AS c,
+            {{'l': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'r': 700.0::DOUBLE, 'b': 400.0::DOUBLE}} AS own, {{'l': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'r': 700.0::DOUBLE, 'b': 400.0::DOUBLE}} AS lifted, {{'l': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'r': 700.0::DOUBLE, 'b': 400.0::DOUBLE}} AS fixed FROM e WHERE parent_id IS NULL
+        UNION ALL SELECT page_id, el_id, position, clips, moved, {{'l': greatest(l, o.l), 't': greatest(t, o.t), 'r': greatest(least(r, o.r), l, o.l), 'b': greatest(least(b, o.b), t, o.t)}}, o, lifted, fixed FROM (
+            SELECT e.*, CASE e.position WHEN 'fixed' THEN CASE WHEN k.moved THEN CASE WHEN k.clips THEN k.c ELSE k.own END ELSE k.fixed END
+                    WHEN 'absolute' THEN CASE WHEN k.moved OR k.position <> 'static' THEN CASE WHEN k.clips THEN k.c ELSE k.own END ELSE k.lifted END ELSE CASE WHEN k.clips THEN k.c ELSE k.own END END AS o,
+                CASE WHEN k.moved OR k.position <> 'static' THEN CASE WHEN k.clips THEN k.c ELSE k.own END ELSE k.lifted END AS lifted,
+                CASE WHEN k.moved THEN CASE WHEN k.clips THEN k.c ELSE k.own END ELSE k.fixed END AS fixed
+            FROM k JOIN e ON e.page_id = k.page_id AND e.parent_id = k.el_id))
+    SELECT page_id, el_id, round(c.l, 6) AS cl, round(c.t, 6) AS ct, round(c.r, 6) AS cr, round(c.b, 6) AS cb FROM k"""
+
+
+@query(CLIPS)
+def tree_clipped(spark, sf):
+    """Boxes within their clipping ancestors, with every kind of position and transforms (F2)."""
+    k = F.col("page_id") + F.col("el_id")
+    e = tree(spark, sf).withColumns({"overflow": F.when(k % 3 == 0, "hidden").otherwise("visible"), "transform": F.when((F.col("page_id") + k) % 7 == 0, "scale(1)"), "doc_width": F.lit(700.0), "doc_height": F.lit(400.0)})
+    return rounded(snapshot.clipped(e).select("page_id", "el_id", "cl", "ct", "cr", "cb"), "cl", "ct", "cr", "cb")

@@ -35,32 +35,41 @@ def height() -> Column:
     return F.col("b") - F.col("t")
 
 
+def _rect(l: Column, t: Column, r: Column, b: Column) -> Column:
+    return F.struct(*[c.cast("double").alias(k) for k, c in zip("ltrb", (l, t, r, b))])
+
+
+def _meet(box: Column, clip: Column) -> Column:
+    """What of a box is within a clip; an empty part lies at its corner."""
+    l, t = F.greatest(box["l"], clip["l"]), F.greatest(box["t"], clip["t"])
+    return _rect(l, t, F.greatest(F.least(box["r"], clip["r"]), l), F.greatest(F.least(box["b"], clip["b"]), t))
+
+
+def _clip_step(state: Column, x: Column) -> Column:
+    """The clips below an element x, given those above it, and what of its own box they leave."""
+    own = F.when(x["position"] == "fixed", state["fixed"]).when(x["position"] == "absolute", state["lifted"]).otherwise(state["flow"])
+    cut = _meet(x["box"], own)
+    below = F.when(x["clips"], cut).otherwise(own)
+    held = x["moved"] | (x["position"] != "static")
+    return F.struct(below.alias("flow"), F.when(held, below).otherwise(state["lifted"]).alias("lifted"), F.when(x["moved"], below).otherwise(state["fixed"]).alias("fixed"), cut.alias("cut"))
+
+
 def clipped(elements: DataFrame) -> DataFrame:
-    """Boxes within all clipping ancestors and the document (F2).
+    """Boxes within all clipping ancestors and the document as cl, ct, cr, cb (F2).
 
-    From the root down, one pass a page: a fixed element is clipped by nothing, an absolute one only by clipping ancestors that are
-    positioned, others by every clipping ancestor.
+    Flow elements are clipped by every clipping ancestor, absolute ones by those that are the nearest positioned one or above it,
+    fixed ones by none; an ancestor with a transform (column transform, if there is one) counts as positioned, and holds fixed ones as well.
+    A fold over the elements of the path, from the root down, whose state is the clip for each kind of position.
     """
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("pre").reset_index(drop=True)
-        whole = (0.0, 0.0, float(df.doc_width.iloc[0]), float(df.doc_height.iloc[0]))
-        clips: dict[int, tuple] = {}  # el_id: (clip for flow children, clip for absolute children)
-        out = np.empty((len(df), 4))
-        for k, row in enumerate(df.itertuples(index=False)):
-            flow, lifted = clips.get(row.parent_id, (whole, whole)) if row.parent_id == row.parent_id and row.parent_id is not None else (whole, whole)
-            own = {"fixed": whole, "absolute": lifted}.get(row.position, flow)
-            lo = max(row.l, own[0]), max(row.t, own[1])
-            cut = (*lo, max(min(row.r, own[2]), lo[0]), max(min(row.b, own[3]), lo[1]))
-            out[k] = cut
-            clipping = row.overflow not in (None, "visible")
-            below = cut if clipping else own
-            clips[row.el_id] = (below, below if row.position not in (None, "static") else lifted)
-        return pd.DataFrame({"page_id": df.page_id, "el_id": df.el_id, "cl": out[:, 0], "ct": out[:, 1], "cr": out[:, 2], "cb": out[:, 3]})
-
-    need = elements.select("page_id", "el_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "pre", "position", "overflow", "l", "t", "r", "b", "doc_width", "doc_height")
-    made = need.groupBy("page_id").applyInPandas(one, "page_id long, el_id int, cl double, ct double, cr double, cb double")
-    return elements.join(made, ["page_id", "el_id"])
+    e = dom.paths(elements)
+    moved = F.coalesce(F.col("transform"), F.lit("none")) != "none" if "transform" in e.columns else F.lit(False)
+    clips = F.coalesce("overflow", F.lit("visible")) != "visible"
+    facts = e.select("page_id", F.col("el_id").alias("anc_id"), F.struct(_rect(*(F.col(k) for k in "ltrb")).alias("box"), F.coalesce("position", F.lit("static")).alias("position"), clips.alias("clips"), moved.alias("moved")).alias("x"))
+    lines = dom.above(e, "el_id").join(facts, ["page_id", "anc_id"]).groupBy("page_id", "el_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("k"), "anc_id", "x"))).alias("line"))
+    whole = _rect(F.lit(0.0), F.lit(0.0), F.col("doc_width"), F.col("doc_height"))
+    start = F.struct(*[whole.alias(k) for k in ("flow", "lifted", "fixed", "cut")])
+    cut = F.aggregate("line", start, lambda s, y: _clip_step(s, y["x"]), lambda s: s["cut"])
+    return elements.join(lines, ["page_id", "el_id"]).withColumn("_cut", cut).select(*elements.columns, *[F.col(f"_cut.{k}").alias(f"c{k}") for k in "ltrb"])
 
 
 def visible(elements: DataFrame) -> DataFrame:
