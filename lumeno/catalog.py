@@ -15,9 +15,10 @@ from lumeno.functions import geometry as G
 from lumeno.functions import scramble
 from lumeno.functions import styles as ST
 from lumeno.functions import text as T
-from lumeno.operators import bars, boxes, clusters, controls, dom, frames, groups, jobs, selectors, snapshot
+from lumeno.operators import bars, boxes, clusters, controls, dom, frames, groups, jobs, pixels, selectors, snapshot
 from lumeno.plans.shared import written
 from lumeno.sources import html, snapshots, tables
+from lumeno.sources import pixels as tiled_images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1005,3 +1006,43 @@ def tree_clipped(spark, sf):
     k = F.col("page_id") + F.col("el_id")
     e = tree(spark, sf).withColumns({"overflow": F.when(k % 3 == 0, "hidden").otherwise("visible"), "transform": F.when((F.col("page_id") + k) % 7 == 0, "scale(1)"), "doc_width": F.lit(700.0), "doc_height": F.lit(400.0)})
     return rounded(snapshot.clipped(e).select("page_id", "el_id", "cl", "ct", "cr", "cb"), "cl", "ct", "cr", "cb")
+
+
+# Pixels
+
+#: An image for each part, six points wide, whose points are its lines; a second version has other reds in every fourth point, and one row less for every third part.
+PIXELS = """z AS (SELECT l_partkey AS page_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) - 1 AS k, CAST(l_quantity AS INT) AS q, l_suppkey AS s, count(*) OVER (PARTITION BY l_partkey) AS n FROM {lineitem}),
+    p AS (SELECT page_id, 1 AS img_id, CAST(k % 6 AS INT) AS x, CAST(floor(k / 6) AS INT) AS y, CAST(q * 5 % 256 AS INT) AS r, CAST((page_id * 7 + k * 31) % 256 AS INT) AS g, CAST(s % 256 AS INT) AS b, CASE WHEN k % 5 = 0 THEN 128 ELSE 255 END AS a,
+        CAST(CASE WHEN k % 4 = 1 THEN (q * 5 + k) % 256 ELSE q * 5 % 256 END AS INT) AS r2, page_id % 3 = 0 AND k >= 6 * (floor(n / 6) - 1) AS cut FROM z WHERE k < 6 * floor(n / 6))"""
+PIXEL_SQL = f"WITH {PIXELS.format(lineitem='lineitem')}"
+
+
+def drawn(spark, sf) -> DataFrame:
+    return written(spark.sql(f"WITH {PIXELS.format(lineitem='{lineitem}')} SELECT * FROM p", lineitem=read(spark, sf, "lineitem")), "drawn")
+
+
+@query(f"""{PIXEL_SQL}, v AS (SELECT *, r * a / 255.0 AS u, g * a / 255.0 AS v, b * a / 255.0 AS w FROM p)
+    SELECT page_id, count(*) AS n, round(avg(u), 6) AS red, round(avg(v), 6) AS green, round(avg(w), 6) AS blue, round(avg(a), 6) AS alpha,
+    round(sqrt(greatest((avg(u * u) - avg(u) * avg(u) + avg(v * v) - avg(v) * avg(v) + avg(w * w) - avg(w) * avg(w)) / 3, 0)), 2) AS sd FROM v GROUP BY page_id""")
+def pixel_stats(spark, sf):
+    """Mean colors and spread of tiled images."""
+    made = pixels.stats(tiled_images.tiles_of_pixels(drawn(spark, sf), tile=4))
+    return made.select("page_id", "n", *[F.round(F.col("rgb")[k], 6).alias(c) for k, c in enumerate(("red", "green", "blue"))], F.round(F.col("rgba")[3], 6).alias("alpha"), "sd")
+
+
+@query(f"""{PIXEL_SQL}, d AS (SELECT page_id, CASE WHEN NOT cut AND abs(r - r2) * a / 255.0 > 2 THEN abs(r - r2) * a / 255.0 ELSE 0 END AS d, cut FROM p)
+    SELECT page_id, sum(d) = 0 AS same, round(sum(d) + 765 * count(*) FILTER (cut), 6) AS difference, 4 * count(*) FILTER (cut) AS size_difference FROM d GROUP BY page_id""")
+def image_difference(spark, sf):
+    """What two versions of an image differ by (A10)."""
+    p = drawn(spark, sf)
+    one, two = (tiled_images.tiles_of_pixels(x, tile=4) for x in (p, p.where("NOT cut").withColumn("r", F.col("r2"))))
+    return pixels.difference(one, two).select("page_id", "same", F.round("difference", 6).alias("difference"), "size_difference")
+
+
+@query(f"{PIXEL_SQL}, s AS (SELECT page_id, (page_id * j) % 7 AS x, (page_id + j * 3) % 9 AS y FROM (SELECT DISTINCT page_id FROM p), (SELECT unnest(range(1, 6)) AS j)) SELECT s.page_id, round(avg(p.r), 6) AS red, round(avg(p.g), 6) AS green, round(avg(p.b), 6) AS blue FROM s JOIN p ON p.page_id = s.page_id AND p.x = s.x AND p.y = s.y GROUP BY s.page_id")
+def sampled_pixels(spark, sf):
+    """The mean color of points of an image, of those that lie in it."""
+    p = drawn(spark, sf)
+    at = p.select("page_id", "img_id").distinct().withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("page_id", "img_id", (F.col("page_id") * F.col("j") % 7).alias("x"), ((F.col("page_id") + F.col("j") * 3) % 9).alias("y"))
+    made = pixels.average(pixels.at_points(tiled_images.tiles_of_pixels(p, tile=4), at, tile=4), "page_id")
+    return made.select("page_id", *[F.round(F.col("color")[k], 6).alias(c) for k, c in enumerate(("red", "green", "blue"))])
