@@ -15,7 +15,7 @@ from lumeno.functions import geometry as G
 from lumeno.functions import scramble
 from lumeno.functions import styles as ST
 from lumeno.functions import text as T
-from lumeno.operators import bars, boxes, clusters, controls, dom, frames, groups, jobs, pixels, selectors, snapshot
+from lumeno.operators import bars, boxes, clusters, controls, dom, frames, groups, jobs, paragraphs, pixels, selectors, snapshot
 from lumeno.plans.shared import written
 from lumeno.sources import html, snapshots, tables
 from lumeno.sources import pixels as tiled_images
@@ -1046,3 +1046,32 @@ def sampled_pixels(spark, sf):
     at = p.select("page_id", "img_id").distinct().withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("page_id", "img_id", (F.col("page_id") * F.col("j") % 7).alias("x"), ((F.col("page_id") + F.col("j") * 3) % 9).alias("y"))
     made = pixels.average(pixels.at_points(tiled_images.tiles_of_pixels(p, tile=4), at, tile=4), "page_id")
     return made.select("page_id", *[F.round(F.col("color")[k], 6).alias(c) for k, c in enumerate(("red", "green", "blue"))])
+
+
+# Paragraphs
+
+#: Lines of texts: an element's box, and for even ones a second one to the right and below.
+TEXT_LINES = "k AS (SELECT page_id, el_id, l, top AS t, r, b FROM t UNION ALL SELECT page_id, el_id, l + 100, top + 3 + el_id, r + 120, b + 20 FROM t WHERE el_id % 2 = 0)"
+
+
+def text_rects(e: DataFrame) -> DataFrame:
+    k = F.col("el_id")
+    more = e.where(k % 2 == 0).select("page_id", "el_id", (F.col("l") + 100).alias("l"), (F.col("t") + 3 + k).alias("t"), (F.col("r") + 120).alias("r"), (F.col("b") + 20).alias("b"))
+    return e.select("page_id", "el_id", *"ltrb").unionByName(more)
+
+
+@query(f"""{WITH_UP}, {TEXT_LINES}, n AS (SELECT u.page_id, u.el_id, arg_min(u.anc_id, u.dist) AS anc_id FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id JOIN t e ON e.page_id = u.page_id AND e.el_id = u.el_id WHERE x.tag IN {BLOCK_TAGS} AND {HAS_TEXT.replace('txt', 'e.txt').replace('tag', 'e.tag')} GROUP BY 1, 2),
+    w AS (SELECT n.page_id, n.anc_id, count(*) AS n_texts, string_agg(e.txt, '' ORDER BY e.el_id) AS text FROM n JOIN t e ON e.page_id = n.page_id AND e.el_id = n.el_id GROUP BY 1, 2),
+    z AS (SELECT n.page_id, n.anc_id, e.font_size AS s, sum(len(e.txt)) AS c, min(e.el_id) AS f FROM n JOIN t e ON e.page_id = n.page_id AND e.el_id = n.el_id GROUP BY 1, 2, 3),
+    y AS (SELECT page_id, anc_id, s FROM z QUALIFY row_number() OVER (PARTITION BY page_id, anc_id ORDER BY c DESC, f) = 1),
+    q AS (SELECT n.page_id, n.anc_id, k.l::DOUBLE AS l, k.t::DOUBLE AS t, k.r::DOUBLE AS r, k.b::DOUBLE AS b FROM n JOIN k ON k.page_id = n.page_id AND k.el_id = n.el_id),
+    c AS (SELECT page_id, anc_id, count(*) FILTER (m IS NULL OR l >= m) AS n FROM (SELECT *, max(r) OVER (PARTITION BY page_id, anc_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM q) GROUP BY 1, 2),
+    i AS (SELECT page_id, anc_id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b,
+        list_reduce(list({{'n': 1, 'top': t, 'lo': l, 'hi': r, 'w': 0.0::DOUBLE}} ORDER BY t, l, r, b), lambda s, x: CASE WHEN x.top - s.top >= 5 THEN {{'n': s.n + 1, 'top': x.top, 'lo': x.lo, 'hi': x.hi, 'w': s.w + s.hi - s.lo}} ELSE {{'n': s.n, 'top': s.top, 'lo': least(s.lo, x.lo), 'hi': greatest(s.hi, x.hi), 'w': s.w}} END) AS v FROM q GROUP BY 1, 2)
+    SELECT i.page_id, i.anc_id AS el_id, w.n_texts, w.text, round(i.l, 6) AS l, round(i.t, 6) AS t, round(i.r, 6) AS r, round(i.b, 6) AS b, v.n AS n_lines, round(v.w + v.hi - v.lo, 6) AS lines_width, CASE WHEN v.n > 1 THEN c.n ELSE 1 END AS n_columns, y.s::DOUBLE AS font_size
+    FROM i JOIN w ON w.page_id = i.page_id AND w.anc_id = i.anc_id JOIN c ON c.page_id = i.page_id AND c.anc_id = i.anc_id JOIN y ON y.page_id = i.page_id AND y.anc_id = i.anc_id""")
+def tree_paragraph_boxes(spark, sf):
+    """Paragraphs with their box, lines, columns and common font size."""
+    e = tree(spark, sf)
+    made = paragraphs.paragraphs(e, text_rects(e)).drop("width_chars")
+    return made.withColumns({c: F.round(c, 6) for c in ("l", "t", "r", "b", "lines_width")})
