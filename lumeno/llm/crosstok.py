@@ -39,7 +39,7 @@ from tokenizers import Tokenizer
 from lumeno.llm.common import zipped
 
 #: Characters of a block of texts, segments of a bucket (more or less), and segments tokenised at a time.
-BLOCK, BUCKET, BATCH = 16_000_000, 200_000, 4096
+BLOCK, BUCKET, BATCH = 10_000_000, 200_000, 4096
 MARK, CANDIDATES = "▁", " \n\t\r\x0b\x0c"
 
 
@@ -132,15 +132,15 @@ def squeezed(values: np.ndarray) -> bytes:
 
 def unsqueezed(raw: bytes) -> np.ndarray:
     n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-def cut(docs: DataFrame, paths: tuple[str, str], kind: str) -> DataFrame:
+def cut(docs: DataFrame, spaces: str, kind: str) -> DataFrame:
     """block, n_segments, ids, first, seq, segments: the texts of a block as numbers of its segments, text k from first[k] to first[k + 1]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, task, n = pair(*paths).cutter, TaskContext.get().partitionId(), 0
+        cutter, task, n = Cutter(spaces), TaskContext.get().partitionId(), 0
         numbers, ids, first, seq, held = Numbers(), [], [0], [], 0
 
         def row() -> pa.RecordBatch:
@@ -207,18 +207,15 @@ def tokenised(blocks: DataFrame, paths: tuple[str, str], buckets: int) -> DataFr
 class Aligned:
     """The alignments of a block's segments, end to end on one axis of bytes: every stretch between two ends is a link, every end that is one of both kinds closes a group."""
 
-    def __init__(self, n: int, tokens: pa.Table, both: Pair):
+    def __init__(self, n: int, tokens: pa.Table, sizes: tuple[np.ndarray, np.ndarray]):
         self.n_a, self.n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        parts_a, parts_b, order = [], [], []
-        wide_a, wide_b = ("<u2" if len(x) <= 1 << 16 else "<u4" for x in (both.a_bytes, both.b_bytes))
-        for ks, n_a, n_b, a, b in zip(*(tokens.column(c).to_pylist() for c in ("ks", "n_a", "n_b", "a", "b"))):
-            self.n_a[ks], self.n_b[ks] = n_a, n_b
-            order.append(np.array(ks, np.int64))
-            parts_a.append(np.frombuffer(a, wide_a))
-            parts_b.append(np.frombuffer(b, wide_b))
-        order = np.concatenate(order) if order else np.zeros(0, np.int64)
-        self.a, self.b = (_in_order(np.concatenate(p) if p else np.zeros(0, np.int64), k[order], order) for p, k in ((parts_a, self.n_a), (parts_b, self.n_b)))
-        self.end_a, self.end_b = (np.cumsum(np.array([len(x) for x in t], np.int64)[i]) for t, i in ((both.a_bytes, self.a), (both.b_bytes, self.b)))
+        flat = lambda c: np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in tokens.column(c).chunks)])
+        order = flat("ks")
+        self.n_a[order], self.n_b[order] = flat("n_a"), flat("n_b")
+        wide = ["<u2" if len(x) <= 1 << 16 else "<u4" for x in sizes]
+        raw = [np.frombuffer(b"".join(tokens.column(c).to_pylist()), w) for c, w in zip("ab", wide)]
+        self.a, self.b = (_in_order(r, k[order], order) for r, k in zip(raw, (self.n_a, self.n_b)))
+        self.end_a, self.end_b = (np.cumsum(t[i]) for t, i in zip(sizes, (self.a, self.b)))
         ends = np.unique(np.concatenate([self.end_a, self.end_b]))
         of_a, of_b = np.searchsorted(self.end_a, ends), np.searchsorted(self.end_b, ends)
         self.link = self.a[of_a] << 32 | self.b[of_b]
@@ -229,20 +226,24 @@ class Aligned:
         self.n_groups = np.bincount(segment[closes], minlength=n)
         self.first_link = np.concatenate([[0], np.cumsum(self.n_links)])
 
-    def texts(self) -> list[str]:
-        """The groups of each segment as text."""
+    def texts(self, some: int = 50_000) -> list[str]:
+        """The groups of each segment as text, made for so many segments at a time."""
         group = [np.searchsorted(self.closed, e) for e in (self.end_a, self.end_b)]
-        key = np.concatenate([2 * group[0], 2 * group[1] + 1])
-        order = np.argsort(key, kind="stable")
-        ids, key = np.concatenate([self.a, self.b])[order], key[order]
-        last = np.append(key[1:] != key[:-1], True)  # of its kind in its group
         ends_segment = np.zeros(len(self.closed), bool)
         ends_segment[np.cumsum(self.n_groups)[self.n_groups > 0] - 1] = True
-        after = np.where(~last, 0, np.where(key % 2 == 0, 1, np.where(ends_segment[key // 2], 3, 2)))
-        made = "".join([str(i) + ",|;\n"[k] for i, k in zip(ids.tolist(), after.tolist())]).split("\n")
-        out = np.full(len(self.n_a), "", object)
-        out[self.n_groups > 0] = made[:-1]
-        return out.tolist()
+        at = [np.concatenate([[0], np.cumsum(n)]) for n in (self.n_a, self.n_b)]
+        out: list[str] = []
+        for lo in range(0, len(self.n_a), some):
+            hi = min(lo + some, len(self.n_a))
+            a, b = (slice(x[lo], x[hi]) for x in at)
+            key = np.concatenate([2 * group[0][a], 2 * group[1][b] + 1])
+            order = np.argsort(key, kind="stable")
+            ids, key = np.concatenate([self.a[a], self.b[b]])[order], key[order]
+            last = np.append(key[1:] != key[:-1], True)[: len(key)]  # of its kind in its group
+            after = np.where(~last, 0, np.where(key % 2 == 0, 1, np.where(ends_segment[key // 2], 3, 2)))
+            made = iter("".join([str(i) + ",|;\n"[k] for i, k in zip(ids.tolist(), after.tolist())]).split("\n"))
+            out += [next(made) if n else "" for n in self.n_groups[lo:hi].tolist()]
+        return out
 
 
 def _in_order(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -279,14 +280,16 @@ def _linked_texts(seq: np.ndarray, first: np.ndarray, whole: np.ndarray, made: A
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row."""
     paths, kind = (a_path, b_path), docs.schema[id_col].dataType.simpleString()
-    blocks = zipped(cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), paths, kind), "blocks")
+    both = pair(*paths)
+    sizes = tuple(np.array([len(x) for x in t], np.int64) for t in (both.a_bytes, both.b_bytes))  # a number for each id
+    blocks = zipped(cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), both.spaces, kind), "blocks")
     total = blocks.agg(F.sum("n_segments")).first()[0] or 0
     tokens = tokenised(blocks, paths, total // BUCKET + 1)
 
     def opened(t: pa.Table, known: pa.Table) -> tuple:
         row = {c: t.column(c)[0] for c in t.column_names}
         seq, first = unsqueezed(row["seq"].as_py()), np.array(row["first"].as_py(), np.int64)
-        made = Aligned(row["n_segments"].as_py(), known, pair(*paths))
+        made = Aligned(row["n_segments"].as_py(), known, sizes)
         return row, seq, first, _whole(seq, first, made.n_a > 0), made
 
     def count(t: pa.Table, known: pa.Table) -> pa.Table:
