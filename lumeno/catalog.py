@@ -1075,3 +1075,72 @@ def tree_paragraph_boxes(spark, sf):
     e = tree(spark, sf)
     made = paragraphs.paragraphs(e, text_rects(e)).drop("width_chars")
     return made.withColumns({c: F.round(c, 6) for c in ("l", "t", "r", "b", "lines_width")})
+
+
+# Small rules
+
+
+@query("SELECT p_partkey, replace(replace(replace(replace('$$c(' || p_name || ');$$r(a);$$w(1);$$(b)', '$$c(', 'addCssF('), '$$r(', '$.remove('), '$$w(', '$.wait('), '$$(', '$(') AS script FROM part")
+def script_short_hands(spark, sf):
+    """Short-hands of page scripts written out."""
+    p = read(spark, sf, "part")
+    return p.select("p_partkey", T.short_hands(F.concat(F.lit("$$c("), "p_name", F.lit(");$$r(a);$$w(1);$$(b)"))).alias("script"))
+
+
+@query("SELECT DISTINCT p_brand AS prim_set FROM part WHERE p_size % 2 = 0")
+def primitive_set_names(spark, sf):
+    """Sets that matrix files are named after, of those that are text files."""
+    end = F.when(F.col("p_size") % 2 == 0, ".txt").otherwise(".bin")
+    return tables.primitive_sets(read(spark, sf, "part").select(F.concat(F.lit("mtx/run/"), F.col("p_brand"), F.lit("_"), F.col("p_size").cast("string"), end).alias("path")))
+
+
+@query(f"""WITH {R}, {TREE}, s AS (SELECT page_id, el_id, 'top' AS side, el_id % 3 AS w, 1.0 AS a, 200 AS c FROM t UNION ALL SELECT page_id, el_id, 'right', 2, CASE WHEN m = 0 THEN 0.0 ELSE 1.0 END, 100 FROM t
+    UNION ALL SELECT page_id, el_id, 'bottom', 1, 1.0, 103 FROM t UNION ALL SELECT page_id, el_id, 'left', m, 1.0, 100 FROM t)
+    SELECT s.page_id, s.el_id, side, CAST(w AS DOUBLE) AS width FROM s JOIN t ON t.page_id = s.page_id AND t.el_id = s.el_id WHERE w > 0 AND a >= 0.05 AND (t.el_id % 4 = 0 OR abs(c - 100) * 3 > 15.3)""")
+def tree_bordered(spark, sf):
+    """Sides of borders that can be seen (F21): clear ones and those of the color inside can't, unless the inside is clear."""
+    k, m = F.col("el_id"), F.col("page_id") % 5
+    color = lambda v, a: F.array(*[F.lit(float(v))] * 3, a)
+    e = tree(spark, sf).withColumns({
+        "border_widths": F.array((k % 3).cast("double"), F.lit(2.0), F.lit(1.0), m.cast("double")),
+        "border_colors": F.array(color(200, F.lit(1.0)), color(100, F.when(m == 0, 0.0).otherwise(1.0)), color(103, F.lit(1.0)), color(100, F.lit(1.0))),
+        "bg_color": color(100, F.when(k % 4 == 0, 0.0).otherwise(1.0)),
+    })
+    return snapshot.bordered(e)
+
+
+@query(f"{WITH_UP} SELECT u.page_id, u.el_id, arg_min(u.anc_id, u.dist) AS from_id, 's' || arg_min(u.anc_id, u.dist) AS style FROM up u WHERE (u.page_id + u.anc_id) % 4 = 0 GROUP BY 1, 2")
+def tree_inherited_style(spark, sf):
+    """The recorded style of the nearest element that has one."""
+    e = tree(spark, sf)
+    styles = e.where((F.col("page_id") + F.col("el_id")) % 4 == 0).select("page_id", "el_id", F.concat(F.lit("s"), F.col("el_id").cast("string")).alias("style"))
+    return snapshot.inherited_style(e, styles)
+
+
+@query(f"WITH {R}, {TREE} SELECT page_id, el_id, 'f' || el_id AS machine_id, el_id * 2 AS frame_id FROM t WHERE tag = 'section' AND el_id % 3 <> 0")
+def tree_frame_records(spark, sf):
+    """Elements that show a frame with its record, by machine id."""
+    e = tree(spark, sf).select("page_id", "el_id", "tag", F.concat(F.lit("f"), F.col("el_id").cast("string")).alias("machine_id"))
+    records = e.where("el_id % 3 <> 0").select("page_id", "machine_id", (F.col("el_id") * 2).alias("frame_id"))
+    return frames.frame_records(e.where("tag = 'section'").select("page_id", "el_id", "machine_id"), records)
+
+
+@query(f"WITH {R}, h AS (SELECT page_id, 'h' || ((page_id + el_id * el_id) % 3) || '.com' AS host, count(*) AS n, min(el_id) AS f FROM r WHERE el_id % 5 <> 0 GROUP BY 1, 2) SELECT page_id, host FROM h QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, f) = 1")
+def common_hosts(spark, sf):
+    """The host that most links of a page have, of equal ones the first (A3)."""
+    k = F.col("el_id")
+    href = F.concat(F.when(k % 5 != 0, "http://h").otherwise("mailto:h"), ((F.col("page_id") + k * k) % 3).cast("string"), F.lit(".com/a/b"))
+    return dom.common_host(rects(spark, sf).select("page_id", "el_id", href.alias("href")))
+
+
+@query(f"WITH {R} SELECT x.page_id, x.el_id AS a_id, y.el_id AS b_id FROM r x JOIN r y ON x.page_id = y.page_id AND x.el_id < y.el_id AND abs(x.l - y.l) <= 150 AND abs(x.t - y.t) <= 150 AND abs(x.r - y.r) <= 150 AND abs(x.b - y.b) <= 150")
+def similar_boxes(spark, sf):
+    """Pairs of a page's boxes whose sides differ by 150 at most."""
+    r = rects(spark, sf)
+    return boxes.pairs(r, ordered=False).where(G.same_box("a_", "b_", 150)).select("page_id", "a_id", "b_id")
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_retailprice < 1500 THEN p_retailprice ELSE 1000 END AS DOUBLE) AS width FROM part")
+def sane_widths(spark, sf):
+    """Scroll widths, or the window's where they are one and a half times that or more."""
+    return read(spark, sf, "part").select("p_partkey", G.sane_width(F.col("p_retailprice"), F.lit(1000.0)).cast("double").alias("width"))

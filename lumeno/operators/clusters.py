@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The largest core scatter by split depth, as published.
 CORE_SCATTER = (0.64, 0.73, 0.82, 0.91, 0.95)
+#: The share of merges below the one whose height limits count from.
+REFERENCE = 0.05
 LABELS = "page_id long, method string, el_id int, label int"
 
 
@@ -115,43 +117,75 @@ def ward(d: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
+class _Branch:
+    """A branch of a dendrogram while it grows: its elements in the order in which they joined, or, once it holds clusters, none of its own."""
+
+    def __init__(self, els: list[int], whole: bool = False):
+        self.els, self.whole, self.open, self.end = els, whole, not whole, None
+
+    def scatter(self, d: np.ndarray, least: int) -> float:
+        """Mean distance within the core: the elements that joined first, half the least size and one, and the root of how many more there are."""
+        base = least / 2 + 1
+        core = self.els[: int(base + np.sqrt(len(self.els) - base)) if base < len(self.els) else len(self.els)]
+        return float(d[np.ix_(core, core)].sum() / (len(core) * (len(core) - 1))) if len(core) > 1 else 0.0
+
+
 def hybrid_cut(merges: list[tuple[int, int, float]], d: np.ndarray, share: float = 0.95, least: int = 2, deep: int = 1) -> np.ndarray:
     """Labels by bottom-up dynamic branch cutting without reassignment (after Langfelder, Zhang and Horvath 2008), 0: none.
 
-    Merges below share * highest one grow branches. Where two branches meet that both are clusters (at least `least`
-    elements, a core scatter below the allowed one and a gap above it that is large enough), both are closed; else they
-    go on as one. Labels count clusters by size. `deep` is the published split depth, 0 to 4, which sets both limits.
+    Merges up to share * highest one grow branches. Where two branches meet, each is a cluster if it has `least` elements,
+    its core scatters no more than allowed and lies far enough below this merge. One that isn't goes into the other; if
+    both are, or hold clusters already, they end there, and what holds them goes on without elements of its own. Branches that never met
+    another one end at the cut. Limits count from the height of the merge at a twentieth of all, `deep` is the published split
+    depth, 0 to 4. Labels count clusters by size, equal ones in the order in which they began.
     """
-    n = len(d)
-    if not merges:
-        return np.zeros(n, int)
-    heights = [m[2] for m in merges]
-    top, low = share * max(heights), float(np.quantile(heights, 0.05))
+    n, heights = len(d), [m[2] for m in merges]
+    labels = np.zeros(n, int)
+    if not merges or sum(h <= share * max(heights) for h in heights) < least:
+        return labels
+    top, low = share * max(heights), heights[max(1, round(len(heights) * REFERENCE)) - 1]
     most_scatter, least_gap = low + CORE_SCATTER[deep] * (top - low), (1 - CORE_SCATTER[deep]) * 0.75 * (top - low)
-    branch: dict[int, dict] = {k: {"els": [k], "last": 0.0} for k in range(n)}
-    done: list[list[int]] = []
 
-    def is_cluster(b: dict, h: float) -> bool:
-        els = b["els"]
-        if len(els) < least:
-            return False
-        core = els[: max(2, int(least / 2 + 1 + np.sqrt(max(0, len(els) - least / 2 - 1))))]
-        scatter = float(np.mean([d[x, y] for x in core for y in core if x < y]))
-        return scatter <= most_scatter and h - scatter >= least_gap
+    def fails(b: _Branch, h: float) -> bool:
+        inner = b.scatter(d, least)
+        return len(b.els) < least or inner > most_scatter or h - inner < least_gap
 
+    at: dict[int, int | _Branch] = dict(enumerate(range(n)))  # an element, or the branch that a cluster of merges is
+    begun: list[_Branch] = []
     for k, (x, y, h) in enumerate(merges):
-        a, b = branch.pop(x, None), branch.pop(y, None)
-        if h > top or a is None or b is None:
-            done += [c["els"] for c in (a, b) if c and is_cluster(c, top)]
+        if h > top:
+            break
+        a, b = at[x], at[y]
+        if isinstance(a, int) or isinstance(b, int):
+            if isinstance(a, int) and isinstance(b, int):
+                grown = _Branch([a, b])
+                begun.append(grown)
+            else:
+                grown, one = (b, a) if isinstance(a, int) else (a, b)
+                grown.els.append(one)
+            at[n + k] = grown
             continue
-        if is_cluster(a, h) and is_cluster(b, h):
-            done += [a["els"], b["els"]]
+        small, large = sorted((a, b), key=lambda z: len(z.els))  # stable: of equal ones the first is the small one
+        goes = next((z for z in (small, large) if not z.whole and fails(z, h)), None)
+        if goes is not None:
+            other = large if goes is small else small
+            goes.open = False
+            other.els += goes.els
+            at[n + k] = other
             continue
-        big, small = (a, b) if len(a["els"]) >= len(b["els"]) else (b, a)
-        branch[n + k] = {"els": big["els"] + small["els"], "last": h}
-    done += [b["els"] for b in branch.values() if len(b["els"]) < n and is_cluster(b, top)]
-    labels = np.zeros(n, int)
-    for k, els in enumerate(sorted(done, key=lambda e: (-len(e), min(e))), 1):
+        for z in (small, large):
+            z.end = h if z.end is None else z.end
+        if large.whole or small.whole:
+            at[n + k] = large if large.whole else small
+        else:
+            at[n + k] = _Branch([], whole=True)
+    found = []
+    for b in begun:
+        if b.open and len(b.els) >= least:
+            inner, end = b.scatter(d, least), top if b.end is None else b.end
+            if inner < most_scatter and end - inner > least_gap:
+                found.append(b.els)
+    for k, els in enumerate(sorted(found, key=lambda e: -len(e)), 1):
         labels[els] = k
     return labels
 
