@@ -1144,3 +1144,28 @@ def similar_boxes(spark, sf):
 def sane_widths(spark, sf):
     """Scroll widths, or the window's where they are one and a half times that or more."""
     return read(spark, sf, "part").select("p_partkey", G.sane_width(F.col("p_retailprice"), F.lit(1000.0)).cast("double").alias("width"))
+
+
+# Frames and shadow trees
+
+
+@query(f"""WITH RECURSIVE {R}, {TREE}, f AS (SELECT page_id, el_id AS frame_id, l, top AS t FROM t WHERE parent_id IS NULL UNION ALL SELECT t.page_id, t.el_id, t.l + f.l, t.top + f.t FROM t JOIN f ON f.page_id = t.page_id AND f.frame_id = t.parent_id)
+    SELECT t.page_id, CASE WHEN t.el_id % 3 = 0 THEN t.el_id || '' ELSE (t.el_id - 1) || '/' || t.el_id END AS key, round(t.l + CASE WHEN t.el_id % 3 = 0 THEN 0 ELSE f.l END, 6) AS l, round(t.top + CASE WHEN t.el_id % 3 = 0 THEN 0 ELSE f.t END, 6) AS t, round(t.r + CASE WHEN t.el_id % 3 = 0 THEN 0 ELSE f.l END, 6) AS r, round(t.b + CASE WHEN t.el_id % 3 = 0 THEN 0 ELSE f.t END, 6) AS b
+    FROM t LEFT JOIN f ON f.page_id = t.page_id AND f.frame_id = t.el_id - 1""")
+def frame_rectangles(spark, sf):
+    """Rectangles of nested frames in the coordinates of their page (C19): two in three stand in the frame before them."""
+    e, k = tree(spark, sf), F.col("el_id")
+    offsets = frames.absolute_frames(e.select("page_id", k.alias("frame_id"), "parent_id", "l", "t"))
+    made = frames.in_page(e.select("page_id", F.when(k % 3 != 0, k - 1).alias("frame_id"), "el_id", *"ltrb"), offsets)
+    return made.select("page_id", "key", *[F.round(c, 6).alias(c) for c in "ltrb"])
+
+
+@query("""SELECT p_partkey AS page_id, 'name ' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'unknown' END || ' end' || CASE WHEN p_size % 3 = 0 THEN ' rest' ELSE '' END AS text FROM part""")
+def shadow_text(spark, sf):
+    """The text of pages with a declarative shadow root as it is rendered (S9): half of them fill the slot that has a name, a third the one without."""
+    p = read(spark, sf, "part")
+    named = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<b slot='n'>"), "p_name", F.lit("</b>"))).otherwise(F.lit("<b slot='none'>lost</b>"))
+    rest = F.when(F.col("p_size") % 3 == 0, F.lit("<i> rest</i>")).otherwise("")
+    page = F.concat(F.lit("<x-card>"), rest, F.lit("<template shadowrootmode='open'><p>name </p><slot name='n'><u>unknown</u></slot><p> end</p><slot></slot></template>"), named, F.lit("</x-card>"))
+    e = html.parse_shadow(p.select(F.col("p_partkey").alias("page_id"), page.alias("html"))).where("size(own_text) > 0")
+    return e.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", F.array_join("own_text", "").alias("x")))), lambda v: v["x"]), "").alias("text"))

@@ -268,3 +268,15 @@ def groups(labels: DataFrame, found: DataFrame) -> DataFrame:
     keys = ["page_id", "method", "label"]
     made = labels.where("label > 0").groupBy(*keys).agg(F.sort_array(F.collect_list("el_id")).alias("els")).join(found, keys, "left")
     return made.select("page_id", "method", F.concat(F.lit("ClustID_"), F.col("label").cast("string")).alias("group_id"), F.col("root_el").isNotNull().alias("has_root"), "root_el", F.when(F.col("root_el").isNull(), F.col("els")).alias("els"))
+
+
+def with_frames(made: DataFrame, iframes: DataFrame) -> DataFrame:
+    """Groups (as of groups()) and, for each method of their page, the stand-alone frames (page_id, el_id) as groups of one element that is its own root.
+
+    Their ids go on from the largest one of the clusters, in order of the elements (C19).
+    """
+    number = F.regexp_extract("group_id", r"(\d+)$", 1).cast("int")
+    last = made.groupBy("page_id", "method").agg(F.max(number).alias("_last"))
+    alone = iframes.select("page_id", "el_id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("page_id").orderBy("el_id")))
+    more = last.join(alone, "page_id").select("page_id", "method", F.concat(F.lit("ClustID_"), (F.col("_last") + F.col("_k")).cast("string")).alias("group_id"), F.lit(True).alias("has_root"), F.col("el_id").cast("int").alias("root_el"), F.lit(None).cast("array<int>").alias("els"), F.lit(True).alias("frame"))
+    return made.withColumns({"root_el": F.col("root_el").cast("int"), "els": F.col("els").cast("array<int>"), "frame": F.lit(False)}).unionByName(more)

@@ -28,6 +28,26 @@ def absolute_frames(frames: DataFrame) -> DataFrame:
     return known
 
 
+#: Frames up to this many square pixels count as primitives, larger ones as groups of their own (fixed value).
+LARGEST_PRIMITIVE = 150 * 30
+
+
+def in_page(rects: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Rectangles of all frames in the coordinates of their page: page_id, frame_id (null: the page itself), el_id, l, t, r, b and a key that is
+    the element's alone on the page. offsets are those of absolute_frames; rectangles of frames without one are left out."""
+    at = offsets.select("page_id", "frame_id", F.col("l").alias("_l"), F.col("t").alias("_t"))
+    key = F.when(F.col("frame_id").isNull(), F.col("el_id").cast("string")).otherwise(F.concat_ws("/", F.col("frame_id").cast("string"), F.col("el_id").cast("string")))
+    moved = rects.where("frame_id IS NOT NULL").join(at, ["page_id", "frame_id"])
+    moved = moved.withColumns({"l": F.col("l") + F.col("_l"), "r": F.col("r") + F.col("_l"), "t": F.col("t") + F.col("_t"), "b": F.col("b") + F.col("_t")})
+    both = rects.where("frame_id IS NULL").unionByName(moved.select(*rects.columns))
+    return both.select("page_id", "frame_id", "el_id", key.alias("key"), *"ltrb")
+
+
+def frame_kinds(iframes: DataFrame) -> DataFrame:
+    """Frames with alone: whether they are groups of their own instead of primitives, by their size."""
+    return iframes.withColumn("alone", (F.col("r") - F.col("l")) * (F.col("b") - F.col("t")) > LARGEST_PRIMITIVE)
+
+
 def frame_records(iframes: DataFrame, frames: DataFrame) -> DataFrame:
     """Each iframe element with the record of its frame by machine id (N7); iframes without one are left out."""
     return iframes.join(frames, ["page_id", "machine_id"])

@@ -80,6 +80,66 @@ def tree(html: str) -> list[tuple]:
     return [(k, *row) for k, row in enumerate(t.rows)]
 
 
+def flattened(rows: list[tuple]) -> list[tuple]:
+    """Rows of tree() as they are rendered with declarative shadow roots (S9): el_id, parent_id, tag, pre, post, depth, own_text, attrs, host_id.
+
+    The first template of an element with shadowrootmode is its shadow root: what it holds stands in the element instead of the element's own
+    children, which go to the root's slots of their name (the first one of a name; no name: the one without). A slot without any keeps what it holds; children
+    without a slot aren't rendered. host_id is the element whose shadow tree a row belongs to.
+    """
+    kids: dict[int | None, list[int]] = {}
+    for r in rows:
+        kids.setdefault(r[1], []).append(r[0])
+    roots: dict[int, int] = {}
+    for r in rows:
+        if r[2] == "template" and "shadowrootmode" in r[7] and r[1] is not None:
+            roots.setdefault(r[1], r[0])
+    made: list[tuple] = []
+    clock = 0
+    #: What is still to be done: an element with its parent, depth, host and the children that wait for its host's slots, or the end of one.
+    todo: list[tuple] = [(k, None, 0, None, {}) for k in reversed(kids.get(None, []))]
+    while todo:
+        k, parent, depth, host, waiting = todo.pop()
+        if parent == "end":
+            made[k] = (*made[k][:4], clock, *made[k][5:])
+            clock += 1
+            continue
+        r = rows[k]
+        made.append((k, parent, r[2], clock, None, depth, r[6], r[7], host))
+        clock += 1
+        todo.append((len(made) - 1, "end", 0, None, {}))
+        if k in roots:
+            given: dict[str, list[tuple]] = {}
+            for c in kids.get(k, []):
+                if c != roots[k]:
+                    given.setdefault(rows[c][7].get("slot", ""), []).append((c, host, waiting))
+            below = [(c, k, depth + 1, k, given) for c in kids.get(roots[k], [])]
+        else:
+            taken = waiting.pop(r[7].get("name", ""), None) if r[2] == "slot" and host is not None else None
+            below = [(c, k, depth + 1, h, w) for c, h, w in taken] if taken else [(c, k, depth + 1, host, waiting) for c in kids.get(k, [])]
+        todo += reversed(below)
+    return made
+
+
+def parse_shadow(pages: DataFrame) -> DataFrame:
+    """Element rows of pages as rendered, with host_id: the element whose declarative shadow root a row stands in. Templates that are no shadow roots keep what they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                up: dict[int, list[int]] = {}
+                rows = []
+                for k, parent, *rest, host in flattened(tree(html or "")):
+                    up[k] = [*up.get(parent, []), k]
+                    rows.append((page, k, parent, *rest[:-1], list(rest[-1].items()), up[k], host))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    names = ["page_id", "el_id", "parent_id", "tag", "pre", "post", "depth", "own_text", "attrs", "path", "host_id"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.list_(pa.int32()), pa.int32()]
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, ELEMENTS + ", host_id int")
+
+
 def parse(pages: DataFrame) -> DataFrame:
     """Element rows of pages (page_id, html); null html gives none."""
 
