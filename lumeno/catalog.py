@@ -1169,3 +1169,21 @@ def shadow_text(spark, sf):
     page = F.concat(F.lit("<x-card>"), rest, F.lit("<template shadowrootmode='open'><p>name </p><slot name='n'><u>unknown</u></slot><p> end</p><slot></slot></template>"), named, F.lit("</x-card>"))
     e = html.parse_shadow(p.select(F.col("p_partkey").alias("page_id"), page.alias("html"))).where("size(own_text) > 0")
     return e.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", F.array_join("own_text", "").alias("x")))), lambda v: v["x"]), "").alias("text"))
+
+
+# Named sets of primitives
+
+_OUT = "NOT EXISTS (SELECT 1 FROM up u JOIN t x ON x.page_id = u.page_id AND x.el_id = u.anc_id WHERE u.page_id = s.page_id AND u.el_id = s.el_id AND {})"
+
+
+@query(f"""{WITH_UP}, g AS (SELECT *, tag IN ('img', 'svg') AS real FROM t WHERE tag IN ('img', 'svg') OR pictured),
+    s AS (SELECT page_id, el_id, 'txt' AS family, true AS plain FROM t WHERE {HAS_TEXT} AND font_size > 3 UNION ALL SELECT page_id, el_id, 'cntrl', true FROM t WHERE tag IN ('input', 'button')
+        UNION ALL SELECT page_id, el_id, 'cntrl', false FROM t WHERE el_id % 5 = 4 AND tag NOT IN ('input', 'button') UNION ALL SELECT page_id, el_id, 'graphic', true FROM g WHERE real OR {UI} OR {ICON}
+        UNION ALL SELECT page_id, el_id, 'edge', true FROM t WHERE el_id % 6 = 1)
+    SELECT s.*, CASE family WHEN 'txt' THEN {_OUT.format("x.el_id % 5 = 4 AND x.tag NOT IN ('input', 'button')")} WHEN 'graphic' THEN {_OUT.format("(x.el_id % 5 = 4 OR x.tag IN ('input', 'button'))")} ELSE true END AS grouped
+    FROM s WHERE {_OUT.format("x.position = 'sticky' AND x.tag = 'div'")}""")
+def tree_primitive_sets(spark, sf):
+    """Primitives with and without computed controls, outside overlays."""
+    e = tree(spark, sf)
+    computed = e.where("el_id % 5 = 4 AND tag NOT IN ('input', 'button')")
+    return snapshot.primitive_sets(e, computed, edged=e.where("el_id % 6 = 1"), overlays=e.where("position = 'sticky' AND tag = 'div'"))

@@ -149,6 +149,29 @@ def primitives(elements: DataFrame) -> DataFrame:
     return texts.unionByName(pics).unionByName(both)
 
 
+def primitive_sets(elements: DataFrame, computed: DataFrame, icons: DataFrame | None = None, edged: DataFrame | None = None, overlays: DataFrame | None = None) -> DataFrame:
+    """page_id, el_id, family (txt, graphic, cntrl, edge), plain, grouped: the elements of both named sets.
+
+    plain is text, native controls and graphics. grouped knows computed controls: text outside them, graphics outside any control, and all
+    controls. Icons of pseudo elements (F20) are graphics; edged elements, with a border or a background of their own (F21, F22), are in
+    both sets; with overlays, what stands in one is in none. An element may be of several families.
+    """
+    keys = ["page_id", "el_id"]
+    native = dom.native_controls(elements)
+    pics = graphics(elements).where("kind <> 'bg.main'").select(*keys)
+    pics = pics if icons is None else pics.unionByName(icons.select(*keys)).distinct()
+    made = visible_text(elements).select(*keys, F.lit("txt").alias("family")).unionByName(native.select(*keys, F.lit("cntrl").alias("family"))).unionByName(pics.select(*keys, F.lit("graphic").alias("family")))
+    made = made.withColumn("plain", F.lit(True)).unionByName(computed.select(*keys, F.lit("cntrl").alias("family"), F.lit(False).alias("plain")))
+    if edged is not None:
+        made = made.unionByName(edged.select(*keys, F.lit("edge").alias("family"), F.lit(True).alias("plain")))
+    made = made.groupBy(*keys, "family").agg(F.bool_or("plain").alias("plain"))
+    within = lambda of, name: dom.inside(elements, of).select(*keys, F.lit(True).alias(name))
+    made = made.join(within(computed, "_computed"), keys, "left").join(within(native.select(*keys).unionByName(computed.select(*keys)), "_control"), keys, "left")
+    stays = F.when(F.col("family") == "txt", F.col("_computed").isNull()).when(F.col("family") == "graphic", F.col("_control").isNull()).otherwise(F.lit(True))
+    made = made.withColumn("grouped", stays).drop("_computed", "_control").where("plain OR grouped")
+    return made if overlays is None else made.join(within(overlays, "_over").drop("_over"), keys, "left_anti")
+
+
 def full_window(elements: DataFrame, page_width: float = 1440, page_height: float = 900) -> DataFrame:
     """Ids of graphics as large as the window and as the document, by page."""
     g = graphics(elements)
