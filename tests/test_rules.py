@@ -118,3 +118,15 @@ def test_three_groups_on_a_line():
     y = np.array([0, 0.1, 0.2, 5, 5.1, 5.2, 20, 20.1, 20.2])[:, None]
     labels = clusters.hybrid_cut(clusters.ward(np.abs(y - y.T)), np.abs(y - y.T)).reshape(3, 3)
     assert (labels == labels[:, :1]).all() and sorted(labels[:, 0].tolist()) == [1, 2, 3]
+
+
+def test_derived_sets_are_made_again_after_release(spark):
+    from lumeno.operators import groups
+    from lumeno.plans.shared import release
+    from lumeno.sources import snapshots
+
+    pages = spark.createDataFrame([(1, "<html><body data-box='0,0,1440,2000'><div data-box='0,0,1440,100'>top</div><p data-box='0,200,900,220'>text</p></body></html>")], "page_id long, html string")
+    e = snapshots.from_pages(pages)
+    before = groups.headers(e).count()
+    release(spark)
+    assert groups.headers(e).count() == before == 1
