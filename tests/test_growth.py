@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumeno import catalog
-from lumeno.operators import boxes, clusters
+from lumeno.operators import boxes, clusters, dom
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,33 @@ def test_elements_are_not_broadcast_by_the_size_of_their_files(spark, name):
     assert "Join" in got and "BroadcastHashJoin" not in got
 
 
+def test_paths_of_pages_across_batches(spark):
+    rng, rows, want = np.random.default_rng(1), [], {}
+    for p in range(40):
+        n = int(rng.choice([1, 2, 3, 9, 30]))
+        up = {2 * k: (None if k == 0 or rng.random() < 0.1 else 2 * int(rng.integers(k))) for k in range(n)}
+        up[0] = None if p % 3 else 1001  # a parent that isn't there
+        for k in up:
+            path, x = [], k
+            while x is not None:
+                path.append(x)
+                x = up.get(x)
+            want[f"p{p}", k] = path[::-1]
+            rows.append((f"p{p}", k, up[k]))
+    e = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "page_id string, el_id int, parent_id int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = dom.paths(e)
+        assert "FlatMapGroups" not in plan(made) and {(r.page_id, r.el_id): r.path for r in made.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_an_element_above_itself_is_an_error(spark):
+    with pytest.raises(Exception, match="its own ancestor"):
+        dom.paths(spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "page_id long, el_id int, parent_id int")).collect()
+
+
 def test_clusters_and_gaps_of_small_pages_without_a_call_each(spark):
     rng = np.random.default_rng(2)
     want, rows, kids, areas = {}, [], [], {}
