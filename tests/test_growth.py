@@ -79,3 +79,12 @@ def test_few_elements_are_clustered_as_many_are(n):
         s = np.maximum(d, d.T) ** 2
         np.fill_diagonal(s, np.inf)
         assert clusters._chains_of_few(s.tolist()) == clusters._chains(s.copy())
+
+
+def test_sheets_in_common_go_to_their_pages(spark):
+    from lumeno.sources import css
+
+    sheets = spark.createDataFrame([(p, 0, "a > b { x: y } .c:hover { x: y }" if p % 4 else "i { x: y }", None if p % 5 else "print") for p in range(50)], "page_id long, sheet int, css string, media string").coalesce(1)
+    got = [(r.page_id, r.sel_id, r.selector, r.hover) for r in css.compile_sheets(sheets).collect()]
+    want = [(p, n, s, h) for p in range(50) if p % 5 for n, (s, h) in enumerate([("a > b", False), (".c:hover", True)] if p % 4 else [("i", False)])]
+    assert sorted(got) == want
