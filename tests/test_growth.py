@@ -20,6 +20,17 @@ def test_elements_are_not_broadcast_by_the_size_of_their_files(spark, name):
     assert "Join" in got and "BroadcastHashJoin" not in got
 
 
+def test_main_text_needs_no_closure_of_all_elements(spark, monkeypatch):
+    """Links, bars and texts bring their own paths, for menus and forms too, which main_text leaves out."""
+
+    def closure(*args, **kwargs):
+        raise AssertionError("the paths of all elements are exploded")
+
+    monkeypatch.setattr(dom, "closure", closure)
+    want = {r.p_partkey: 1 for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    assert {r.page_id: r.n for r in catalog.QUERIES["site_main_text"](spark, SF).collect()} == want
+
+
 def test_paths_of_pages_across_batches(spark):
     rng, rows, want = np.random.default_rng(1), [], {}
     for p in range(40):
