@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumeno.operators import bars, dom
+from lumeno.plans.shared import written
 
 #: By how much an element may be larger than the control it outlines (fixed value).
 MOST_LARGER = 0.1
@@ -42,10 +43,11 @@ def checked(elements: DataFrame, controls: DataFrame, logos: DataFrame, menus: D
     """
     e = dom.paths(elements)
     ids = controls.select(*KEYS).distinct()
-    free = ids.join(_within(e, ids, logos), KEYS, "left_anti").join(_holders(e, logos, ids), KEYS, "left_anti")
-    words = _holders(e, texts, free).join(_holders(e, pictures, free), KEYS, "left_anti")
+    # Sets that are read several times are written, else each reading makes them anew.
+    free = written(ids.join(_within(e, ids, logos), KEYS, "left_anti").join(_holders(e, logos, ids), KEYS, "left_anti"), "free")
+    words = written(_holders(e, texts, free).join(_holders(e, pictures, free), KEYS, "left_anti"), "words")
     kept = words.join(_within(e, words, menus).unionByName(_holders(e, edged, words).select(*KEYS)).distinct(), KEYS, "left_semi")
-    bare = words.join(kept, KEYS, "left_anti")
+    bare = written(words.join(kept, KEYS, "left_anti"), "bare")
     new = outlines(e, bare, edged).select("page_id", F.col("edge_id").alias("el_id"))
-    found = free.join(bare, KEYS, "left_anti").unionByName(new).distinct()
+    found = written(free.join(bare, KEYS, "left_anti").unionByName(new).distinct(), "found")
     return dom.outermost(elements.join(found, KEYS, "left_semi"))

@@ -99,3 +99,13 @@ def test_sheets_in_common_go_to_their_pages(spark):
     got = [(r.page_id, r.sel_id, r.selector, r.hover) for r in css.compile_sheets(sheets).collect()]
     want = [(p, n, s, h) for p in range(50) if p % 5 for n, (s, h) in enumerate([("a > b", False), (".c:hover", True)] if p % 4 else [("i", False)])]
     assert sorted(got) == want
+
+
+def test_checked_controls_make_their_sets_once(spark):
+    import duckdb
+
+    made = catalog.QUERIES["tree_checked_controls"](spark, SF)
+    assert plan(made).count("Exchange") < 12
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    assert sorted((r.page_id, r.el_id) for r in made.collect()) == sorted(db.execute(catalog.ORACLES["tree_checked_controls"]).fetchall())
