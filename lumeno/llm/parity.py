@@ -15,8 +15,8 @@ its halves, so that sketches of any two sizes can be compared. Both facts are us
 
 What is left is verified on the sets. Texts with equal sets are one from the start. Each set is compared with the first one of its
 keys first, which connects most copies; then all pairs with a common key that are not in one component yet, likeliest first.
-Keys that many unlike sets share are divided by their rarest runs (a prefix filter, as exact), and their pairs dealt to tasks
-in blocks. So components are those of all links; no pair that may connect two components is left out, and none is capped.
+Keys that many unlike sets share are divided by their rarest runs (a prefix filter, as exact; runs that no two of these sets
+have in common are left out by a filter of fixed size), and their pairs dealt to tasks in blocks. So components are those of all links; no pair that may connect two components is left out, and none is capped.
 
 Defined results: null and empty texts have no runs, n_shingles 0, and are linked with nothing, not even with each other; texts of
 fewer than five words are one run; repeated rows are linked; null ids count as larger than all others; an empty table gives
@@ -40,6 +40,8 @@ from lumeno.llm.wordhash import P1, P2, Words, blocks, mix, runs
 K, LEAST, KEYS, SINGLE = 5, 80, 48, 64
 #: Longer lists of candidates are dealt to so many slots.
 LIST, SLOTS = 4096, 1024
+#: Bits of the filter of shared runs, and how many of them are put together by one task.
+SEEN, SLICE = 1 << 24, 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -238,9 +240,49 @@ def possible(rows: pa.Table, least: int) -> pa.Table:
     return pa.table([*(pa.array(c[at]) for c in (*pairs[:3], slot)), pa.ListArray.from_arrays(ends, pa.array(pairs[4]))], names=["a", "root_a", "root_b", "slot", "others"])
 
 
+def _place(g: np.ndarray) -> np.ndarray:
+    """The bit of each run in the filter of shared runs."""
+    return (mix(g + np.uint64(P2)) % np.uint64(SEEN)).astype(np.int64)
+
+
+def shared_runs(texts: DataFrame) -> np.ndarray:
+    """SEEN bits, packed: those of the runs that two or more of the texts (words) have. Other runs may share a bit of these, which loses none.
+
+    Each task reports for each slice of the filter which bits it has seen once and more often, so its reports don't grow with its rows.
+    """
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, more = np.zeros(SEEN, bool), np.zeros(SEEN, bool)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                at = np.sort(_place(runs_of(raw)))
+                more[at[1:][at[1:] == at[:-1]]] = True
+                more[at[once[at]]] = True
+                once[at] = True
+        used = np.flatnonzero(once.reshape(-1, SLICE).any(axis=1)).tolist()
+        bits = lambda x: pa.array([np.packbits(x[k * SLICE : (k + 1) * SLICE], bitorder="little").tobytes() for k in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), bits(once), bits(more)], names=["slice", "once", "more"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        once, more = (np.zeros(SLICE // 8, np.uint8) for _ in range(2))
+        for a, b in zip(rows["once"], rows["more"]):
+            a, b = (np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b))
+            more |= b | (once & a)
+            once |= a
+        return pa.table([rows["slice"][:1], pa.array([more.tobytes()], pa.binary())], names=["slice", "more"])
+
+    made = texts.select("words").mapInArrow(report, "slice int, once binary, more binary").groupBy("slice").applyInArrow(merge, "slice int, more binary")
+    bits = np.zeros((SEEN // SLICE, SLICE // 8), np.uint8)
+    for r in made.toLocalIterator():  # SEEN bits at most
+        bits[r["slice"]] = np.frombuffer(r["more"], np.uint8)
+    return bits.ravel()
+
+
 def prefixes(hot: DataFrame, facts: DataFrame, least: int) -> DataFrame:
     """bucket (a run), rid, root of the sets in hot (rid, root): the rarest of a set's runs, one more than two linked sets may differ in on one side.
 
+    Of these only the runs that another set has as well: no others are common to two sets.
+
     Rarity is by counters of fixed number over the runs of these sets, of which each task reports its largest; any order that all sets agree on is exact.
     """
     texts = written(_of(facts, hot.select(F.col("rid").alias("a"), F.col("rid").alias("b"))).select("rid", "words").join(hot, "rid"), "texts")
@@ -257,15 +299,18 @@ def prefixes(hot: DataFrame, facts: DataFrame, least: int) -> DataFrame:
     counts = np.zeros(COUNTERS, np.int64)
     for r in texts.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
         counts[r["slot"]] = r["n"]
-    shared = hot.sparkSession.sparkContext.broadcast(counts)
+    shared = hot.sparkSession.sparkContext.broadcast((counts, shared_runs(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = shared.value
         for batch in batches:
             rids, roots, parts = [], [], []
             for rid, raw, root in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 g = runs_of(raw)
-                order = np.lexsort((g, shared.value[(g % np.uint64(COUNTERS)).astype(np.int64)]))
+                order = np.lexsort((g, counts[(g % np.uint64(COUNTERS)).astype(np.int64)]))
                 some = g[order[: len(g) - math.ceil(least * len(g) / 100) + 1]]
+                at = _place(some)
+                some = some[seen[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
                 rids.append(np.full(len(some), rid))
                 roots.append(np.full(len(some), root))
                 parts.append(some)

@@ -243,6 +243,20 @@ def test_join_equals_brute_force(spark, monkeypatch, side):
     assert got == want
 
 
+def test_runs_of_one_set_only_are_no_keys(spark):
+    passage = ["w%d" % k for k in range(40)]
+    texts = [" ".join([*passage, *("own%d_%d" % (k, j) for j in range(20 + k % 7))]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " end", texts[1] + " end"])), "doc_id long, text string")
+    facts = parity.sketch(docs, "doc_id", "text", 80).selectExpr("doc_id AS rid", "n_shingles", "profile", "words")
+    held = {r.rid: parity.runs_of(r.words) for r in facts.collect()}
+    made = parity.prefixes(facts.selectExpr("rid", "rid AS root").repartition(5), facts, 80).collect()
+    n = collections.Counter(g for x in held.values() for g in x.view(np.int64).tolist())
+    assert {x.rid for x in made if n[x.bucket] > 1} >= {0, 60, 1, 61}  # pairs that are linked still share a key
+    assert {x.bucket for x in made if x.rid == 0} & {x.bucket for x in made if x.rid == 60}
+    # Before: a fifth of all runs, nearly all of one set only.
+    assert sum(n[x.bucket] == 1 for x in made) <= 5 < sum(len(x) // 5 for x in held.values()) // 10
+
+
 def test_join_of_odd_rows(spark):
     got = parity.join(odd(spark)).collect()
     assert len(got) == len(ODD) and all(x.n_shingles == 0 and x.component_id == x.doc_id for x in got if x.doc_id in (1, 2, 3))
