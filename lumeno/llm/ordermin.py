@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumeno.llm.common import components, lookup, only_ids, written
+from lumeno.llm.common import components, lookup, matched, only_ids, written, zipped
 from lumeno.llm.wordhash import P1, P2, Words, blocks, mix, powers, runs
 
 K, BANDS, PICKS, LEAST, SHORT = 5, 80, 2, 0.8, 24
@@ -236,6 +236,11 @@ def _most(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return ((1 - least) * np.maximum(a, b) + 1e-9).astype(np.int64)
 
 
+def _of(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The facts of the pairs' texts: the others are dropped where they are read, not shuffled."""
+    return only_ids(facts, pairs.select("a").union(pairs.select("b")), "rid", most=500_000)
+
+
 def plausible(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that the lengths and profiles in facts (rid, n_words, profile) don't rule out."""
 
@@ -250,8 +255,9 @@ def plausible(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
             kept = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
-    with_b = pairs.join(facts.select(F.col("rid").alias("b"), F.col("profile").alias("q"), F.col("n_words").alias("m")), "b")
-    both = lookup(with_b, "a", facts.select(F.col("rid").alias("a"), F.col("profile").alias("p"), F.col("n_words").alias("n")), F.col("b"))
+    some = _of(facts.select("rid", "profile", "n_words"), pairs)
+    with_b = pairs.join(some.select(F.col("rid").alias("b"), F.col("profile").alias("q"), F.col("n_words").alias("m")), "b")
+    both = lookup(with_b, "a", some.select(F.col("rid").alias("a"), F.col("profile").alias("p"), F.col("n_words").alias("n")), F.col("b"))
     near = F.abs(F.col("n") - F.col("m")) <= F.floor((1 - least) * F.greatest("n", "m") + 1e-9)
     return both.where(near).select("a", "b", "p", "q", "n", "m").mapInArrow(run, "a long, b long")
 
@@ -275,8 +281,9 @@ def verify(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
             made = [linked(x[0], y[0], x[1], y[1], least) for k in range(batch.num_rows) for x, y in [(words(a[k], batch.column(2)[k].as_py()), words(b[k], batch.column(3)[k].as_py()))]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.bool_()), pa.array([s for _, s in made], pa.float64())], names=["a", "b", "linked", "similarity"])
 
-    with_b = pairs.join(facts.select(F.col("rid").alias("b"), F.col("words").alias("words_b")), "b")
-    both = lookup(with_b, "a", facts.select(F.col("rid").alias("a"), F.col("words").alias("words_a")), F.col("b"))
+    some = _of(facts.select("rid", "words"), pairs)
+    with_b = pairs.join(some.select(F.col("rid").alias("b"), F.col("words").alias("words_b")), "b")
+    both = lookup(with_b, "a", some.select(F.col("rid").alias("a"), F.col("words").alias("words_a")), F.col("b"))
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, linked boolean, similarity double")
 
 
@@ -393,7 +400,7 @@ def apart(active: DataFrame, roots: DataFrame, facts: DataFrame, least: float) -
     right = F.transform(every("lefts"), lambda k: F.struct(F.lit(1).alias("side"), k.alias("lb"), own("rights").alias("rb")))
     sides = rows.select("bucket", "rid", "root", "other", F.explode(F.when(F.col("other"), F.concat(left, right)).otherwise(right)).alias("x"))
     sides = written(sides.select("bucket", "rid", "root", "other", "x.*"), "sides")
-    full = sides.join(facts.select("rid", "n_words", "profile"), "rid")
+    full = sides.join(only_ids(facts.select("rid", "n_words", "profile"), sides.select("rid"), "rid", most=500_000), "rid")
     dealt = full.withColumn("part", F.pmod(F.xxhash64("bucket", "lb", "rb"), F.lit(sides.count() // ROWS + 8)))
     return dealt.groupBy("part").applyInArrow(lambda t: possible(t, least), "a long, root_a long, root_b long, slot long, others array<long>")
 
@@ -403,38 +410,44 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
 
     n_links is a lower bound: the links to other texts that were verified. Which pairs of one class are verified depends on
     the order of rows, the classes don't."""
-    made = written(sketch(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    made = zipped(sketch(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     firsts = made.groupBy("digest").agg(F.min("rid").alias("first"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     firsts = written(firsts, "firsts")
     again = lookup(made.select("digest", "rid"), "digest", firsts.where("copies > 1").select("digest", "first"), F.col("rid")).where("rid <> first").select("rid")
     facts = only_ids(made, written(again, "copies"), "rid", "left_anti")
     places = facts.select("rid", F.explode(F.array_distinct("keys")).alias("bucket"))
-    heads = places.groupBy("bucket").agg(F.min("rid").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    active = written(lookup(places, "bucket", heads, F.col("rid")), "buckets")
+    heads = places.groupBy("bucket").agg(F.min("rid").alias("head"), F.count("*").alias("n")).where("n > 1")
+    active = written(matched(places, "bucket", written(heads, "heads")), "buckets")
     return _labelled(made.select("doc_id", "digest", "n_words"), firsts, *_links(active, facts, least))
 
 
 def _links(active: DataFrame, facts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """a, b, similarity of the links, and node, root of their components: first the links between texts and the first of their buckets, then between all others of a bucket that are still apart."""
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return written(verify(written(plausible(written(pairs, "pairs"), facts, least), "pairs"), facts, least), "checked")
+
     # A group of copies mostly has one first text, so one pair for each text connects most of them.
     one = active.where("rid <> head").groupBy("rid").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("rid").alias("b"))
-    checked = written(verify(plausible(one, facts, least), facts, least), "checked")
-    links, roots = checked.where("linked"), components(checked.where("linked").select("a", "b"))
+    made = checked(one)
+    links, roots = made.where("linked"), components(made.where("linked").select("a", "b"))
     rest = _rooted(active.where("rid <> head").select("rid", "head"), roots, "rid", "ra")
     rest = _rooted(rest, roots, "head", "rb", F.col("rid")).where("ra <> rb").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
-    more = written(verify(plausible(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), facts, least), facts, least), "checked")
+    more = checked(rest.join(made.select("a", "b"), ["a", "b"], "left_anti"))
     links, roots = _joined(links, more.where("linked"), roots)
-    done = checked.select("a", "b").unionByName(more.select("a", "b"))
+    done = made.select("a", "b").unionByName(more.select("a", "b"))
     todo = written(apart(active, roots, facts, least), "todo")
     pair = lambda b: (F.least("a", b).alias("a"), F.greatest("a", b).alias("b"))
     # One link joins two classes, so the likeliest partner of each text and class is tried before all others.
-    more = written(verify(todo.select(*pair(F.get("others", 0))).distinct().join(done, ["a", "b"], "left_anti"), facts, least), "checked")
+    first = todo.select(*pair(F.get("others", 0))).distinct().join(done, ["a", "b"], "left_anti")
+    more = written(verify(written(first, "pairs"), facts, least), "checked")
     links, roots = _joined(links, more.where("linked"), roots)
     # Texts that share several buckets are listed by several tasks; their lists are merged, long ones in slots.
     lists = todo.groupBy("a", "root_a", "root_b", "slot").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     rest = _rooted(_rooted(lists, roots, "root_a", "ra"), roots, "root_b", "rb").where("ra <> rb")
     rest = rest.select("a", F.explode("others").alias("c")).select(*pair(F.col("c"))).distinct()
-    more = written(verify(rest.join(done.unionByName(more.select("a", "b")), ["a", "b"], "left_anti"), facts, least), "checked")
+    rest = rest.join(done.unionByName(more.select("a", "b")), ["a", "b"], "left_anti")
+    more = written(verify(written(rest, "pairs"), facts, least), "checked")
     links, roots = _joined(links, more.where("linked"), roots)
     return links.select("a", "b", "similarity"), roots
 
