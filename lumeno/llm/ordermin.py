@@ -42,7 +42,7 @@ from lumeno.llm.wordhash import P1, P2, Words, blocks, mix, powers, runs
 
 K, BANDS, PICKS, LEAST, SHORT = 5, 80, 2, 0.8, 24
 #: Bins of profiles (a text has the first that are twice its words or more), texts in a block of a large bucket's left and right side, rows in a group of blocks, and counters of word frequencies.
-BINS, SIDE, WIDE, ROWS, COUNTERS = (128, 512, 2048, 8192), 512, 4096, 20_000, 1 << 18
+BINS, SIDE, WIDE, ROWS, COUNTERS = (128, 512, 2048, 8192), 512, 4096, 20_000, 1 << 20
 #: Longer lists of candidates are dealt to so many slots.
 LIST, SLOTS = 4096, 1024
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 63, BANDS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -325,7 +325,8 @@ def possible(rows: pa.Table, least: float) -> pa.Table:
 def prefixes(hot: DataFrame, facts: DataFrame, least: float) -> DataFrame:
     """rid, part of the texts in hot (rid): the rarest of a text's words, so many that two texts within the similarity share one.
 
-    Rarity is by counters of fixed number over the words of these texts; any order that all texts agree on is exact.
+    Words are told apart by their occurrence. Rarity is by counters of fixed number over the words of these texts; any order
+    that all texts agree on is exact. A word that only one text has is shared by none, so it is left out; it counts in the length.
     """
     texts = only_ids(facts.select("rid", "words"), hot.select("rid"), "rid")
 
@@ -333,23 +334,23 @@ def prefixes(hot: DataFrame, facts: DataFrame, least: float) -> DataFrame:
         held = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                held += np.bincount(np.unique(np.frombuffer(raw, np.uint32)) % COUNTERS, minlength=COUNTERS)
+                np.add.at(held, np.unique(labelled_words(np.frombuffer(raw, np.uint32).astype(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64), 1)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["slot", "n"])
 
     counts = np.zeros(COUNTERS, np.int64)
-    for r in texts.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
-        counts[r["slot"]] = r["n"]
+    slots = texts.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
     shared = hot.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, parts = [], []
             for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = np.frombuffer(raw, np.uint32).astype(np.int64)
-                label = labelled_words(w.astype(np.uint64))
-                order = np.lexsort((label, shared.value[w % COUNTERS]))
-                some = label[order[: len(w) - math.ceil(least * len(w) - 1e-6) + 1]]
+                label = labelled_words(np.frombuffer(raw, np.uint32).astype(np.uint64))
+                held = shared.value[(label % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((label, held))[: len(label) - math.ceil(least * len(label) - 1e-6) + 1]
+                some = label[order[held[order] > 1]]
                 rids.append(np.full(len(some), rid))
                 parts.append(some)
             if rids:
@@ -375,10 +376,14 @@ def _rooted(rows: DataFrame, roots: DataFrame, col: str, name: str, salt: Column
 
 
 def _mixed(placed: DataFrame, least_n: int) -> DataFrame:
-    """bucket, n, major (the root of most of its texts), others (texts of other roots) of the buckets that hold several roots."""
-    per = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    made = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("root", "n").alias("major"), (F.sum("n") - F.max("n")).alias("others"))
-    return written(made.where((F.col("others") > 0) & (F.col("n") >= least_n)), "mixed")
+    """bucket, n, major (the root of most of its texts), others (texts of other roots) of the buckets that hold several roots.
+
+    Of buckets that hold the same texts, told by 128 bits of these, one is left, since all have the same pairs.
+    """
+    same = {"x": F.xxhash64("rid"), "y": F.xxhash64("rid", F.lit(1))}
+    per = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), *[F.bit_xor(h).alias(k) for k, h in same.items()])
+    made = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("major"), (F.sum("n") - F.max("n")).alias("others"), *[F.bit_xor(k).alias(k) for k in same])
+    return written(made.where((F.col("others") > 0) & (F.col("n") >= least_n)).dropDuplicates(["n", *same]).drop(*same), "mixed")
 
 
 def apart(active: DataFrame, roots: DataFrame, facts: DataFrame, least: float) -> DataFrame:
@@ -398,10 +403,13 @@ def apart(active: DataFrame, roots: DataFrame, facts: DataFrame, least: float) -
     own, every = lambda c: F.pmod(F.xxhash64("rid"), F.col(c)).cast("int"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     left = F.when(F.col("other"), F.transform(every("rights"), lambda k: F.struct(F.lit(0).alias("side"), own("lefts").alias("lb"), k.alias("rb"))))
     right = F.transform(every("lefts"), lambda k: F.struct(F.lit(1).alias("side"), k.alias("lb"), own("rights").alias("rb")))
-    sides = rows.select("bucket", "rid", "root", "other", F.explode(F.when(F.col("other"), F.concat(left, right)).otherwise(right)).alias("x"))
-    sides = written(sides.select("bucket", "rid", "root", "other", "x.*"), "sides")
-    full = sides.join(only_ids(facts.select("rid", "n_words", "profile"), sides.select("rid"), "rid", most=500_000), "rid")
-    dealt = full.withColumn("part", F.pmod(F.xxhash64("bucket", "lb", "rb"), F.lit(sides.count() // ROWS + 8)))
+    rows = written(rows.select("bucket", "rid", "root", "other", "lefts", "rights"), "rows")
+    n_sides = rows.agg(F.sum(F.col("lefts") + F.when(F.col("other"), F.col("rights")).otherwise(0))).first()[0] or 0
+    # Facts are joined before rows are dealt to blocks, which they go to anyway.
+    full = rows.join(only_ids(facts.select("rid", "n_words", "profile"), rows.select("rid"), "rid", most=500_000), "rid")
+    sides = full.select("bucket", "rid", "root", "other", "n_words", "profile", F.explode(F.when(F.col("other"), F.concat(left, right)).otherwise(right)).alias("x"))
+    sides = sides.select("bucket", "rid", "root", "other", "n_words", "profile", "x.*")
+    dealt = sides.withColumn("part", F.pmod(F.xxhash64("bucket", "lb", "rb"), F.lit(n_sides // ROWS + 8)))
     return dealt.groupBy("part").applyInArrow(lambda t: possible(t, least), "a long, root_a long, root_b long, slot long, others array<long>")
 
 

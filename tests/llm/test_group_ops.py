@@ -141,6 +141,20 @@ def test_only_facts_of_pairs_are_shuffled(spark):
         assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_large_buckets_are_divided_by_words_in_common_only(spark):
+    # Before: words that no other text has made rows, and buckets with the same texts were compared each.
+    words = [["own0", "own1", "all", "all"], ["own2", "own3", "all", "all"], ["own4", "pair", "all", "all"], ["own5", "pair", "all", "all"]]
+    docs = spark.createDataFrame([(k, " ".join(w * 5)) for k, w in enumerate(words)], "doc_id long, text string")
+    facts = ordermin.sketch(docs).withColumnRenamed("doc_id", "rid").localCheckpoint()
+    parts = {}
+    for r in ordermin.prefixes(facts.select("rid"), facts, 0.5).collect():
+        parts.setdefault(r.part, set()).add(r.rid)
+    assert parts and all(len(x) > 1 for x in parts.values()) and {2, 3} in parts.values()
+    placed = spark.createDataFrame([(b, k, k // 2) for b, ks in ((1, (1, 2, 3)), (2, (1, 2, 3)), (3, (1, 2, 4)), (4, (2, 3))) for k in ks], "bucket long, rid long, root long")
+    made = [r for r in ordermin._mixed(placed, 3).collect()]
+    assert sorted(r.n for r in made) == [3, 3] and 3 in {r.bucket for r in made}
+
+
 def test_links_at_the_threshold_are_found(spark):
     r = random.Random(9)
     voc, texts = vocabulary(r, 3000), []
