@@ -274,3 +274,34 @@ def test_decontamination_in_several_passes(spark, monkeypatch):
     docs = bench.select(F.col("item_id").alias("doc_id"), "text")
     monkeypatch.setattr(decontam, "SEEDS", 50)
     assert sorted((g.doc_id, g.item_id) for g in decontam.overlaps(docs, bench).collect()) == [(k, k) for k in range(10)]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Beyond what the driver trains, thresholds come from all rows too, and no partitioning changes scores."""
+    monkeypatch.setattr(toxicity, "ON_DRIVER", 200)
+    monkeypatch.setattr(toxicity, "SHARD", 300)
+    seen = []
+    monkeypatch.setattr(toxicity, "thresholds", lambda scored, made=toxicity.thresholds: seen.append(scored.collect()) or made(scored))
+    rows = labelled(random.Random(5), 1500)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = {g.doc_id: g for g in toxicity.score(docs, labels).collect()}
+    assert np.mean([got[r[0]].predicted == r[3] for r in rows if held_out(r[0])]) > 0.98
+    own = [r for r in rows if not held_out(r[0])]
+    assert sorted((x.lang, x.label) for x in seen[0]) == sorted((r[2], r[3]) for r in own)
+    for lang in ("en", "de"):
+        part = [x for x in seen[0] if x.lang == lang]
+        want = toxicity.best_threshold(np.array([x.score for x in part]), np.array([x.label for x in part]))
+        assert all(abs(got[r[0]].threshold - want) < 1e-9 for r in rows if r[2] == lang)
+    again = {g.doc_id: g.score for g in toxicity.score(docs.repartition(7), labels).collect()}
+    assert all(abs(again[k] - got[k].score) < 1e-5 for k in again)
+
+
+def test_thresholds_of_ties_and_ends(spark):
+    r = random.Random(9)
+    rows = [(lang, int(r.random() < p), p) for lang, n in (("a", 400), ("b", 300), ("c", 21)) for _ in range(n) for p in [r.choice([0.0, 1e-20, 0.001, 0.3, 0.3001, 0.5, 0.9, 0.99, 1.0] if lang == "a" else [r.random()])]]
+    got = toxicity.thresholds(spark.createDataFrame(rows, "lang string, label int, score double"))
+    assert set(got) == {"a", "b"}
+    for lang in got:
+        part = [x for x in rows if x[0] == lang]
+        assert got[lang] == toxicity.best_threshold(np.array([x[2] for x in part]), np.array([x[1] for x in part]))
