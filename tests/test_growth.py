@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumeno import catalog
 from lumeno.operators import boxes, clusters, dom
@@ -113,8 +114,6 @@ def test_checked_controls_make_their_sets_once(spark):
 
 def test_clusters_of_pages_without_joins(spark):
     """No shuffle of pairs; labels are those of the long matrices, for pages above and below what is clustered without arrays."""
-    from pyspark.sql import functions as F
-
     got = catalog.QUERIES["matrix_clusters"](spark, SF)
     assert "Join" not in plan(got) and plan(got).count("Exchange") <= 2
     rng = np.random.default_rng(5)
@@ -144,3 +143,34 @@ def test_few_elements_are_cut_as_many_are(n):
             for b in range(2, n + 1):
                 core = clusters._Branch(list(range(b)))
                 assert core.scatter(d.tolist(), 2) == core.scatter(d, 2)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import os
+
+    from lumeno.plans.shared import CLEANUP, written
+
+    def files() -> set[str]:
+        return {f for d in dirs for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_") and f.endswith(".data")}
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before, kept = files(), spark.conf.get(CLEANUP, None)
+    made = written(spark.range(10_000).repartition(7, "id").groupBy(F.col("id") % 5000).count(), "growth")
+    assert made.count() == 5000 and spark.conf.get(CLEANUP, None) == kept
+    assert len(files() - before) <= 4  # of the count above
+
+
+def test_bars_explode_paths_of_bars_only(spark, monkeypatch):
+    """Paths of all elements are exploded twice, for floats and for the visible tree, not for every question about their ancestors."""
+    from lumeno.operators import bars
+
+    tables, made = {}, bars.written
+    monkeypatch.setattr(bars, "written", lambda df, name: tables.setdefault(name, made(df, name)))
+    got = sorted((r.page_id, r.el_id) for r in catalog.QUERIES["tree_headers"](spark, SF).collect())
+    assert "chains" not in tables and tables["nodes"].count() <= tables["boxed"].count()
+
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    assert got == sorted(db.execute(catalog.ORACLES["tree_headers"]).fetchall())
