@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lumeno.operators import selectors
@@ -124,3 +125,26 @@ def test_hover_styles_make_computed_controls(spark):
     pages = spark.createDataFrame([(1, "<html><body><style>.go:hover { x: y }</style><div class='go' data-box='0,0,90,30'>Go</div><div data-box='0,40,90,60'>No</div></body></html>")], "page_id long, html string")
     assert [r.own_text for r in snapshot.computed_controls(snapshots.from_pages(pages, hover=True)).collect()] == [["Go"]]
     assert snapshot.computed_controls(snapshots.from_pages(pages)).count() == 0
+
+
+def test_sheets_in_common_are_not_joined_by_page(spark, monkeypatch):
+    """Few compounds are broadcast, many are joined by page; pages with several sheets, and sheets of some pages only, fit the same elements."""
+    rng = np.random.default_rng(8)
+    rows = [(p, k, None if k == 0 else int(rng.integers(k)), str(rng.choice(["div", "p", "a"])), {"class": f"c{k % 3}", "id": f"i{k}"}, [""] if k % 5 else [], k) for p in range(12) for k in range(25)]
+    e = spark.createDataFrame(rows, "page_id long, el_id int, parent_id int, tag string, attrs map<string,string>, own_text array<string>, pre int")
+    texts = ["div > p:hover { x: y } .c1 + a { x: y }", "a:empty { x: y } [id] p { x: y }", "i { x: y }"]
+    sheets = spark.createDataFrame([(p, n, texts[(p + n) % 3], None if p % 2 else "screen") for p in range(12) for n in range(p % 3)], "page_id long, sheet int, css string, media string")
+    got = sorted(map(tuple, selectors.styled(e, sheets=sheets).collect()))
+    tables, made = {}, selectors.written
+    monkeypatch.setattr(selectors, "written", lambda df, name: tables.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or made(df, name))
+    assert sorted(map(tuple, selectors.styled(e, sheets=sheets).collect())) == got and len(got) > 50
+    assert "BroadcastHashJoin" in tables["candidates"][0] and "key#" not in "".join(x for x in tables["candidates"][0].split("\n") if "Exchange hash" in x)
+    monkeypatch.setattr(selectors, "FEW_PARTS", 0)
+    assert sorted(map(tuple, selectors.styled(e, sheets=sheets).collect())) == got
+    rules = css.compile_sheets(sheets)
+    flags = {(r.page_id, r.sheet, r.sel_id): (r.hover, r.by_order and not r.hover, r.by_attr and not r.hover) for r in rules.collect()}
+    want: dict = {}
+    for x in selectors.matches(e, rules).collect():
+        f = flags[x.page_id, x.sheet, x.sel_id]
+        want[x.page_id, x.el_id] = tuple(a or b for a, b in zip(want.get((x.page_id, x.el_id), (False,) * 3), f))
+    assert got == sorted((*k, *v) for k, v in want.items() if any(v))
